@@ -1,12 +1,15 @@
-"""Exact quantiles (R type 7 / linear interpolation) in two forms.
+"""Exact quantiles (R type 7 / linear interpolation) in two forms, and a dispatcher.
 
 * ``bounded_quantiles`` -- the built-in ``percentile`` aggregate. It keeps the values of one
-  group in one task, so it is used only where the group is bounded by the assay geometry
-  (a plate holds at most 96 wells; a sample has at most one value per assay of the panel).
+  group in one task, so it is only used for groups whose size has been checked.
 * ``exact_quantiles`` -- for groups that grow with the data (an assay over every sample of a
-  study). Rows are range-partitioned on (group, value), so a hot group is spread over many
-  tasks; each row gets its global rank inside its group from per-partition counts, and
-  only the rows at the interpolation ranks are aggregated. Nothing of a group is gathered.
+  study) or a hot key. Rows are range-partitioned on (group, value), so a hot group is
+  spread over many tasks; each row gets its global rank inside its group from
+  per-partition counts, and only the rows at the interpolation ranks are aggregated.
+  Nothing of a group is gathered.
+* ``group_quantiles`` -- measures the largest group with one partial-aggregate pass and
+  picks the first form when every group is within ``npxkit.quantile.maxGroupValues``
+  values (default 1,000,000), the second otherwise.
 """
 
 from __future__ import annotations
@@ -20,6 +23,15 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
+MAX_GROUP_VALUES_CONF = "npxkit.quantile.maxGroupValues"
+DEFAULT_MAX_GROUP_VALUES = 1_000_000
+
+
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (grouping semantics), keeping one copy of the keys."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def bounded_quantiles(value: str | Column, probs: Sequence[float]) -> Column:
@@ -63,7 +75,7 @@ def exact_quantiles(
         (F.sum("_c").over(by_group.orderBy("_part")) - F.col("_c")).alias("_off"),
         F.sum("_c").over(by_group).alias("_n"),
     )
-    rows = ranked.join(pieces, ["_part", *keys]).select(
+    rows = join_on_keys(ranked, pieces, ["_part", *keys]).select(
         *keys, "_v", "_n", (F.col("_off") + F.col("_local") - F.col("_start")).alias("_rank")
     )
     # h = (n - 1) p ; Q = x[floor h] + (h - floor h) (x[floor h + 1] - x[floor h])
@@ -96,3 +108,43 @@ def nrd0_bandwidth(n: Column, sd: Column, iqr: Column, first_abs: Column) -> Col
 
 
 GAUSS_NORM = 1.0 / math.sqrt(2.0 * math.pi)
+
+
+QuantileSpec = tuple  # (value column, probabilities, output names)
+
+
+def group_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    specs: Sequence[QuantileSpec],
+    extra_aggs: Sequence[Column] = (),
+    max_group_values: int | None = None,
+) -> DataFrame:
+    """Exact type-7 quantiles per group of ``keys`` for each spec (value, probs, names), NULL
+    values skipped, plus ``extra_aggs`` over the group's rows. Every group of ``df`` appears
+    once; a group without values gets NULL quantiles.
+
+    One partial-aggregate pass finds the largest group (values per spec). Within the bound
+    the built-in ``percentile`` runs in one aggregation together with ``extra_aggs``; above
+    it the quantiles come from ``exact_quantiles`` and are joined to the group table.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    limit = max_group_values or int(spark.conf.get(MAX_GROUP_VALUES_CONF, str(DEFAULT_MAX_GROUP_VALUES)))
+    vals = [(F.col(v) if isinstance(v, str) else v).cast("double").alias(f"_qv{i}") for i, (v, _, _) in enumerate(specs)]
+    rest = [c for c in df.columns if c not in keys]
+    data = df.select(*keys, *vals, *rest)
+    counts = data.groupBy(*keys).agg(*[F.count(f"_qv{i}").alias(f"_n{i}") for i in range(len(specs))])
+    biggest = counts.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(specs))], F.lit(0))).first()[0] or 0
+    names = [n for _, _, ns in specs for n in ns]
+    if biggest <= limit:
+        qs = [bounded_quantiles(f"_qv{i}", probs).alias(f"_q{i}") for i, (_, probs, _) in enumerate(specs)]
+        out = data.groupBy(*keys).agg(*qs, *extra_aggs)
+        picks = [F.col(f"_q{i}")[j].alias(n) for i, (_, _, ns) in enumerate(specs) for j, n in enumerate(ns)]
+        extra = [c for c in out.columns if c not in keys and not c.startswith("_q")]
+        return out.select(*keys, *picks, *extra)
+    out = data.groupBy(*keys).agg(*extra_aggs) if extra_aggs else data.select(*keys).distinct()
+    for i, (_, probs, ns) in enumerate(specs):
+        q = exact_quantiles(data, keys, f"_qv{i}", probs, ns).drop("n_values")
+        out = join_on_keys(out, q, keys, "left")
+    return out.select(*keys, *names, *[c for c in out.columns if c not in keys and c not in names])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import count_rows
-from ..functions.stats import GAUSS_NORM, bounded_quantiles, nrd0_bandwidth
+from ..functions.stats import GAUSS_NORM, group_quantiles, join_on_keys, nrd0_bandwidth
 
 
 def cv_histogram(df: DataFrame, cv: str = "intra_cv", width: float = 0.5, npx: str = S.NPX, lod: str = S.LOD) -> DataFrame:
@@ -37,17 +37,15 @@ def cv_density(med: DataFrame, cap: float = 50.0, points: int = 512, value: str
     """
     keys = [S.SAMPLE_TYPE, S.PLATE_ID]
     x = med.select(*keys, F.least(F.col(value), F.lit(cap)).alias("_x")).where(F.col("_x").isNotNull())
-    q = bounded_quantiles("_x", [0.25, 0.75])
     stats = (
-        x.groupBy(*keys)
-        .agg(
-            count_rows().alias("_n"),
-            F.stddev_samp("_x").alias("_sd"),
-            q.alias("_q"),
-            F.abs(F.min("_x")).alias("_first_abs"),
+        group_quantiles(
+            x,
+            keys,
+            [("_x", [0.25, 0.75], ["_q1", "_q3"])],
+            extra_aggs=[count_rows().alias("_n"), F.stddev_samp("_x").alias("_sd"), F.abs(F.min("_x")).alias("_first_abs")],
         )
         .where(F.col("_n") >= 2)
-        .withColumn("_bw", nrd0_bandwidth(F.col("_n"), F.col("_sd"), F.col("_q")[1] - F.col("_q")[0], F.col("_first_abs")))
+        .withColumn("_bw", nrd0_bandwidth(F.col("_n"), F.col("_sd"), F.col("_q3") - F.col("_q1"), F.col("_first_abs")))
     )
     # The shared grid needs two scalars (global min and max): one small aggregate.
     lo, hi = x.agg(F.min("_x"), F.max("_x")).first()
@@ -99,20 +97,20 @@ def npx_boxplot(df: DataFrame, npx: str = S.NPX, colour: str = S.SAMPLE_QC) -> D
     extreme values within 1.5 IQR of the box, number of outliers. Missing values are left
     out; boxes without values are dropped.
 
-    The quartiles are a window aggregate over the box, and the second aggregation groups
-    by the same keys, so the data is shuffled once. A box holds one block of one sample.
+    The quartiles per box (size-checked) are joined back to the values; whiskers and
+    outliers are a second aggregation by the box keys.
     """
     keys = [S.SAMPLE_ID, S.BLOCK, S.PLATE_ID, colour]
     rows = df.select(*keys, F.col(npx).alias("_v")).where(F.col("_v").isNotNull())
-    q = bounded_quantiles("_v", [0.25, 0.5, 0.75]).over(Window.partitionBy(*keys))
-    rows = rows.withColumn("_q", q)
-    q1, q3 = F.col("_q")[0], F.col("_q")[2]
+    boxes = group_quantiles(rows, keys, [("_v", [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"])])
+    rows = join_on_keys(rows, boxes, keys)
+    q1, q3 = F.col("_q1"), F.col("_q3")
     lo_fence, hi_fence = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
     v = F.col("_v")
     return rows.groupBy(*keys).agg(
         count_rows().alias("n"),
         F.max(q1).alias("q1"),
-        F.max(F.col("_q")[1]).alias("median"),
+        F.max("_q2").alias("median"),
         F.max(q3).alias("q3"),
         F.min(F.when(v >= lo_fence, v)).alias("whisker_low"),
         F.max(F.when(v <= hi_fence, v)).alias("whisker_high"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import count_rows, keep_at_or_above, lognormal_cv
-from ..functions.stats import bounded_quantiles, exact_quantiles
+from ..functions.stats import group_quantiles
 
 REPLICATE_KEYS = [S.ASSAY_ID, S.BLOCK, S.ASSAY_TYPE, S.PLATE_ID, S.SUBSAMPLE_ID]
 
@@ -104,35 +104,26 @@ def median_cv(cv: DataFrame) -> DataFrame:
     """Median replicate CV per (assay, plate, sample type); only assay type 'assay'.
 
     The sample type is the subsample id when it names a control type, else SAMPLE. A group
-    holds one CV per subsample of one plate, so it is bounded by the plate's wells.
+    holds one CV per subsample of one plate; its size is checked before the median.
     """
     sub = F.col(S.SUBSAMPLE_ID)
-    return (
-        cv.where(F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY)
-        .withColumn(S.SAMPLE_TYPE, F.when(sub.contains(S.CONTROL_MARKER), sub).otherwise(F.lit(S.SAMPLE)))
-        .groupBy(S.ASSAY_ID, S.PLATE_ID, S.SAMPLE_TYPE)
-        .agg(F.median("intra_cv").alias("intra_cv_median"))
+    typed = cv.where(F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY).withColumn(
+        S.SAMPLE_TYPE, F.when(sub.contains(S.CONTROL_MARKER), sub).otherwise(F.lit(S.SAMPLE))
     )
+    return group_quantiles(typed, [S.ASSAY_ID, S.PLATE_ID, S.SAMPLE_TYPE], [("intra_cv", [0.5], ["intra_cv_median"])])
 
 
 def cv_quartiles(med: DataFrame) -> DataFrame:
     """Per (plate, sample type): number of assays and the quartiles of their median CVs.
 
-    A group holds one value per assay of the panel (bounded).
+    A group holds one value per assay of the panel.
     """
-    q = bounded_quantiles("intra_cv_median", [0.25, 0.5, 0.75])
-    return (
-        med.groupBy(S.PLATE_ID, S.SAMPLE_TYPE)
-        .agg(count_rows().alias("n"), q.alias("_q"))
-        .select(
-            S.PLATE_ID,
-            S.SAMPLE_TYPE,
-            "n",
-            F.col("_q")[0].alias("q1"),
-            F.col("_q")[1].alias("q2"),
-            F.col("_q")[2].alias("q3"),
-        )
-    )
+    return group_quantiles(
+        med,
+        [S.PLATE_ID, S.SAMPLE_TYPE],
+        [("intra_cv_median", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])],
+        extra_aggs=[count_rows().alias("n")],
+    ).select(S.PLATE_ID, S.SAMPLE_TYPE, "n", "q1", "q2", "q3")
 
 
 def vendor_cv_coverage(df: DataFrame) -> DataFrame:
@@ -204,11 +195,11 @@ def cv_by_block(df: DataFrame, npx: str = S.NPX) -> DataFrame:
 def median_cv_overall(med_all: DataFrame, med_lod: DataFrame, sample_type: str = S.SAMPLE) -> DataFrame:
     """Median CV of the whole panel with all values and without values below LOD (one row).
 
-    The medians run over every (assay, plate) of the study, so they use the distributed
-    exact quantile: no group is gathered into one task.
+    The medians run over every (assay, plate) of the study -- one group that grows with
+    the data -- so beyond the size bound they take the distributed exact route.
     """
     def overall(med: DataFrame, name: str) -> DataFrame:
         m = med.where(F.col(S.SAMPLE_TYPE) == sample_type).withColumn("_all", F.lit(1))
-        return exact_quantiles(m, ["_all"], "intra_cv_median", [0.5], [name]).select("_all", name)
+        return group_quantiles(m, ["_all"], [("intra_cv_median", [0.5], [name])]).select("_all", name)
 
     return overall(med_all, "median_cv_all").join(overall(med_lod, "median_cv_lod"), "_all", "full").drop("_all")

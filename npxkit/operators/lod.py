@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import count_rows, keep_at_or_above, share_true
-from ..functions.stats import bounded_quantiles, exact_quantiles
+from ..functions.stats import group_quantiles
 from .normalize import PLATE_ASSAY, plate_medians
 
 
@@ -36,20 +36,22 @@ def nc_lod(df: DataFrame, min_controls: int = 10, npx: str = S.NPX, check: bool
 
     Raises ``NotEnoughControls`` when fewer than ``min_controls`` distinct such controls
     exist (one small aggregate is run for the check). The median runs over every control
-    of the study, so it uses the distributed exact quantile. An assay with a single value
-    has no sd and gets NULL.
+    of the study, a group that grows with the data, so it goes through the size-checked
+    ``group_quantiles``. An assay with a single value has no sd and gets NULL.
     """
     nc = df.where((F.col(S.SAMPLE_TYPE) == S.NEGATIVE_CONTROL) & (F.col(S.SAMPLE_QC) == S.QC_PASS))
     if check:
         n = nc.agg(F.countDistinct(S.SAMPLE_ID)).first()[0]
         if n < min_controls:
             raise NotEnoughControls(f"{n} negative controls pass SampleQC; at least {min_controls} are needed")
-    spread = nc.groupBy(S.ASSAY_ID).agg(
-        count_rows().alias("n_rows"), F.count(npx).alias("n_values"), F.stddev_samp(npx).alias("nc_sd")
+    stats = group_quantiles(
+        nc.select(S.ASSAY_ID, npx),
+        [S.ASSAY_ID],
+        [(npx, [0.5], ["nc_median"])],
+        extra_aggs=[count_rows().alias("n_rows"), F.count(npx).alias("n_values"), F.stddev_samp(npx).alias("nc_sd")],
     )
-    med = exact_quantiles(nc, [S.ASSAY_ID], npx, [0.5], ["nc_median"]).drop("n_values")
     sd = F.col("nc_sd")
-    return spread.join(med, S.ASSAY_ID, "left").withColumn(
+    return stats.withColumn(
         S.LOD, F.when(sd.isNotNull(), F.col("nc_median") + F.greatest(F.lit(3.0) * sd, F.lit(0.2)))
     )
 
@@ -104,25 +106,17 @@ def below_lod_per_sample(df: DataFrame, npx: str = S.NPX, lod: str = S.LOD) -> D
 
 def below_lod_per_plate(per_sample: DataFrame) -> DataFrame:
     """Per plate: totals of the first sample (by sample id, then type) and the quartiles of
-    the below-LOD counts over the plate's samples (a group is one plate: bounded)."""
+    the below-LOD counts over the plate's samples (size-checked quantiles)."""
     first_key = F.struct(S.SAMPLE_ID, S.SAMPLE_TYPE)
-    q = bounded_quantiles("n_below_lod", [0.25, 0.5, 0.75])
-    return (
-        per_sample.groupBy(S.PLATE_ID)
-        .agg(
+    return group_quantiles(
+        per_sample,
+        [S.PLATE_ID],
+        [("n_below_lod", [0.25, 0.5, 0.75], ["q1", "median_below_lod", "q3"])],
+        extra_aggs=[
             F.min_by("total_assays", first_key).alias("total"),
             F.min_by("non_nas", first_key).alias("non_na"),
-            q.alias("_q"),
-        )
-        .select(
-            S.PLATE_ID,
-            "total",
-            "non_na",
-            F.col("_q")[0].alias("q1"),
-            F.col("_q")[1].alias("median_below_lod"),
-            F.col("_q")[2].alias("q3"),
-        )
-    )
+        ],
+    ).select(S.PLATE_ID, "total", "non_na", "q1", "median_below_lod", "q3")
 
 
 def percent_above_lod(df: DataFrame, by: list[str] | None = None, npx: str = S.NPX, lod: str = S.LOD) -> DataFrame:

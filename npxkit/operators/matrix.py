@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import count_rows
-from ..functions.stats import exact_quantiles
+from ..functions.stats import group_quantiles
 from .qc import IntegrityError, duplicate_samples
 
 # Spark ML's PCA keeps a p x p matrix in memory and accepts at most this many columns.
@@ -60,8 +60,9 @@ def wide_matrix(df: DataFrame, assays: list[str] | None = None, npx: str = S.NPX
 
 
 def assay_medians(df: DataFrame, npx: str = S.NPX) -> DataFrame:
-    """Median of each assay over all samples with a value (distributed exact median)."""
-    return exact_quantiles(_values(df, npx), [S.ASSAY_ID], "_v", [0.5], ["median"]).select(S.ASSAY_ID, "median")
+    """Median of each assay over all samples with a value. The group grows with the samples,
+    so the size-checked ``group_quantiles`` switches to the distributed exact route."""
+    return group_quantiles(_values(df, npx), [S.ASSAY_ID], [("_v", [0.5], ["median"])]).select(S.ASSAY_ID, "median")
 
 
 def imputed_vectors(df: DataFrame, npx: str = S.NPX, check: bool = True) -> tuple[DataFrame, list[str]]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import is_in
+from ..functions.stats import group_quantiles
 
 PLATE_ASSAY = [S.PLATE_ID, S.ASSAY_ID]
 
@@ -14,22 +15,38 @@ PLATE_ASSAY = [S.PLATE_ID, S.ASSAY_ID]
 def ext_npx(df: DataFrame, count: str = S.COUNT, out: str = "ext_npx_calc") -> DataFrame:
     """log2(Count / Count of the extension control of the same sample and block).
 
-    Every block has one extension control; a window over (sample, block) supplies its
-    count -- one shuffle, no join; a window holds the assays of one block of one sample.
+    Every block has one extension control. Its count comes from a partial aggregate with
+    one row per (sample, block), joined back: a hot sample is split by AQE's skew join
+    instead of landing in one window partition.
     """
-    ext = F.max(F.when(F.col(S.ASSAY_TYPE) == S.EXT_CTRL, F.col(count))).over(Window.partitionBy(S.SAMPLE_ID, S.BLOCK))
-    return df.withColumn(out, F.log2(F.try_divide(F.col(count).cast("double"), ext)))
+    ext = extension_counts(df, count)
+    j = df.join(ext, [S.SAMPLE_ID, S.BLOCK], "left")
+    return j.withColumn(out, F.log2(F.try_divide(F.col(count).cast("double"), F.col("_ext_count")))).drop("_ext_count")
+
+
+def extension_counts(df: DataFrame, count: str = S.COUNT) -> DataFrame:
+    """Count of the extension control per (sample, block) (the largest if it repeats)."""
+    return (
+        df.where(F.col(S.ASSAY_TYPE) == S.EXT_CTRL)
+        .groupBy(S.SAMPLE_ID, S.BLOCK)
+        .agg(F.max(count).alias("_ext_count"))
+    )
 
 
 def plate_medians(df: DataFrame, value: str = S.EXT_NPX) -> DataFrame:
     """Per (plate, assay): median ExtNPX of the plate controls and of the samples.
 
-    All rows count, QC-failed ones too. A group holds one plate's wells (bounded by 96).
+    All rows count, QC-failed ones too. A group holds one plate's wells; its size is
+    checked before the medians (``group_quantiles``).
     """
     t = F.col(S.SAMPLE_TYPE)
-    return df.groupBy(*PLATE_ASSAY).agg(
-        F.median(F.when(t == S.PLATE_CONTROL, F.col(value))).alias("pc_median"),
-        F.median(F.when(t == S.SAMPLE, F.col(value))).alias("sample_median"),
+    return group_quantiles(
+        df.select(*PLATE_ASSAY, S.SAMPLE_TYPE, value),
+        PLATE_ASSAY,
+        [
+            (F.when(t == S.PLATE_CONTROL, F.col(value)), [0.5], ["pc_median"]),
+            (F.when(t == S.SAMPLE, F.col(value)), [0.5], ["sample_median"]),
+        ],
     )
 
 

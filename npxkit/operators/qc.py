@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import count_rows, matches, not_in_or_null, qc_label
-from ..functions.stats import bounded_quantiles
+from ..functions.stats import group_quantiles
 
 
 class IntegrityError(ValueError):
@@ -143,16 +143,15 @@ def negative_control_signal(df: DataFrame, threshold: float = 1.0) -> DataFrame:
     Per row the ratio is Count / Count of the extension control of the same sample and block
     (one per block, looked up whatever its own QC). Per assay: number of controls, largest ratio, and ``flagged`` when it is
     above ``threshold`` (the vendor's limit is not published: a parameter).
-    The control count comes from a window over (sample, block): one shuffle, no join, and a
-    window holds at most the assays of one block of one sample.
+    The control counts are a partial aggregate (one row per sample and block) joined back.
     """
+    from .normalize import extension_counts
+
     nc = df.where(F.col(S.SAMPLE_TYPE) == S.NEGATIVE_CONTROL)
-    ext = F.max(F.when(F.col(S.ASSAY_TYPE) == S.EXT_CTRL, F.col(S.COUNT))).over(
-        Window.partitionBy(S.SAMPLE_ID, S.BLOCK)
-    )
-    ratio = F.try_divide(F.col(S.COUNT).cast("double"), ext)
-    rows = nc.select(S.SAMPLE_ID, S.ASSAY_ID, S.ASSAY_TYPE, S.SAMPLE_QC, ratio.alias("_ratio")).where(
-        (F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY) & (F.col(S.SAMPLE_QC) == S.QC_PASS)
+    rows = (
+        nc.where((F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY) & (F.col(S.SAMPLE_QC) == S.QC_PASS))
+        .join(extension_counts(nc), [S.SAMPLE_ID, S.BLOCK], "left")
+        .select(S.SAMPLE_ID, S.ASSAY_ID, F.try_divide(F.col(S.COUNT).cast("double"), F.col("_ext_count")).alias("_ratio"))
     )
     return (
         rows.groupBy(S.ASSAY_ID)
@@ -165,15 +164,12 @@ def qc_outliers(df: DataFrame, iqr_sd: float = 3.0, median_sd: float = 3.0, npx:
     """Per (sample, panel): IQR and median of NPX; ``outlier`` 1 when either lies outside
     mean +- k sd of that statistic over the panel's samples, else 0 (NULL without values).
 
-    The per-sample quantiles hold one sample's values (bounded by the panel); the panel
-    statistics are one row per panel, joined back (broadcast by size).
+    The per-sample quantiles hold one sample's values (size-checked); the panel statistics
+    are one row per panel, joined back (broadcast by size).
     """
-    q = bounded_quantiles(npx, [0.25, 0.5, 0.75])
-    per_sample = (
-        df.groupBy(S.SAMPLE_ID, S.PANEL)
-        .agg(q.alias("_q"))
-        .select(S.SAMPLE_ID, S.PANEL, (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"), F.col("_q")[1].alias("median"))
-    )
+    per_sample = group_quantiles(
+        df.select(S.SAMPLE_ID, S.PANEL, npx), [S.SAMPLE_ID, S.PANEL], [(npx, [0.25, 0.5, 0.75], ["_q1", "median", "_q3"])]
+    ).select(S.SAMPLE_ID, S.PANEL, (F.col("_q3") - F.col("_q1")).alias("iqr"), "median")
     panel = per_sample.groupBy(S.PANEL).agg(
         F.avg("iqr").alias("_iqr_mean"),
         F.stddev_samp("iqr").alias("_iqr_sd"),
