@@ -88,7 +88,7 @@ QC_NA = "NA"
 # Assay identifier pattern (unanchored, as in the integrity check).
 ASSAY_ID_PATTERN = "OID[0-9]{5}"
 
-# Blocks of the Explore HT panel and their sample dilution.
+# Blocks of the panel and their sample dilution.
 BLOCKS = ["1", "2", "3", "4", "5", "6", "7", "8"]
 BLOCK_DILUTION = {
     "1": "1:1",

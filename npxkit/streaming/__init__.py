@@ -1,0 +1,7 @@
+"""Streaming: not part of the reference.
+
+The reference analyses finished plate exports in batch; it has no streams, watermarks,
+event-time windows or state. Nothing is built here. A new plate export is handled by
+running the batch operators over the new files (Parquet partitioned by project and plate
+keeps that to the new partitions).
+"""
