@@ -113,6 +113,28 @@ GAUSS_NORM = 1.0 / math.sqrt(2.0 * math.pi)
 QuantileSpec = tuple  # (value column, probabilities, output names)
 
 
+def _limit(df: DataFrame, max_group_values: int | None) -> int:
+    return max_group_values or int(df.sparkSession.conf.get(MAX_GROUP_VALUES_CONF, str(DEFAULT_MAX_GROUP_VALUES)))
+
+
+def _prepare(df: DataFrame, keys: list[str], specs: Sequence[QuantileSpec]) -> tuple[DataFrame, int]:
+    """Cast each spec's value to double as _qv<i> and measure the largest group (one
+    partial-aggregate pass: one counter per group and spec)."""
+    vals = [(F.col(v) if isinstance(v, str) else v).cast("double").alias(f"_qv{i}") for i, (v, _, _) in enumerate(specs)]
+    data = df.select("*", *vals)
+    counts = data.groupBy(*keys).agg(*[F.count(f"_qv{i}").alias(f"_n{i}") for i in range(len(specs))])
+    biggest = counts.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(specs))], F.lit(0))).first()[0] or 0
+    return data, biggest
+
+
+def _exact_table(data: DataFrame, keys: list[str], specs: Sequence[QuantileSpec], groups: DataFrame) -> DataFrame:
+    out = groups
+    for i, (_, probs, ns) in enumerate(specs):
+        q = exact_quantiles(data, keys, f"_qv{i}", probs, ns).drop("n_values")
+        out = join_on_keys(out, q, keys, "left")
+    return out
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -129,22 +151,39 @@ def group_quantiles(
     it the quantiles come from ``exact_quantiles`` and are joined to the group table.
     """
     keys = list(keys)
-    spark = df.sparkSession
-    limit = max_group_values or int(spark.conf.get(MAX_GROUP_VALUES_CONF, str(DEFAULT_MAX_GROUP_VALUES)))
-    vals = [(F.col(v) if isinstance(v, str) else v).cast("double").alias(f"_qv{i}") for i, (v, _, _) in enumerate(specs)]
-    rest = [c for c in df.columns if c not in keys]
-    data = df.select(*keys, *vals, *rest)
-    counts = data.groupBy(*keys).agg(*[F.count(f"_qv{i}").alias(f"_n{i}") for i in range(len(specs))])
-    biggest = counts.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(specs))], F.lit(0))).first()[0] or 0
+    data, biggest = _prepare(df, keys, specs)
     names = [n for _, _, ns in specs for n in ns]
-    if biggest <= limit:
+    if biggest <= _limit(df, max_group_values):
         qs = [bounded_quantiles(f"_qv{i}", probs).alias(f"_q{i}") for i, (_, probs, _) in enumerate(specs)]
         out = data.groupBy(*keys).agg(*qs, *extra_aggs)
         picks = [F.col(f"_q{i}")[j].alias(n) for i, (_, _, ns) in enumerate(specs) for j, n in enumerate(ns)]
         extra = [c for c in out.columns if c not in keys and not c.startswith("_q")]
         return out.select(*keys, *picks, *extra)
-    out = data.groupBy(*keys).agg(*extra_aggs) if extra_aggs else data.select(*keys).distinct()
-    for i, (_, probs, ns) in enumerate(specs):
-        q = exact_quantiles(data, keys, f"_qv{i}", probs, ns).drop("n_values")
-        out = join_on_keys(out, q, keys, "left")
+    groups = data.groupBy(*keys).agg(*extra_aggs) if extra_aggs else data.select(*keys).distinct()
+    out = _exact_table(data, keys, specs, groups)
     return out.select(*keys, *names, *[c for c in out.columns if c not in keys and c not in names])
+
+
+def attach_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    specs: Sequence[QuantileSpec],
+    max_group_values: int | None = None,
+) -> DataFrame:
+    """``df`` with its group's quantiles added as columns (a grouped mutate).
+
+    Within the size bound this is a window aggregate over ``keys``: the rows are shuffled
+    once, no join, and the values of a group are only buffered in the task that owns it.
+    Above the bound the quantiles come from the distributed exact route and are joined
+    back (NULL keys match, as in grouping).
+    """
+    keys = list(keys)
+    data, biggest = _prepare(df, keys, specs)
+    tmp = [f"_qv{i}" for i in range(len(specs))]
+    if biggest <= _limit(df, max_group_values):
+        w = Window.partitionBy(*keys)
+        with_q = data.withColumns({f"_q{i}": bounded_quantiles(f"_qv{i}", probs).over(w) for i, (_, probs, _) in enumerate(specs)})
+        picks = {n: F.col(f"_q{i}")[j] for i, (_, _, ns) in enumerate(specs) for j, n in enumerate(ns)}
+        return with_q.withColumns(picks).drop(*tmp, *[f"_q{i}" for i in range(len(specs))])
+    table = _exact_table(data, keys, specs, data.select(*keys).distinct())
+    return join_on_keys(data, table, keys, "left").drop(*tmp)

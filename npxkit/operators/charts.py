@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import count_rows
-from ..functions.stats import GAUSS_NORM, group_quantiles, join_on_keys, nrd0_bandwidth
+from ..functions.stats import GAUSS_NORM, attach_quantiles, group_quantiles, nrd0_bandwidth
 
 
 def cv_histogram(df: DataFrame, cv: str = "intra_cv", width: float = 0.5, npx: str = S.NPX, lod: str = S.LOD) -> DataFrame:
@@ -97,13 +97,13 @@ def npx_boxplot(df: DataFrame, npx: str = S.NPX, colour: str = S.SAMPLE_QC) -> D
     extreme values within 1.5 IQR of the box, number of outliers. Missing values are left
     out; boxes without values are dropped.
 
-    The quartiles per box (size-checked) are joined back to the values; whiskers and
-    outliers are a second aggregation by the box keys.
+    The quartiles of each box are attached to its values (a window over the box when the
+    boxes are within the size bound), and whiskers and outliers are an aggregation by the
+    same keys, so the rows are shuffled once.
     """
     keys = [S.SAMPLE_ID, S.BLOCK, S.PLATE_ID, colour]
     rows = df.select(*keys, F.col(npx).alias("_v")).where(F.col("_v").isNotNull())
-    boxes = group_quantiles(rows, keys, [("_v", [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"])])
-    rows = join_on_keys(rows, boxes, keys)
+    rows = attach_quantiles(rows, keys, [("_v", [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"])])
     q1, q3 = F.col("_q1"), F.col("_q3")
     lo_fence, hi_fence = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
     v = F.col("_v")

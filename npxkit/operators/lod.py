@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import count_rows, keep_at_or_above, share_true
 from ..functions.stats import group_quantiles
-from .normalize import PLATE_ASSAY, plate_medians
+from .normalize import PLATE_ASSAY, with_plate_medians
 
 
 class NotEnoughControls(ValueError):
@@ -25,7 +25,7 @@ def append_fixed_lod(df: DataFrame, fixed: DataFrame, value: str = S.EXT_NPX) ->
     """
     base = df.drop(S.LOD, S.PC_LOD)
     with_lod = base.join(fixed.select(S.ASSAY_ID, S.DAR_ID, S.PC_LOD), [S.ASSAY_ID, S.DAR_ID], "left")
-    shifted = with_lod.join(plate_medians(df, value), PLATE_ASSAY, "left")
+    shifted = with_plate_medians(with_lod, value)
     return shifted.withColumn(S.LOD, F.col(S.PC_LOD) + F.col("pc_median") - F.col("sample_median")).drop(
         "pc_median", "sample_median"
     )

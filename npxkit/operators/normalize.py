@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import is_in
-from ..functions.stats import group_quantiles
+from ..functions.stats import attach_quantiles, group_quantiles
 
 PLATE_ASSAY = [S.PLATE_ID, S.ASSAY_ID]
 
@@ -33,35 +33,43 @@ def extension_counts(df: DataFrame, count: str = S.COUNT) -> DataFrame:
     )
 
 
+def _median_specs(value: str) -> list:
+    t = F.col(S.SAMPLE_TYPE)
+    return [
+        (F.when(t == S.PLATE_CONTROL, F.col(value)), [0.5], ["pc_median"]),
+        (F.when(t == S.SAMPLE, F.col(value)), [0.5], ["sample_median"]),
+    ]
+
+
 def plate_medians(df: DataFrame, value: str = S.EXT_NPX) -> DataFrame:
     """Per (plate, assay): median ExtNPX of the plate controls and of the samples.
 
-    All rows count, QC-failed ones too. A group holds one plate's wells; its size is
-    checked before the medians (``group_quantiles``).
+    All rows count, QC-failed ones too. The group size is checked before the medians
+    (``group_quantiles``).
     """
-    t = F.col(S.SAMPLE_TYPE)
-    return group_quantiles(
-        df.select(*PLATE_ASSAY, S.SAMPLE_TYPE, value),
-        PLATE_ASSAY,
-        [
-            (F.when(t == S.PLATE_CONTROL, F.col(value)), [0.5], ["pc_median"]),
-            (F.when(t == S.SAMPLE, F.col(value)), [0.5], ["sample_median"]),
-        ],
-    )
+    return group_quantiles(df.select(*PLATE_ASSAY, S.SAMPLE_TYPE, value), PLATE_ASSAY, _median_specs(value))
+
+
+def with_plate_medians(df: DataFrame, value: str = S.EXT_NPX) -> DataFrame:
+    """All rows with ``pc_median`` and ``sample_median`` of their (plate, assay).
+
+    A grouped mutate: when every plate x assay is within the size bound it is one window
+    pass (one shuffle, no join); otherwise the medians come from the distributed route
+    and are joined back.
+    """
+    return attach_quantiles(df, PLATE_ASSAY, _median_specs(value))
 
 
 def normalize(df: DataFrame, value: str = S.EXT_NPX) -> DataFrame:
     """All rows with pc_median, sample_median, npx_pc = ExtNPX - pc_median and
     npx_intensity = ExtNPX - sample_median; both NULL for SampleQC FAIL or "NA".
 
-    The medians (one row per plate x assay) are joined back on (plate, assay); the planner
-    broadcasts them while small, else both sides are hash-partitioned on the same keys.
     A plate without plate controls gets NULL PC values.
     """
     failed = is_in(S.SAMPLE_QC, [S.QC_FAIL, S.QC_NA])
     x = F.col(value)
     return (
-        df.join(plate_medians(df, value), PLATE_ASSAY, "left")
+        with_plate_medians(df, value)
         .withColumn("npx_pc", F.when(~failed, x - F.col("pc_median")))
         .withColumn("npx_intensity", F.when(~failed, x - F.col("sample_median")))
     )
