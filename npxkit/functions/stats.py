@@ -117,11 +117,20 @@ def _limit(df: DataFrame, max_group_values: int | None) -> int:
     return max_group_values or int(df.sparkSession.conf.get(MAX_GROUP_VALUES_CONF, str(DEFAULT_MAX_GROUP_VALUES)))
 
 
-def _prepare(df: DataFrame, keys: list[str], specs: Sequence[QuantileSpec]) -> tuple[DataFrame, int]:
+def _prepare(
+    df: DataFrame, keys: list[str], specs: Sequence[QuantileSpec], checkpoint_input: bool = False
+) -> tuple[DataFrame, int]:
     """Cast each spec's value to double as _qv<i> and measure the largest group (one
-    partial-aggregate pass: one counter per group and spec)."""
+    partial-aggregate pass: one counter per group and spec).
+
+    With ``checkpoint_input`` the prepared input is written once to the shared checkpoint
+    folder, so the size check and the quantiles read it instead of recomputing its lineage
+    (for inputs that are themselves aggregates, hence small next to the raw table).
+    """
     vals = [(F.col(v) if isinstance(v, str) else v).cast("double").alias(f"_qv{i}") for i, (v, _, _) in enumerate(specs)]
     data = df.select("*", *vals)
+    if checkpoint_input:
+        data = materialize(data)
     counts = data.groupBy(*keys).agg(*[F.count(f"_qv{i}").alias(f"_n{i}") for i in range(len(specs))])
     biggest = counts.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(specs))], F.lit(0))).first()[0] or 0
     return data, biggest
@@ -141,6 +150,7 @@ def group_quantiles(
     specs: Sequence[QuantileSpec],
     extra_aggs: Sequence[Column] = (),
     max_group_values: int | None = None,
+    checkpoint_input: bool = False,
 ) -> DataFrame:
     """Exact type-7 quantiles per group of ``keys`` for each spec (value, probs, names), NULL
     values skipped, plus ``extra_aggs`` over the group's rows. Every group of ``df`` appears
@@ -151,7 +161,7 @@ def group_quantiles(
     it the quantiles come from ``exact_quantiles`` and are joined to the group table.
     """
     keys = list(keys)
-    data, biggest = _prepare(df, keys, specs)
+    data, biggest = _prepare(df, keys, specs, checkpoint_input)
     names = [n for _, _, ns in specs for n in ns]
     if biggest <= _limit(df, max_group_values):
         qs = [bounded_quantiles(f"_qv{i}", probs).alias(f"_q{i}") for i, (_, probs, _) in enumerate(specs)]

@@ -43,6 +43,7 @@ def cv_density(med: DataFrame, cap: float = 50.0, points: int = 512, value: str
             keys,
             [("_x", [0.25, 0.75], ["_q1", "_q3"])],
             extra_aggs=[count_rows().alias("_n"), F.stddev_samp("_x").alias("_sd"), F.abs(F.min("_x")).alias("_first_abs")],
+            checkpoint_input=True,
         )
         .where(F.col("_n") >= 2)
         .withColumn("_bw", nrd0_bandwidth(F.col("_n"), F.col("_sd"), F.col("_q3") - F.col("_q1"), F.col("_first_abs")))

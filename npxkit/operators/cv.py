@@ -103,6 +103,9 @@ def replicate_intra_cv(
 def median_cv(cv: DataFrame) -> DataFrame:
     """Median replicate CV per (assay, plate, sample type); only assay type 'assay'.
 
+    The CV table (one row per replicate group) is checkpointed once for the size check and
+    the medians.
+
     The sample type is the subsample id when it names a control type, else SAMPLE. A group
     holds one CV per subsample of one plate; its size is checked before the median.
     """
@@ -110,7 +113,9 @@ def median_cv(cv: DataFrame) -> DataFrame:
     typed = cv.where(F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY).withColumn(
         S.SAMPLE_TYPE, F.when(sub.contains(S.CONTROL_MARKER), sub).otherwise(F.lit(S.SAMPLE))
     )
-    return group_quantiles(typed, [S.ASSAY_ID, S.PLATE_ID, S.SAMPLE_TYPE], [("intra_cv", [0.5], ["intra_cv_median"])])
+    return group_quantiles(
+        typed, [S.ASSAY_ID, S.PLATE_ID, S.SAMPLE_TYPE], [("intra_cv", [0.5], ["intra_cv_median"])], checkpoint_input=True
+    )
 
 
 def cv_quartiles(med: DataFrame) -> DataFrame:
@@ -123,6 +128,7 @@ def cv_quartiles(med: DataFrame) -> DataFrame:
         [S.PLATE_ID, S.SAMPLE_TYPE],
         [("intra_cv_median", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])],
         extra_aggs=[count_rows().alias("n")],
+        checkpoint_input=True,
     ).select(S.PLATE_ID, S.SAMPLE_TYPE, "n", "q1", "q2", "q3")
 
 
@@ -200,6 +206,8 @@ def median_cv_overall(med_all: DataFrame, med_lod: DataFrame, sample_type: str =
     """
     def overall(med: DataFrame, name: str) -> DataFrame:
         m = med.where(F.col(S.SAMPLE_TYPE) == sample_type).withColumn("_all", F.lit(1))
-        return group_quantiles(m, ["_all"], [("intra_cv_median", [0.5], [name])]).select("_all", name)
+        return group_quantiles(m, ["_all"], [("intra_cv_median", [0.5], [name])], checkpoint_input=True).select(
+            "_all", name
+        )
 
     return overall(med_all, "median_cv_all").join(overall(med_lod, "median_cv_lod"), "_all", "full").drop("_all")

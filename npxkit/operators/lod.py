@@ -116,6 +116,7 @@ def below_lod_per_plate(per_sample: DataFrame) -> DataFrame:
             F.min_by("total_assays", first_key).alias("total"),
             F.min_by("non_nas", first_key).alias("non_na"),
         ],
+        checkpoint_input=True,
     ).select(S.PLATE_ID, "total", "non_na", "q1", "median_below_lod", "q3")
 
 
