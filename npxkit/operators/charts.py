@@ -51,7 +51,7 @@ def cv_density(med: DataFrame, cap: float = 50.0, points: int = 512, value: str
     # The shared grid needs two scalars (global min and max): one small aggregate.
     lo, hi = x.agg(F.min("_x"), F.max("_x")).first()
     if lo is None:
-        return stats.select(*keys, F.lit(None).cast("int").alias("grid_index"), F.lit(None).cast("double").alias("x"),
+        return stats.select(*keys, F.lit(None).cast("bigint").alias("grid_index"), F.lit(None).cast("double").alias("x"),
                             F.lit(None).cast("double").alias("density")).limit(0)
     step = (hi - lo) / float(points - 1)
     grid = F.transform(
@@ -67,7 +67,7 @@ def cv_density(med: DataFrame, cap: float = 50.0, points: int = 512, value: str
         .agg((F.sum("_k") * F.lit(GAUSS_NORM) / (F.max("_n").cast("double") * F.max("_bw"))).alias("density"))
         .select(
             *keys,
-            F.col("_i").alias("grid_index"),
+            F.col("_i").cast("bigint").alias("grid_index"),
             (F.lit(lo) + F.col("_i").cast("double") * F.lit(step)).alias("x"),
             "density",
         )

@@ -37,6 +37,28 @@ def rows_of(columns, records):
     return sorted(tuple(_norm(r[i]) for i in order) for r in records), [columns[i] for i in order]
 
 
+_DUCK_TO_SPARK = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+    "FLOAT": "float",
+    "SMALLINT": "smallint",
+    "TINYINT": "tinyint",
+}
+
+
+def type_mismatches(sdf, res):
+    spark_types = dict(sdf.dtypes)
+    out = []
+    for name, dtype, *_ in res.description:
+        d = _DUCK_TO_SPARK.get(str(dtype), str(dtype))
+        if spark_types.get(name) != d:
+            out.append((name, spark_types.get(name), str(dtype)))
+    return out
+
+
 def compare(spark, con, sf_dir, name, fn, sql):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -48,10 +70,13 @@ def compare(spark, con, sf_dir, name, fn, sql):
     d_rows = res.fetchall()
     a, ac = rows_of(s_cols, s_rows)
     b, bc = rows_of(d_cols, d_rows)
-    ok = ac == bc and a == b
+    types = type_mismatches(sdf, res)
+    ok = ac == bc and a == b and not types
     detail = ""
     if not ok:
-        if ac != bc:
+        if types:
+            detail = f"types (col, spark, duck) {types}"
+        elif ac != bc:
             detail = f"columns spark={ac} duck={bc}"
         elif len(a) != len(b):
             detail = f"rows spark={len(a)} duck={len(b)}"
