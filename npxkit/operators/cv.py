@@ -201,13 +201,14 @@ def cv_by_block(df: DataFrame, npx: str = S.NPX) -> DataFrame:
 def median_cv_overall(med_all: DataFrame, med_lod: DataFrame, sample_type: str = S.SAMPLE) -> DataFrame:
     """Median CV of the whole panel with all values and without values below LOD (one row).
 
-    The medians run over every (assay, plate) of the study -- one group that grows with
-    the data -- so beyond the size bound they take the distributed exact route.
+    Both inputs are tagged, unioned and grouped by the tag: one pass, one group per input.
+    Each group grows with the study (every assay x plate), so beyond the size bound the
+    medians take the distributed exact route. The two-row result is pivoted to one row.
     """
-    def overall(med: DataFrame, name: str) -> DataFrame:
-        m = med.where(F.col(S.SAMPLE_TYPE) == sample_type).withColumn("_all", F.lit(1))
-        return group_quantiles(m, ["_all"], [("intra_cv_median", [0.5], [name])], checkpoint_input=True).select(
-            "_all", name
-        )
-
-    return overall(med_all, "median_cv_all").join(overall(med_lod, "median_cv_lod"), "_all", "full").drop("_all")
+    tagged = med_all.where(F.col(S.SAMPLE_TYPE) == sample_type).select(F.lit("all").alias("_set"), "intra_cv_median")
+    tagged = tagged.unionByName(
+        med_lod.where(F.col(S.SAMPLE_TYPE) == sample_type).select(F.lit("lod").alias("_set"), "intra_cv_median")
+    )
+    med = group_quantiles(tagged, ["_set"], [("intra_cv_median", [0.5], ["_m"])], checkpoint_input=True)
+    wide = med.groupBy().pivot("_set", ["all", "lod"]).agg(F.max("_m"))
+    return wide.select(F.col("all").alias("median_cv_all"), F.col("lod").alias("median_cv_lod"))

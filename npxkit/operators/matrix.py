@@ -17,8 +17,10 @@ from ..functions.columns import count_rows
 from ..functions.stats import group_quantiles
 from .qc import IntegrityError, duplicate_samples
 
-# Spark ML's PCA keeps a p x p matrix in memory and accepts at most this many columns.
-MAX_PCA_ASSAYS = 65_535
+# Matrices are sample x assay with one column per assay; PCA keeps a dense p x p covariance
+# (8 p^2 bytes) on the driver and in the tree aggregate. 10,000 assays -> 800 MB. A panel
+# has about 5,400 assays. Spark ML's own limit is 65,535 columns.
+MAX_PCA_ASSAYS = 10_000
 
 
 def drop_constant_assays(df: DataFrame, npx: str = S.NPX) -> DataFrame:
@@ -38,12 +40,18 @@ def _check_unique(vals: DataFrame) -> None:
         raise IntegrityError("duplicate (sample, assay) pairs: a matrix cell would hold several values")
 
 
+def _check_assay_count(vals: DataFrame) -> None:
+    """Raise before anything per assay reaches the driver if there are too many assays
+    (reads at most MAX_PCA_ASSAYS + 1 distinct ids)."""
+    n = vals.select(S.ASSAY_ID).distinct().limit(MAX_PCA_ASSAYS + 1).count()
+    if n > MAX_PCA_ASSAYS:
+        raise IntegrityError(f"more than {MAX_PCA_ASSAYS} assays: too many matrix columns")
+
+
 def assay_list(vals: DataFrame) -> list[str]:
-    """Sorted distinct assay ids (bounded by the panel; a matrix needs them as columns)."""
-    ids = [r[0] for r in vals.select(S.ASSAY_ID).distinct().orderBy(S.ASSAY_ID).collect()]
-    if len(ids) > MAX_PCA_ASSAYS:
-        raise IntegrityError(f"{len(ids)} assays: more than a matrix of this library takes ({MAX_PCA_ASSAYS})")
-    return ids
+    """Sorted distinct assay ids (bounded, checked first; a matrix needs them as columns)."""
+    _check_assay_count(vals)
+    return [r[0] for r in vals.select(S.ASSAY_ID).distinct().orderBy(S.ASSAY_ID).collect()]
 
 
 def wide_matrix(df: DataFrame, assays: list[str] | None = None, npx: str = S.NPX, check: bool = True) -> DataFrame:
@@ -76,10 +84,9 @@ def imputed_vectors(df: DataFrame, npx: str = S.NPX, check: bool = True) -> tupl
     vals = _values(df, npx)
     if check:
         _check_unique(vals)
+    _check_assay_count(vals)
     med = {r[0]: r[1] for r in assay_medians(df, npx).collect()}
     assays = sorted(med)
-    if len(assays) > MAX_PCA_ASSAYS:
-        raise IntegrityError(f"{len(assays)} assays: more than PCA takes ({MAX_PCA_ASSAYS})")
     ids = F.array(*[F.lit(a) for a in assays])
     meds = F.array(*[F.lit(float(med[a])) for a in assays])
     per_sample = vals.groupBy(S.SAMPLE_ID).agg(F.map_from_entries(F.collect_list(F.struct(S.ASSAY_ID, "_v"))).alias("_m"))
