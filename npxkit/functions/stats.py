@@ -118,7 +118,11 @@ def _limit(df: DataFrame, max_group_values: int | None) -> int:
 
 
 def _prepare(
-    df: DataFrame, keys: list[str], specs: Sequence[QuantileSpec], checkpoint_input: bool = False
+    df: DataFrame,
+    keys: list[str],
+    specs: Sequence[QuantileSpec],
+    checkpoint_input: bool = False,
+    known_max_group: int | None = None,
 ) -> tuple[DataFrame, int]:
     """Cast each spec's value to double as _qv<i> and measure the largest group (one
     partial-aggregate pass: one counter per group and spec).
@@ -131,6 +135,8 @@ def _prepare(
     data = df.select("*", *vals)
     if checkpoint_input:
         data = materialize(data)
+    if known_max_group is not None:
+        return data, known_max_group
     counts = data.groupBy(*keys).agg(*[F.count(f"_qv{i}").alias(f"_n{i}") for i in range(len(specs))])
     biggest = counts.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(specs))], F.lit(0))).first()[0] or 0
     return data, biggest
@@ -151,6 +157,7 @@ def group_quantiles(
     extra_aggs: Sequence[Column] = (),
     max_group_values: int | None = None,
     checkpoint_input: bool = False,
+    known_max_group: int | None = None,
 ) -> DataFrame:
     """Exact type-7 quantiles per group of ``keys`` for each spec (value, probs, names), NULL
     values skipped, plus ``extra_aggs`` over the group's rows. Every group of ``df`` appears
@@ -159,9 +166,11 @@ def group_quantiles(
     One partial-aggregate pass finds the largest group (values per spec). Within the bound
     the built-in ``percentile`` runs in one aggregation together with ``extra_aggs``; above
     it the quantiles come from ``exact_quantiles`` and are joined to the group table.
+    ``known_max_group`` (the largest number of values in a group, if the caller measured it
+    already) skips the measuring pass.
     """
     keys = list(keys)
-    data, biggest = _prepare(df, keys, specs, checkpoint_input)
+    data, biggest = _prepare(df, keys, specs, checkpoint_input, known_max_group)
     names = [n for _, _, ns in specs for n in ns]
     if biggest <= _limit(df, max_group_values):
         qs = [bounded_quantiles(f"_qv{i}", probs).alias(f"_q{i}") for i, (_, probs, _) in enumerate(specs)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import count_rows
 from ..functions.stats import group_quantiles
+from ..session import materialize
 from .qc import IntegrityError, duplicate_samples
 
 # Matrices are sample x assay with one column per assay; PCA keeps a dense p x p covariance
@@ -48,6 +49,19 @@ def _check_assay_count(vals: DataFrame) -> None:
         raise IntegrityError(f"more than {MAX_PCA_ASSAYS} assays: too many matrix columns")
 
 
+def _matrix_checks(vals: DataFrame, check_unique: bool) -> int:
+    """One job over the (sample, assay) pairs: duplicate cells, number of assays, and the
+    largest number of samples of an assay (the group size of the assay medians)."""
+    pairs = vals.groupBy(S.SAMPLE_ID, S.ASSAY_ID).agg(count_rows().alias("_n"))
+    per_assay = pairs.groupBy(S.ASSAY_ID).agg(count_rows().alias("_samples"), F.max("_n").alias("_dup"))
+    r = per_assay.agg(F.count(F.lit(1)).alias("assays"), F.max("_samples").alias("samples"), F.max("_dup").alias("dup")).first()
+    if check_unique and (r["dup"] or 0) > 1:
+        raise IntegrityError("duplicate (sample, assay) pairs: a matrix cell would hold several values")
+    if r["assays"] > MAX_PCA_ASSAYS:
+        raise IntegrityError(f"{r['assays']} assays: more than {MAX_PCA_ASSAYS} matrix columns")
+    return int(r["samples"] or 0)
+
+
 def assay_list(vals: DataFrame) -> list[str]:
     """Sorted distinct assay ids (bounded, checked first; a matrix needs them as columns)."""
     _check_assay_count(vals)
@@ -67,10 +81,12 @@ def wide_matrix(df: DataFrame, assays: list[str] | None = None, npx: str = S.NPX
     return vals.groupBy(S.SAMPLE_ID).pivot(S.ASSAY_ID, assays).agg(F.max("_v"))
 
 
-def assay_medians(df: DataFrame, npx: str = S.NPX) -> DataFrame:
+def assay_medians(df: DataFrame, npx: str = S.NPX, known_max_group: int | None = None) -> DataFrame:
     """Median of each assay over all samples with a value. The group grows with the samples,
     so the size-checked ``group_quantiles`` switches to the distributed exact route."""
-    return group_quantiles(_values(df, npx), [S.ASSAY_ID], [("_v", [0.5], ["median"])]).select(S.ASSAY_ID, "median")
+    return group_quantiles(
+        _values(df, npx), [S.ASSAY_ID], [("_v", [0.5], ["median"])], known_max_group=known_max_group
+    ).select(S.ASSAY_ID, "median")
 
 
 def imputed_vectors(df: DataFrame, npx: str = S.NPX, check: bool = True) -> tuple[DataFrame, list[str]]:
@@ -82,10 +98,8 @@ def imputed_vectors(df: DataFrame, npx: str = S.NPX, check: bool = True) -> tupl
     map (bounded by the panel).
     """
     vals = _values(df, npx)
-    if check:
-        _check_unique(vals)
-    _check_assay_count(vals)
-    med = {r[0]: r[1] for r in assay_medians(df, npx).collect()}
+    biggest = _matrix_checks(vals, check)
+    med = {r[0]: r[1] for r in assay_medians(df, npx, known_max_group=biggest).collect()}
     assays = sorted(med)
     ids = F.array(*[F.lit(a) for a in assays])
     meds = F.array(*[F.lit(float(med[a])) for a in assays])
@@ -132,13 +146,15 @@ def pca(df: DataFrame, k: int = 5, npx: str = S.NPX, drop_constant: bool = True)
     Steps as the reference: drop constant plate x assay groups, keep non-missing values,
     impute missing cells with the assay median, centre and scale, PCA. Spark ML builds
     the p x p covariance with a tree aggregate (p = assays, bounded by the panel) and
-    eigen-decomposes it on the driver; the scores stay distributed. Components are
+    eigen-decomposes it on the driver; the scores stay distributed. The imputed vectors are
+    checkpointed once to the shared folder because four jobs read them. Components are
     min(k, n - 1, p). Sign: the largest-magnitude loading of each component is positive.
     A zero-variance assay contributes nothing (the reference's prcomp would stop).
     """
     data = drop_constant_assays(df, npx) if drop_constant else df
     vec, assays = imputed_vectors(data, npx)
-    vec = vec.select(S.SAMPLE_ID, array_to_vector("features").alias("features"))
+    # The vectors feed four jobs (count, scaler fit, PCA fit, scores): write them once.
+    vec = materialize(vec.select(S.SAMPLE_ID, array_to_vector("features").alias("features")))
     n = vec.count()
     k_eff = max(1, min(k, n - 1, len(assays)))
     scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(vec).transform(vec)

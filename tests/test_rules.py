@@ -139,3 +139,9 @@ def test_nc_lod_needs_ten_controls(spark):
     r = lod.nc_lod(frame(spark, rows)).first()
     sd = statistics.stdev(range(11))
     assert r.nc_median == 5.0 and r.lod == pytest.approx(5.0 + max(3 * sd, 0.2))
+
+
+def test_duplicate_pairs_raise_in_imputation(spark):
+    df = frame(spark, [dict(npx=1.0), dict(npx=2.0), dict(sample_id="S2", npx=3.0)])
+    with pytest.raises(IntegrityError):
+        matrix.impute_median(df)
