@@ -17,63 +17,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _s(c) -> F.Column:
-    return c.cast("string")
-
-
 def npx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense sample x assay table (FIXTURES §2.1), from ``embeddings``."""
-    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
-    pos, vec = F.col("pos"), F.col("vec_id")
-    b = e.select(
+    """Dense sample x assay table (FIXTURES §2.1), from ``embeddings``.
+
+    Written as SQL expressions (parsed once on the JVM side) -- the view has ~20 derived
+    columns, and building them call by call from Python costs more than the job itself.
+    """
+    e = _table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "posexplode(embedding) as (pos, v)")
+    b = e.selectExpr(
         "vec_id",
         "label",
         "pos",
-        ((F.lit(1) + pos % 8) * F.col("v").cast("double")).alias("x"),
-        (vec % 4).cast("int").alias("p"),
-        F.floor(vec / F.lit(4.0)).cast("bigint").alias("w"),
-        (F.floor(pos / F.lit(8.0)).cast("int") + 1).alias("blk"),
+        "(1 + pos % 8) * cast(v as double) as x",
+        "cast(vec_id % 4 as int) as p",
+        "cast(floor(vec_id / 4.0) as bigint) as w",
+        "cast(floor(pos / 8.0) as int) + 1 as blk",
     )
-    key = vec * 31 + F.col("blk")
-    q = b.withColumn(
-        "sqc",
-        F.when(pos % 32 == 11, "NA")
-        .when(key % 97 == 0, "FAIL")
-        .when(key % 89 == 0, "WARN")
-        .when(key % 83 == 0, F.lit(None).cast("string"))
-        .otherwise("PASS"),
+    q = b.selectExpr(
+        "*",
+        """case when pos % 32 = 11 then 'NA' when (vec_id * 31 + blk) % 97 = 0 then 'FAIL'
+                when (vec_id * 31 + blk) % 89 = 0 then 'WARN' when (vec_id * 31 + blk) % 83 = 0 then null
+                else 'PASS' end as sqc""",
     )
-    w, x, blk, sqc = F.col("w"), F.col("x"), F.col("blk"), F.col("sqc")
-    return q.select(
-        F.concat(F.lit("S"), F.lpad(_s(vec), 6, "0")).alias(S.SAMPLE_ID),
-        F.when(w % 24 == 0, S.PLATE_CONTROL)
-        .when(w % 24 == 1, S.NEGATIVE_CONTROL)
-        .when(w % 24 == 2, S.SAMPLE_CONTROL)
-        .otherwise(S.SAMPLE)
-        .alias(S.SAMPLE_TYPE),
-        F.concat(
-            F.substring(F.lit("ABCDEFGH"), (w % 8).cast("int") + 1, 1),
-            _s(F.floor((w % 96) / F.lit(8.0)).cast("int") + 1),
-        ).alias(S.WELL_ID),
-        F.concat(F.lit("PLATE_"), _s(F.col("p") + 1)).alias(S.PLATE_ID),
-        F.concat(F.lit("D"), _s(blk), F.lit("0007")).alias(S.DAR_ID),
-        F.when(pos == 3, "BAD3").otherwise(F.concat(F.lit("OID"), _s(pos + 10000))).alias(S.ASSAY_ID),
-        F.when(pos == 8, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("P"), _s(F.when((pos == 5) & (vec % 2 == 1), F.lit(99999)).otherwise(pos + 10000))))
-        .alias(S.UNIPROT),
-        F.concat(F.lit("GENE"), _s(pos)).alias(S.ASSAY),
-        F.when(pos % 8 == 7, S.EXT_CTRL).otherwise(S.ASSAY_TYPE_ASSAY).alias(S.ASSAY_TYPE),
-        F.lit("Explore_HT").alias(S.PANEL),
-        _s(blk).alias(S.BLOCK),
-        (F.floor(F.abs(x) * 1000).cast("bigint") + 1).alias(S.COUNT),
-        x.alias(S.EXT_NPX),
-        F.when(sqc.isin("FAIL", "NA"), F.lit(None).cast("double")).otherwise(x).alias(S.NPX),
-        F.when((pos % 32 == 11) | (pos % 8 == 7), "NA").when(pos == 20, "WARN").otherwise("PASS").alias(S.ASSAY_QC),
-        sqc.alias(S.SAMPLE_QC),
-        F.when(pos == 9, F.lit(None).cast("double"))
-        .otherwise((F.lit(1) + pos % 8) * (F.lit(-0.15) + pos.cast("double") * F.lit(0.003)))
-        .alias(S.LOD),
-        F.concat(F.lit("SUB"), _s(F.floor(w / F.lit(2.0)).cast("bigint"))).alias(S.SUBSAMPLE_ID),
+    return q.selectExpr(
+        "concat('S', lpad(cast(vec_id as string), 6, '0')) as sample_id",
+        """case w % 24 when 0 then 'PLATE_CONTROL' when 1 then 'NEGATIVE_CONTROL' when 2 then 'SAMPLE_CONTROL'
+                else 'SAMPLE' end as sample_type""",
+        """concat(substring('ABCDEFGH', cast(w % 8 as int) + 1, 1),
+                  cast(cast(floor((w % 96) / 8.0) as int) + 1 as string)) as well_id""",
+        "concat('PLATE_', cast(p + 1 as string)) as plate_id",
+        "concat('D', cast(blk as string), '0007') as data_analysis_ref_id",
+        "case when pos = 3 then 'BAD3' else concat('OID', cast(10000 + pos as string)) end as assay_id",
+        """case when pos = 8 then null
+                else concat('P', cast(case when pos = 5 and vec_id % 2 = 1 then 99999 else 10000 + pos end as string))
+                end as uniprot""",
+        "concat('GENE', cast(pos as string)) as assay",
+        "case when pos % 8 = 7 then 'ext_ctrl' else 'assay' end as assay_type",
+        "'Explore_HT' as panel",
+        "cast(blk as string) as block",
+        "cast(floor(abs(x) * 1000) as bigint) + 1 as read_count",
+        "x as ext_npx",
+        "case when sqc in ('FAIL', 'NA') then null else x end as npx",
+        "case when pos % 32 = 11 or pos % 8 = 7 then 'NA' when pos = 20 then 'WARN' else 'PASS' end as assay_qc",
+        "sqc as sample_qc",
+        "case when pos = 9 then null else (1 + pos % 8) * (-0.15D + cast(pos as double) * 0.003D) end as lod",
+        "concat('SUB', cast(cast(floor(w / 2.0) as bigint) as string)) as subsample_id",
         "label",
     )
 
@@ -84,18 +72,16 @@ def npx_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_extendedprice"
     )
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
-    j = li.join(part, li.l_partkey == part.p_partkey)
-    return j.select(
-        F.concat(F.lit("S"), F.lpad(_s(F.col("l_suppkey") % 60), 6, "0")).alias(S.SAMPLE_ID),
-        F.concat(F.lit("PLATE_"), _s(F.col("l_linenumber") % 4 + 1)).alias(S.PLATE_ID),
-        F.concat(F.lit("OID"), F.lpad(_s(F.col("l_partkey") + 10000), 5, "0")).alias(S.ASSAY_ID),
-        F.col("p_type").alias(S.BLOCK),
-        F.lit(S.ASSAY_TYPE_ASSAY).alias(S.ASSAY_TYPE),
-        F.lit(S.SAMPLE).alias(S.SAMPLE_TYPE),
-        F.concat(F.lit("SUB"), _s(F.col("l_suppkey") % 6)).alias(S.SUBSAMPLE_ID),
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 5), F.lit(None).cast("double"))
-        .otherwise(F.log(F.col("l_extendedprice") / F.col("p_retailprice")) / F.log(F.lit(2.0)))
-        .alias(S.NPX),
+    return li.join(part, li.l_partkey == part.p_partkey).selectExpr(
+        "concat('S', lpad(cast(l_suppkey % 60 as string), 6, '0')) as sample_id",
+        "concat('PLATE_', cast(l_linenumber % 4 + 1 as string)) as plate_id",
+        "concat('OID', lpad(cast(10000 + l_partkey as string), 5, '0')) as assay_id",
+        "p_type as block",
+        "'assay' as assay_type",
+        "'SAMPLE' as sample_type",
+        "concat('SUB', cast(l_suppkey % 6 as string)) as subsample_id",
+        """case when l_returnflag = 'R' and l_quantity < 5 then null
+                else ln(l_extendedprice / p_retailprice) / ln(2.0D) end as npx""",
     )
 
 
@@ -103,12 +89,12 @@ def manifest(npx_df: DataFrame) -> DataFrame:
     """Sample manifest of the biological samples (FIXTURES §2.3)."""
     return (
         npx_df.where(F.col(S.SAMPLE_TYPE) == S.SAMPLE)
-        .select(
-            F.col(S.SAMPLE_ID).alias("olink_sample_id"),
-            F.when(F.col("label") < 7, "PRJ_A").otherwise("PRJ_B").alias("project"),
-            S.PLATE_ID,
-            F.concat(F.lit("SUBJ"), _s(F.col("label"))).alias("subj_id"),
-            S.SUBSAMPLE_ID,
+        .selectExpr(
+            "sample_id as olink_sample_id",
+            "case when label < 7 then 'PRJ_A' else 'PRJ_B' end as project",
+            "plate_id",
+            "concat('SUBJ', cast(label as string)) as subj_id",
+            "subsample_id",
         )
         .distinct()
     )
@@ -116,14 +102,13 @@ def manifest(npx_df: DataFrame) -> DataFrame:
 
 def subjects(npx_df: DataFrame) -> DataFrame:
     """Subject sheet; label 9 is left out so joins drop rows (FIXTURES §2.3)."""
-    label = F.col("label")
     return (
-        npx_df.where(label != 9)
-        .select(
-            F.concat(F.lit("SUBJ"), _s(label)).alias("subj_id"),
-            F.when(label % 3 == 0, "case").when(label % 3 == 1, "control").otherwise("pool").alias("subj_type"),
-            F.when(label % 2 == 0, "F").otherwise("M").alias("sex"),
-            F.lit("plasma").alias("tissue_type"),
+        npx_df.where(F.col("label") != 9)
+        .selectExpr(
+            "concat('SUBJ', cast(label as string)) as subj_id",
+            "case label % 3 when 0 then 'case' when 1 then 'control' else 'pool' end as subj_type",
+            "case label % 2 when 0 then 'F' else 'M' end as sex",
+            "'plasma' as tissue_type",
         )
         .distinct()
     )
