@@ -123,9 +123,10 @@ def _prepare(
     specs: Sequence[QuantileSpec],
     checkpoint_input: bool = False,
     known_max_group: int | None = None,
-) -> tuple[DataFrame, int]:
-    """Cast each spec's value to double as _qv<i> and measure the largest group (one
-    partial-aggregate pass: one counter per group and spec).
+) -> tuple[DataFrame, int, DataFrame]:
+    """Cast each spec's value to double as _qv<i>; measure the largest group (one
+    partial-aggregate pass: one counter per group and spec). Returns the prepared data,
+    the largest group size and the (lazy) per-group counts.
 
     With ``checkpoint_input`` the prepared input is written once to the shared checkpoint
     folder, so the size check and the quantiles read it instead of recomputing its lineage
@@ -135,11 +136,20 @@ def _prepare(
     data = df.select("*", *vals)
     if checkpoint_input:
         data = materialize(data)
+    counts = data.groupBy(*keys).agg(
+        F.greatest(*[F.count(f"_qv{i}") for i in range(len(specs))], F.lit(0)).alias("_n")
+    )
     if known_max_group is not None:
-        return data, known_max_group
-    counts = data.groupBy(*keys).agg(*[F.count(f"_qv{i}").alias(f"_n{i}") for i in range(len(specs))])
-    biggest = counts.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(specs))], F.lit(0))).first()[0] or 0
-    return data, biggest
+        return data, known_max_group, counts
+    biggest = counts.agg(F.max("_n")).first()[0] or 0
+    return data, biggest, counts
+
+
+def _split_hot(data: DataFrame, keys: list[str], counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups within the bound, and rows of hot groups. There are fewer hot groups
+    than (values / limit), so the hot-key table stays small next to the data."""
+    hot = counts.where(F.col("_n") > limit).select(*keys)
+    return join_on_keys(data, hot, keys, "left_anti"), join_on_keys(data, hot, keys, "left_semi")
 
 
 def _exact_table(data: DataFrame, keys: list[str], specs: Sequence[QuantileSpec], groups: DataFrame) -> DataFrame:
@@ -150,6 +160,14 @@ def _exact_table(data: DataFrame, keys: list[str], specs: Sequence[QuantileSpec]
     return out
 
 
+def _bounded_groups(data: DataFrame, keys: list[str], specs: Sequence[QuantileSpec], extra_aggs: Sequence[Column]) -> DataFrame:
+    qs = [bounded_quantiles(f"_qv{i}", probs).alias(f"_q{i}") for i, (_, probs, _) in enumerate(specs)]
+    out = data.groupBy(*keys).agg(*qs, *extra_aggs)
+    picks = [F.col(f"_q{i}")[j].alias(n) for i, (_, _, ns) in enumerate(specs) for j, n in enumerate(ns)]
+    extra = [c for c in out.columns if c not in keys and not c.startswith("_q")]
+    return out.select(*keys, *picks, *extra)
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -163,24 +181,22 @@ def group_quantiles(
     values skipped, plus ``extra_aggs`` over the group's rows. Every group of ``df`` appears
     once; a group without values gets NULL quantiles.
 
-    One partial-aggregate pass finds the largest group (values per spec). Within the bound
-    the built-in ``percentile`` runs in one aggregation together with ``extra_aggs``; above
-    it the quantiles come from ``exact_quantiles`` and are joined to the group table.
-    ``known_max_group`` (the largest number of values in a group, if the caller measured it
-    already) skips the measuring pass.
+    One partial-aggregate pass finds the largest group (values per spec). Groups within the
+    bound use the built-in ``percentile`` in one aggregation together with ``extra_aggs``;
+    groups above it (hot keys) are split off and take ``exact_quantiles``, which spreads
+    each of them over many tasks. ``known_max_group`` (the largest number of values in a
+    group, if the caller measured it already) skips the measuring pass.
     """
     keys = list(keys)
-    data, biggest = _prepare(df, keys, specs, checkpoint_input, known_max_group)
-    names = [n for _, _, ns in specs for n in ns]
-    if biggest <= _limit(df, max_group_values):
-        qs = [bounded_quantiles(f"_qv{i}", probs).alias(f"_q{i}") for i, (_, probs, _) in enumerate(specs)]
-        out = data.groupBy(*keys).agg(*qs, *extra_aggs)
-        picks = [F.col(f"_q{i}")[j].alias(n) for i, (_, _, ns) in enumerate(specs) for j, n in enumerate(ns)]
-        extra = [c for c in out.columns if c not in keys and not c.startswith("_q")]
-        return out.select(*keys, *picks, *extra)
-    groups = data.groupBy(*keys).agg(*extra_aggs) if extra_aggs else data.select(*keys).distinct()
-    out = _exact_table(data, keys, specs, groups)
-    return out.select(*keys, *names, *[c for c in out.columns if c not in keys and c not in names])
+    data, biggest, counts = _prepare(df, keys, specs, checkpoint_input, known_max_group)
+    limit = _limit(df, max_group_values)
+    bounded = _bounded_groups(data, keys, specs, extra_aggs)
+    if biggest <= limit:
+        return bounded
+    cold, hot = _split_hot(data, keys, counts, limit)
+    groups = hot.groupBy(*keys).agg(*extra_aggs) if extra_aggs else hot.select(*keys).distinct()
+    hot_q = _exact_table(hot, keys, specs, groups)
+    return _bounded_groups(cold, keys, specs, extra_aggs).unionByName(hot_q.select(*bounded.columns))
 
 
 def attach_quantiles(
@@ -191,18 +207,25 @@ def attach_quantiles(
 ) -> DataFrame:
     """``df`` with its group's quantiles added as columns (a grouped mutate).
 
-    Within the size bound this is a window aggregate over ``keys``: the rows are shuffled
-    once, no join, and the values of a group are only buffered in the task that owns it.
-    Above the bound the quantiles come from the distributed exact route and are joined
-    back (NULL keys match, as in grouping).
+    Groups within the size bound get a window aggregate over ``keys``: the rows are
+    shuffled once, no join, and a group's values are buffered only in the task that owns
+    it. Hot groups are split off; their quantiles come from the distributed exact route
+    and are joined back (NULL keys match, as in grouping).
     """
     keys = list(keys)
-    data, biggest = _prepare(df, keys, specs)
+    data, biggest, counts = _prepare(df, keys, specs)
     tmp = [f"_qv{i}" for i in range(len(specs))]
-    if biggest <= _limit(df, max_group_values):
+
+    def windowed(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy(*keys)
-        with_q = data.withColumns({f"_q{i}": bounded_quantiles(f"_qv{i}", probs).over(w) for i, (_, probs, _) in enumerate(specs)})
+        with_q = rows.withColumns({f"_q{i}": bounded_quantiles(f"_qv{i}", probs).over(w) for i, (_, probs, _) in enumerate(specs)})
         picks = {n: F.col(f"_q{i}")[j] for i, (_, _, ns) in enumerate(specs) for j, n in enumerate(ns)}
         return with_q.withColumns(picks).drop(*tmp, *[f"_q{i}" for i in range(len(specs))])
-    table = _exact_table(data, keys, specs, data.select(*keys).distinct())
-    return join_on_keys(data, table, keys, "left").drop(*tmp)
+
+    if biggest <= _limit(df, max_group_values):
+        return windowed(data)
+    cold, hot = _split_hot(data, keys, counts, _limit(df, max_group_values))
+    table = _exact_table(hot, keys, specs, hot.select(*keys).distinct())
+    hot_rows = join_on_keys(hot, table, keys, "left").drop(*tmp)
+    cold_rows = windowed(cold)
+    return cold_rows.unionByName(hot_rows.select(*cold_rows.columns))

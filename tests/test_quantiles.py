@@ -34,3 +34,18 @@ def test_exact_quantiles_single_global_group(spark):
     df = spark.range(1001).select(F.lit(1).alias("k"), (F.col("id") * 0.5).alias("v")).repartition(5)
     r = exact_quantiles(df, ["k"], "v", [0.5, 0.9], ["m", "p90"], num_partitions=9).first()
     assert r.m == 250.0 and r.p90 == 450.0 and r.n_values == 1001
+
+
+def test_group_quantiles_splits_hot_groups(spark):
+    from npxkit.functions.stats import attach_quantiles, group_quantiles
+
+    rows = [("hot", None, float(i)) for i in range(50)] + [("cold", "x", 1.0), ("cold", "x", 3.0), (None, "y", 5.0)]
+    rows += [("empty", "z", None)]
+    df = spark.createDataFrame(rows, "g string, h string, v double")
+    got = group_quantiles(df, ["g", "h"], [("v", [0.5], ["med"])], extra_aggs=[F.count(F.lit(1)).alias("n")],
+                          max_group_values=10)
+    got = {(r.g, r.h): (r.med, r.n) for r in got.collect()}
+    assert got == {("hot", None): (24.5, 50), ("cold", "x"): (2.0, 2), (None, "y"): (5.0, 1), ("empty", "z"): (None, 1)}
+    att = attach_quantiles(df, ["g", "h"], [("v", [0.5], ["med"])], max_group_values=10).collect()
+    assert len(att) == len(rows)
+    assert {(r.g, r.h, r.med) for r in att} == {("hot", None, 24.5), ("cold", "x", 2.0), (None, "y", 5.0), ("empty", "z", None)}
