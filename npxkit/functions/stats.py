@@ -47,15 +47,22 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     num_partitions: int | None = None,
+    values_per_partition: int = 4_000_000,
 ) -> DataFrame:
     """Exact type-7 quantiles of ``value`` per group of ``keys`` without holding a group in one task.
 
     Returns one row per group having at least one non-NULL value: ``keys`` + ``names``
-    (double) + ``n_values``.
+    (double) + ``n_values``. Without ``num_partitions`` the range partitioning is sized from
+    the number of values (``values_per_partition`` each, at least the shuffle partitions):
+    AQE can merge range partitions but not split them.
     """
     keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ordered = v.repartitionByRange(num_partitions, *keys, "_v") if num_partitions else v.repartitionByRange(*keys, "_v")
+    if not num_partitions:
+        spark = df.sparkSession
+        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        num_partitions = max(base, -(-v.count() // values_per_partition))
+    ordered = v.repartitionByRange(num_partitions, *keys, "_v")
     ordered = ordered.sortWithinPartitions(*keys, "_v").withColumn("_id", F.monotonically_increasing_id())
     # The row ids depend on the physical layout: write them once so every later use sees the same ids.
     ranked = materialize(ordered)
