@@ -87,15 +87,27 @@ def normalize_pc_with_lot_factor(df: DataFrame, lots: DataFrame, value: str = S.
     return n.withColumn("npx_pc_lot", F.when(~failed, F.col(value) - F.col("pc_median") - lf))
 
 
-def choose_npx(normalized: DataFrame, kind: str = "intensity") -> DataFrame:
+def choose_npx(normalized: DataFrame, kind: str = "intensity", mark_excluded: bool = True) -> DataFrame:
     """Fill the delivered columns from ``normalize`` output: NPX holds the chosen kind,
-    PCNormalizedNPX always the plate-control values, Normalization names the kind."""
+    PCNormalizedNPX always the plate-control values, Normalization names the kind.
+
+    With ``mark_excluded`` rows of excluded assays (type 'assay' with AssayQC "NA") are
+    labelled EXCLUDED and carry no NPX.
+    """
     if kind not in ("intensity", "plate_control"):
         raise ValueError("kind must be 'intensity' or 'plate_control'")
     chosen = "npx_intensity" if kind == "intensity" else "npx_pc"
     label = "Intensity" if kind == "intensity" else "Plate control"
+    excluded = (
+        (F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY) & (F.col(S.ASSAY_QC) == S.QC_NA) if mark_excluded else F.lit(False)
+    )
+    excluded = F.coalesce(excluded, F.lit(False))
     return normalized.withColumns(
-        {S.NPX: F.col(chosen), S.PC_NPX: F.col("npx_pc"), S.NORMALIZATION: F.lit(label)}
+        {
+            S.NPX: F.when(~excluded, F.col(chosen)),
+            S.PC_NPX: F.when(~excluded, F.col("npx_pc")),
+            S.NORMALIZATION: F.when(excluded, F.lit("EXCLUDED")).otherwise(F.lit(label)),
+        }
     )
 
 

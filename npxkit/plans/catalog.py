@@ -550,7 +550,10 @@ def q_normalize_pc_lot(spark, sf):
     "choose_npx",
     Q(
         ["npx"],
-        "select sample_id, assay_id, round(npx_intensity, 6) as npx, round(npx_pc, 6) as pc_npx, 'Intensity' as normalization from nz",
+        """select sample_id, assay_id,
+       case when not ex then round(npx_intensity, 6) end as npx, case when not ex then round(npx_pc, 6) end as pc_npx,
+       case when ex then 'EXCLUDED' else 'Intensity' end as normalization
+from (select *, coalesce(assay_type = 'assay' and assay_qc = 'NA', false) as ex from nz) t""",
         _SQL_NORM,
     ),
 )

@@ -4,6 +4,7 @@ import math
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 from npxkit.operators import charts, cv, lod, matrix, normalize, qc
 from npxkit.operators.qc import IntegrityError
 from npxkit.sources.readers import read_npx
@@ -145,3 +146,13 @@ def test_duplicate_pairs_raise_in_imputation(spark):
     df = frame(spark, [dict(npx=1.0), dict(npx=2.0), dict(sample_id="S2", npx=3.0)])
     with pytest.raises(IntegrityError):
         matrix.impute_median(df)
+
+
+def test_choose_npx_marks_excluded_assays(spark):
+    rows = [dict(sample_id="A", sample_type="PLATE_CONTROL", ext_npx=1.0), dict(sample_id="B", ext_npx=2.0)]
+    df = frame(spark, rows).withColumn("assay_qc", F.lit("NA"))
+    out = normalize.choose_npx(normalize.normalize(df)).collect()
+    assert {r.normalization for r in out} == {"EXCLUDED"} and all(r.npx is None for r in out)
+    out = normalize.choose_npx(normalize.normalize(df.withColumn("assay_qc", F.lit("PASS"))), "plate_control").collect()
+    assert {r.normalization for r in out} == {"Plate control"}
+    assert sorted(r.npx for r in out) == [0.0, 1.0]
