@@ -40,13 +40,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
     Only when neither the context nor the configuration names one (local tests) is a
-    folder under the system temp directory set.
+    folder under the system temp directory set. Under Spark Connect (no SparkContext on
+    the client) the configured folder is returned as it is.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the context
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
