@@ -49,3 +49,23 @@ def test_group_quantiles_splits_hot_groups(spark):
     att = attach_quantiles(df, ["g", "h"], [("v", [0.5], ["med"])], max_group_values=10).collect()
     assert len(att) == len(rows)
     assert {(r.g, r.h, r.med) for r in att} == {("hot", None, 24.5), ("cold", "x", 2.0), (None, "y", 5.0), ("empty", "z", None)}
+
+
+def test_exact_quantiles_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    groups = st.lists(
+        st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(-5, 5).map(float)), min_size=1, max_size=60
+    )
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(rows=groups, p=st.floats(0, 1), parts=st.integers(1, 9))
+    def check(rows, p, parts):
+        df = spark.createDataFrame(rows, "g string, v double")
+        got = {r.g: r.q for r in exact_quantiles(df, ["g"], "v", [p], ["q"], num_partitions=parts).collect()}
+        for g in {g for g, _ in rows}:
+            vals = np.array([v for gg, v in rows if gg == g])
+            np.testing.assert_allclose(got[g], np.quantile(vals, p), atol=1e-9)
+
+    check()
