@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +22,22 @@ def to_library_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(present) if present else df
 
 
-def read_npx(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
+KEY_COLUMNS = [S.SAMPLE_ID, S.ASSAY_ID, S.PLATE_ID]
+
+
+def read_npx(
+    spark: SparkSession, path: str | list[str], columns: list[str] | None = None, check_keys: bool = True
+) -> DataFrame:
     """Read measurement Parquet (vendor or library column names) into the library schema.
 
     Known columns are cast to their declared types, NaN becomes NULL in every double
     column (R's is.na treats both alike), and the required columns are checked. With
     ``columns`` only those (library names) are kept, so the scan reads only them.
+
+    With ``check_keys`` a NULL sample, assay or plate id fails the job when it is read
+    (R joins match missing keys, Spark's equi-joins do not). The check is a filter
+    condition next to the scan, not an extra pass, and the key columns stay untouched so
+    filters on them still reach the Parquet scan.
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = to_library_columns(spark.read.parquet(*paths))
@@ -45,7 +57,13 @@ def read_npx(spark: SparkSession, path: str | list[str], columns: list[str] | No
             c = nan_to_null(c)
         if want != f.dataType or isinstance(want, (T.DoubleType, T.FloatType)):
             casts[f.name] = c
-    return df.withColumns(casts) if casts else df
+    df = df.withColumns(casts) if casts else df
+    keys = [k for k in KEY_COLUMNS if k in df.columns] if check_keys else []
+    if keys:
+        missing_key = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        msg = F.lit(f"NULL key ({', '.join(keys)}) in the measurement table")
+        df = df.where(F.when(missing_key, F.raise_error(msg)).otherwise(F.lit(True)))
+    return df
 
 
 def read_fixed_lod(

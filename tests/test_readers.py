@@ -58,3 +58,13 @@ def test_integrity_bundle(spark):
     assert [(r.assay_id, r.n_uniprot, r.extra) for r in res["uniprot_replacements"].collect()] == [("OID12345", 2, 1)]
     with pytest.raises(qc.IntegrityError):
         qc.value_column(df.drop("npx"))
+
+
+def test_read_npx_null_key_fails_when_read(spark, tmp_path):
+    df = spark.createDataFrame([("S1", "OID00001", 1.0), (None, "OID00002", 2.0)],
+                               "SampleID string, OlinkID string, NPX double")
+    p = str(tmp_path / "nullkey.parquet")
+    readers.write_result(df, p)
+    with pytest.raises(Exception, match="NULL key"):
+        readers.read_npx(spark, p).collect()
+    assert readers.read_npx(spark, p, check_keys=False).count() == 2
