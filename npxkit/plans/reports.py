@@ -20,8 +20,16 @@ from ..operators import charts, cv, lod, manifest, matrix, qc, sheet
 from ..session import materialize
 
 
-def qc_report(df: DataFrame) -> dict[str, DataFrame]:
-    """Integrity bundle plus QC flags (flagged assays, samples, block-wise matrix)."""
+def qc_report(df: DataFrame, checkpoint_input: bool = False) -> dict[str, DataFrame]:
+    """Integrity bundle plus QC flags (flagged assays, samples, block-wise matrix).
+
+    With ``checkpoint_input`` the columns the checks read are written once to the shared
+    checkpoint folder, so the six outputs do not each rescan the source.
+    """
+    if checkpoint_input:
+        cols = [c for c in (S.SAMPLE_ID, S.SAMPLE_TYPE, S.WELL_ID, S.PLATE_ID, S.ASSAY_ID, S.UNIPROT, S.ASSAY,
+                            S.ASSAY_TYPE, S.BLOCK, S.ASSAY_QC, S.SAMPLE_QC, S.NPX) if c in df.columns]
+        df = materialize(df.select(*cols))
     out = dict(qc.check_integrity(df))
     out.update(qc.inspect_qc(df))
     out["sample_sheet"] = sheet.sample_sheet(df)

@@ -33,3 +33,9 @@ def test_pca_report(spark):
     out = reports.pca_report(d, full, k=3)
     assert out["variance"].count() == 3
     assert out["scores"].count() == full.count()
+
+
+def test_qc_report_checkpointed_input(spark):
+    d = fx.npx(spark, SF001)
+    out = reports.qc_report(d, checkpoint_input=True)
+    assert out["flagged_samples_matrix"].count() == reports.qc_report(d)["flagged_samples_matrix"].count()
