@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read one test table. With ``spread``, a scan that yields fewer splits than the
+    default parallelism (a file with one row group is read by one task) is spread over the
+    cores round-robin, so the derivation work above it runs in parallel. Inputs with
+    enough splits are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def npx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +32,7 @@ def npx(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written as SQL expressions (parsed once on the JVM side) -- the view has ~20 derived
     columns, and building them call by call from Python costs more than the job itself.
     """
-    e = _table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "posexplode(embedding) as (pos, v)")
+    e = _table(spark, sf_dir, "embeddings", spread=True).selectExpr("vec_id", "label", "posexplode(embedding) as (pos, v)")
     b = e.selectExpr(
         "vec_id",
         "label",
@@ -68,7 +77,7 @@ def npx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def npx_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse, larger table with duplicate (sample, assay) pairs (FIXTURES §2.2)."""
-    li = _table(spark, sf_dir, "lineitem").select(
+    li = _table(spark, sf_dir, "lineitem", spread=True).select(
         "l_suppkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_extendedprice"
     )
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
