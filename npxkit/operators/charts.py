@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import count_rows
 from ..functions.stats import GAUSS_NORM, attach_quantiles, group_quantiles, nrd0_bandwidth
+from ..session import materialize
 
 
 def cv_histogram(df: DataFrame, cv: str = "intra_cv", width: float = 0.5, npx: str = S.NPX, lod: str = S.LOD) -> DataFrame:
@@ -36,14 +37,15 @@ def cv_density(med: DataFrame, cap: float = 50.0, points: int = 512, value: str
     parameter, so the work is values x points, whatever the data size.
     """
     keys = [S.SAMPLE_TYPE, S.PLATE_ID]
-    x = med.select(*keys, F.least(F.col(value), F.lit(cap)).alias("_x")).where(F.col("_x").isNotNull())
+    # The capped values (one per assay x plate x type) feed three jobs -- grid bounds,
+    # bandwidths and kernel sums -- so they are written once to the checkpoint folder.
+    x = materialize(med.select(*keys, F.least(F.col(value), F.lit(cap)).alias("_x")).where(F.col("_x").isNotNull()))
     stats = (
         group_quantiles(
             x,
             keys,
             [("_x", [0.25, 0.75], ["_q1", "_q3"])],
             extra_aggs=[count_rows().alias("_n"), F.stddev_samp("_x").alias("_sd"), F.abs(F.min("_x")).alias("_first_abs")],
-            checkpoint_input=True,
         )
         .where(F.col("_n") >= 2)
         .withColumn("_bw", nrd0_bandwidth(F.col("_n"), F.col("_sd"), F.col("_q3") - F.col("_q1"), F.col("_first_abs")))
