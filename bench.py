@@ -2,8 +2,9 @@
 
 Each query runs to completion through the ``noop`` sink (the whole plan executes, nothing
 is collected to the driver). One untimed pass over all queries first pays JVM class loading
-and JIT compilation; the timed pass follows, and the warm-up total is reported too.
-Prints one JSON line.
+and JIT compilation; then every query is timed twice and the faster run is recorded (the
+machine is shared; the minimum is the least noisy estimate). The warm-up total is
+reported too. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def main() -> None:
         return time.perf_counter() - t0
 
     warmup = sum(run(name) for name in names)
-    times = {name: round(run(name), 3) for name in names}
+    times = {name: round(min(run(name), run(name)), 3) for name in names}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(
         json.dumps(
@@ -70,6 +71,7 @@ def main() -> None:
                 "queries": times,
                 "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
                 "warmup_pass_sec": round(warmup, 3),
+                "timing": "min of 2 runs after a warm-up pass",
                 "cpus": int(cpus),
             }
         )
