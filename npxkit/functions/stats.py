@@ -59,8 +59,8 @@ def exact_quantiles(
     keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if not num_partitions:
-        spark = df.sparkSession
-        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+        base = int(setting) if str(setting).isdigit() else 200
         num_partitions = max(base, -(-v.count() // values_per_partition))
     ordered = v.repartitionByRange(num_partitions, *keys, "_v")
     ordered = ordered.sortWithinPartitions(*keys, "_v").withColumn("_id", F.monotonically_increasing_id())
@@ -99,8 +99,8 @@ def exact_quantiles(
         aggs.append(F.max(F.when(F.col("_rank") == lo + 1, F.col("_v"))).alias(f"_hi{i}"))
     out = picked.groupBy(*keys).agg(F.max("_n").alias("n_values"), *aggs)
     cols = []
-    for i, (h, name) in enumerate(zip(hs, names)):
-        h = (F.col("n_values") - 1).cast("double") * F.lit(float(probs[i]))
+    for i, (p, name) in enumerate(zip(probs, names)):
+        h = (F.col("n_values") - 1).cast("double") * F.lit(float(p))
         lo_v, hi_v = F.col(f"_lo{i}"), F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}"))
         cols.append((lo_v + (h - F.floor(h)) * (hi_v - lo_v)).alias(name))
     return out.select(*keys, *cols, "n_values")
