@@ -55,9 +55,11 @@ def _replicate_cv(spark: SparkSession, sf: str, drop_below_lod: bool) -> DataFra
 
 
 # DuckDB: the sample sheet, full sheet and replicate map as CTE text.
-_SQL_SHEET = """
+_SQL_SHEET_ONLY = """
 sheet as (select distinct sample_id, sample_type, well_id as well, plate_id as plate,
-                 concat('Column ', substring(well_id, 2, 2)) as "column", substring(well_id, 1, 1) as "row" from npx),
+                 concat('Column ', substring(well_id, 2, 2)) as "column", substring(well_id, 1, 1) as "row" from npx)"""
+
+_SQL_SHEET = _SQL_SHEET_ONLY + """,
 full_sheet as (select s.*, m.project, m.plate_id, m.subj_id, m.subsample_id, j.subj_type, j.sex, j.tissue_type
                from sheet s join manifest m on s.sample_id = m.olink_sample_id
                join subjects j on m.subj_id = j.subj_id)"""
@@ -322,7 +324,7 @@ def q_npx_preview(spark, sf):
     return sheet.preview(fx.npx(spark, sf), 6)
 
 
-@register("sample_sheet", Q(["npx"], "select * from sheet", _SQL_SHEET.split("full_sheet as")[0].rstrip().rstrip(",")))
+@register("sample_sheet", Q(["npx"], "select * from sheet", _SQL_SHEET_ONLY))
 def q_sample_sheet(spark, sf):
     return sheet.sample_sheet(fx.npx(spark, sf))
 
@@ -334,7 +336,7 @@ def q_sample_sheet(spark, sf):
         "select plate, \"row\", "
         + ", ".join(f"min(sample_type) filter (where \"column\" = 'Column {c}') as col_{c}" for c in S.PLATE_COLUMNS)
         + ' from sheet group by plate, "row"',
-        _SQL_SHEET.split("full_sheet as")[0].rstrip().rstrip(","),
+        _SQL_SHEET_ONLY,
     ),
 )
 def q_plate_layout(spark, sf):
@@ -481,10 +483,12 @@ def q_qc_outliers(spark, sf):
 # ---------------------------------------------------------------------------
 # Normalisation
 # ---------------------------------------------------------------------------
-_SQL_NORM = """
+_SQL_PLATE_MEDIANS = """
 pm as (select plate_id, assay_id, median(case when sample_type = 'PLATE_CONTROL' then ext_npx end) as pc_median,
               median(case when sample_type = 'SAMPLE' then ext_npx end) as sample_median
-       from npx group by plate_id, assay_id),
+       from npx group by plate_id, assay_id)"""
+
+_SQL_NORM = _SQL_PLATE_MEDIANS + """,
 nz as (select d.*, pm.pc_median, pm.sample_median,
               case when coalesce(d.sample_qc in ('FAIL', 'NA'), false) then null else d.ext_npx - pm.pc_median end as npx_pc,
               case when coalesce(d.sample_qc in ('FAIL', 'NA'), false) then null else d.ext_npx - pm.sample_median end as npx_intensity
@@ -580,7 +584,7 @@ def q_counts_only(spark, sf):
         """select d.sample_id, d.assay_id, d.plate_id, f.pc_lod, round(f.pc_lod + pm.pc_median - pm.sample_median, 6) as lod
 from npx d left join fixed_lod f on d.assay_id = f.assay_id and d.data_analysis_ref_id = f.data_analysis_ref_id
 left join pm on d.plate_id = pm.plate_id and d.assay_id = pm.assay_id""",
-        _SQL_NORM.split("nz as")[0].rstrip().rstrip(","),
+        _SQL_PLATE_MEDIANS,
     ),
 )
 def q_append_fixed_lod(spark, sf):
