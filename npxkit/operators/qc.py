@@ -69,13 +69,38 @@ def value_column(df: DataFrame) -> str:
     return kind
 
 
+def all_missing(df: DataFrame, key: str, npx: str = S.NPX) -> DataFrame:
+    """Ids (samples or assays) whose every value is missing, with their row count.
+
+    The standard validation the reference relies on flags these. One partial aggregate
+    per id: two counters per group cross the shuffle.
+    """
+    return (
+        df.groupBy(key)
+        .agg(count_rows().alias("n_rows"), F.count(npx).alias("_n_values"))
+        .where(F.col("_n_values") == 0)
+        .drop("_n_values")
+    )
+
+
+def all_missing_samples(df: DataFrame, npx: str = S.NPX) -> DataFrame:
+    return all_missing(df, S.SAMPLE_ID, npx)
+
+
+def all_missing_assays(df: DataFrame, npx: str = S.NPX) -> DataFrame:
+    return all_missing(df, S.ASSAY_ID, npx)
+
+
 def check_integrity(df: DataFrame) -> dict:
-    """Bundle: value column kind and three lazy check results."""
+    """Bundle: value column kind and the lazy check results."""
+    kind = value_column(df)
     return {
-        "data_type": value_column(df),
+        "data_type": kind,
         "non_conforming_oid": non_conforming_assay_ids(df),
         "duplicate_samples": duplicate_samples(df),
         "uniprot_replacements": uniprot_mismatches(df),
+        "all_missing_samples": all_missing_samples(df, kind),
+        "all_missing_assays": all_missing_assays(df, kind),
     }
 
 

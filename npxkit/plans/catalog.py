@@ -400,6 +400,22 @@ def q_uniprot_mismatches(spark, sf):
     return qc.uniprot_mismatches(fx.npx(spark, sf))
 
 
+@register(
+    "all_missing_samples",
+    Q(["npx"], "select sample_id, count(*) as n_rows from npx group by sample_id having count(npx) = 0"),
+)
+def q_all_missing_samples(spark, sf):
+    return qc.all_missing_samples(fx.npx(spark, sf))
+
+
+@register(
+    "all_missing_assays",
+    Q(["npx"], "select assay_id, count(*) as n_rows from npx group by assay_id having count(npx) = 0"),
+)
+def q_all_missing_assays(spark, sf):
+    return qc.all_missing_assays(fx.npx(spark, sf))
+
+
 @register(
     "flagged_assays",
     Q(["npx"], "select distinct assay_id, assay, block, assay_qc from npx where assay_type = 'assay' and assay_qc <> 'PASS'"),
