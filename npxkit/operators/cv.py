@@ -199,7 +199,9 @@ def cv_by_block(df: DataFrame, npx: str = S.NPX) -> DataFrame:
 
 
 def median_cv_overall(med_all: DataFrame, med_lod: DataFrame, sample_type: str = S.SAMPLE) -> DataFrame:
-    """Median CV of the whole panel with all values and without values below LOD (one row).
+    """Median CV of the whole panel with all values and without values below LOD (one row):
+    the median over the per-(assay, plate) median CVs of ``sample_type`` (``median_cv``
+    output), as the panel-level figures are quoted per assay.
 
     Both inputs are tagged, unioned and grouped by the tag: one pass, one group per input.
     Each group grows with the study (every assay x plate), so beyond the size bound the

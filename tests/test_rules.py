@@ -156,3 +156,10 @@ def test_choose_npx_marks_excluded_assays(spark):
     out = normalize.choose_npx(normalize.normalize(df.withColumn("assay_qc", F.lit("PASS"))), "plate_control").collect()
     assert {r.normalization for r in out} == {"Plate control"}
     assert sorted(r.npx for r in out) == [0.0, 1.0]
+
+
+def test_all_missing_samples_and_assays(spark):
+    df = frame(spark, [dict(sample_id="A", assay_id="X", npx=None), dict(sample_id="A", assay_id="Y", npx=None),
+                       dict(sample_id="B", assay_id="X", npx=1.0), dict(sample_id="B", assay_id="Y", npx=None)])
+    assert [(r.sample_id, r.n_rows) for r in qc.all_missing_samples(df).collect()] == [("A", 2)]
+    assert [(r.assay_id, r.n_rows) for r in qc.all_missing_assays(df).collect()] == [("Y", 2)]
