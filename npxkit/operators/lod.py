@@ -23,9 +23,8 @@ def append_fixed_lod(df: DataFrame, fixed: DataFrame, value: str = S.EXT_NPX) ->
     Rows without a fixed value get NULL in both. The fixed table has at most one row per
     assay and reference id, so the planner broadcasts it.
     """
-    base = df.drop(S.LOD, S.PC_LOD)
-    with_lod = base.join(fixed.select(S.ASSAY_ID, S.DAR_ID, S.PC_LOD), [S.ASSAY_ID, S.DAR_ID], "left")
-    shifted = with_plate_medians(with_lod, value)
+    base = with_plate_medians(df.drop(S.LOD, S.PC_LOD), value)
+    shifted = base.join(fixed.select(S.ASSAY_ID, S.DAR_ID, S.PC_LOD), [S.ASSAY_ID, S.DAR_ID], "left")
     return shifted.withColumn(S.LOD, F.col(S.PC_LOD) + F.col("pc_median") - F.col("sample_median")).drop(
         "pc_median", "sample_median"
     )
