@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -127,14 +127,17 @@ def flagged_samples(df: DataFrame) -> DataFrame:
 def sample_qc_long(df: DataFrame) -> DataFrame:
     """For flagged samples, per (sample, block): every status as ``STATUS (n=k)``, joined by ", ".
 
-    Statuses are ordered as text, a missing status last (written "NA").
+    Statuses are ordered as text, a missing status last (written "NA"). The measurement
+    table is read once: the status counts (one row per sample x block x status) are a
+    partial aggregate, and a sample is flagged by a window over its own count rows (at
+    most blocks x QC states of them) -- no second scan, no join.
     """
-    flagged = flagged_samples(df)
+    all_counts = df.groupBy(S.SAMPLE_ID, S.BLOCK, S.SAMPLE_QC).agg(count_rows().alias("_n"))
+    flag = not_in_or_null(S.SAMPLE_QC, [S.QC_NA, S.QC_PASS]).cast("int")
     counts = (
-        df.select(S.SAMPLE_ID, S.BLOCK, S.SAMPLE_QC)
-        .join(flagged, S.SAMPLE_ID, "left_semi")
-        .groupBy(S.SAMPLE_ID, S.BLOCK, S.SAMPLE_QC)
-        .agg(count_rows().alias("_n"))
+        all_counts.withColumn("_flagged", F.max(flag).over(Window.partitionBy(S.SAMPLE_ID)))
+        .where(F.col("_flagged") == 1)
+        .drop("_flagged")
     )
     label = F.concat(qc_label(S.SAMPLE_QC), F.lit(" (n="), F.col("_n").cast("string"), F.lit(")"))
     item = F.struct(F.col(S.SAMPLE_QC).isNull().alias("_missing"), F.col(S.SAMPLE_QC).alias("_s"), label.alias("_l"))
