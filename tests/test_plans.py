@@ -45,3 +45,10 @@ def test_replicate_cv_aggregates_partially_before_the_shuffle(spark):
 def test_recode_joins_back_once(spark):
     p = plan(E.queries()["recode_low_quality"](spark, SF001))
     assert p.count("Join") <= 2, p  # flags x per-assay flags (small), rows x flags
+
+
+@pytest.mark.parametrize("name", ["sample_qc_long", "sample_qc_matrix"])
+def test_qc_matrix_reads_the_table_once(spark, name):
+    p = plan(E.queries()[name](spark, SF001))
+    assert p.count("FileScan parquet") == 1, p
+    assert "Join" not in p and shuffles(p) == 2, p
