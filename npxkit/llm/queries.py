@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, suffix_dedup, winnowing
+from . import jaccard_join, mixing, sharding, suffix_dedup, winnowing
 from .base import table
 
 
@@ -22,6 +22,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.query(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.query(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
+    "op6_jaccard_join": op6_jaccard_join,
     "op10_sharding": op10_sharding,
 }
 
