@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, sharding, suffix_dedup, winnowing
+from . import embedding_dedup, jaccard_join, mixing, sharding, suffix_dedup, winnowing
 from .base import table
 
 
@@ -26,6 +26,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.query(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.query(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op10_sharding": op10_sharding,
 }
 
