@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard_join, mixing, sharding, suffix_dedup, winnowing
+from . import embedding_dedup, jaccard_join, mixing, quality, sharding, suffix_dedup, toxicity, winnowing
 from .base import table
 
 
@@ -22,6 +22,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.query(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.query(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.query(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_quality": op8_quality,
     "op10_sharding": op10_sharding,
 }
 
