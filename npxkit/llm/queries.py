@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard_join, mixing, quality, sharding, suffix_dedup, toxicity, winnowing
+from . import embedding_dedup, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, toxicity, winnowing
 from .base import table
 
 
@@ -38,6 +38,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 
