@@ -103,11 +103,11 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of other bytes than space and 0x09-0x0D, and for each
-    document the index of its first word (one entry more than documents)."""
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of other bytes than those marked in ``space`` (space and
+    0x09-0x0D), and for each document the index of its first word (one entry more than documents)."""
     n = len(buf)
-    solid = ~_SPACE[buf]
+    solid = ~space[buf]
     fresh = np.zeros(n + 1, dtype=bool)
     fresh[off] = True
     begins = solid.copy()
