@@ -377,15 +377,23 @@ def _removed(keyed: DataFrame, others: list[str], with_text: bool, **limits: int
 
 
 def without_repeats(
-    docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, cell: int = CELL, bucket_rows: int = BUCKET_ROWS
+    docs: DataFrame,
+    min_bytes: int = MIN_BYTES,
+    gram: int = GRAM,
+    cell: int = CELL,
+    bucket_rows: int = BUCKET_ROWS,
+    drop_emptied: bool = False,
 ) -> DataFrame:
     """``docs`` without the bytes of repeats; all other columns stay (``n_chars``, if there, is
-    counted anew). The other bytes of a character that a repeat cuts through go with it."""
+    counted anew). The other bytes of a character that a repeat cuts through go with it.
+    With ``drop_emptied``, documents of which nothing but white space is left go."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = {c: f"_c{i}" for i, c in enumerate(others)}
     keyed = _keyed(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in names.items())))
     limits = {"min_bytes": min_bytes, "gram": gram, "cell": cell, "bucket_rows": bucket_rows}
     out = _removed(keyed, list(names.values()), True, **limits)
+    if drop_emptied:
+        out = out.where("n_removed = 0 or rest rlike '[^\\\\s]'")
     new = {"doc_id": F.when(F.col("_id") != _NO_ID, F.col("_id")), "text": F.col("rest")}
     new |= {c: F.col(n) for c, n in names.items()}
     out = out.select(*(new[c].alias(c) for c in docs.columns))
