@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from npxkit.llm import jaccard_join, mixing, packing, quality, suffix_dedup
-from npxkit.llm.base import materialize, table
+from npxkit.llm.base import boxed, materialize, ship_code, table, unboxed
 
 WORDS = 5
 PERCENT = 80
@@ -36,10 +36,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = jaccard_join.classes(docs, WORDS, PERCENT)
     dropped = grouped.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    kept = boxed(docs, "doc_id", "text").join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
     # Rows of one id are one node, of which one stays; rows without an id are told apart by text.
     node = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.col("text").cast("binary"), 256)), F.lit("none"))
-    return kept.withColumn("_node", node).dropDuplicates(["_node"]).drop("_node")
+    kept = kept.withColumn("_node", node).dropDuplicates(["_node"])
+    return unboxed(kept, docs.columns, "doc_id", "text")
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each over all that its predecessor kept."""
+    ship_code(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))

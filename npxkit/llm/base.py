@@ -3,8 +3,12 @@ numbering, connected components."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,10 +18,39 @@ from ..session import ensure_checkpoint_dir
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: their Python functions live in it, and
+    it need not be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="npxkit-code-"), "npxkit_code.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct ``_others``, out of the way of any name."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*others).alias("_others") if others else F.lit(None).alias("_others"))
+
+
+def unboxed(df: DataFrame, columns: Sequence[str], *needed: str) -> DataFrame:
+    """The original columns again."""
+    return df.select(*(F.col(c) if c in needed else F.col("_others").getField(c).alias(c) for c in columns))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder named by ``spark.checkpoint.dir`` and
     read it back. Cuts the lineage, survives the loss of executors, and later jobs read the

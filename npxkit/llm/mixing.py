@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, ranked
+from .base import boxed, materialize, ranked, unboxed
 
 # A word is a run of other characters than space and 0x09-0x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -119,19 +119,18 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     drawn = drawn.where("_copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_copies", "_rows"
     )
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    sized = boxed(docs, "doc_id", "source", "text").withColumn("_size", word_count(F.col("text")))
     same = (
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz"))
     )
     out = sized.join(drawn, same)
-    single = out.where("_rows = 1").withColumn("_times", F.col("_copies"))
-    # The n-th of several equal rows takes the n-th share of their copies.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(1))) - 1
-    several = out.where("_rows > 1").withColumn("_nth", nth)
+    # The n-th of several rows with equal id, source and size takes the n-th share of their copies.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")) - 1
+    out = out.withColumn("_nth", nth)
     share = F.floor(F.col("_copies") * (F.col("_nth") + 1) / F.col("_rows")) - F.floor(F.col("_copies") * F.col("_nth") / F.col("_rows"))
-    several = several.withColumn("_times", share.cast("bigint")).drop("_nth")
-    both = single.unionByName(several)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))) .where("_times > 0").select(*docs.columns)
+    out = out.withColumn("_times", share.cast("int")).where("_times > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return unboxed(out, docs.columns, "doc_id", "source", "text")
 
 
 def query(docs: DataFrame) -> DataFrame:

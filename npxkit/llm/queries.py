@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup, jaccard_join, license_scan, mixing, packing, quality, sharding, suffix_dedup, toxicity, winnowing
-from .base import table
+from .base import ship_code, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,17 +62,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_license_scan": op1_license_scan,
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op3_mixing": op3_mixing,
-    "op4_fingerprints": op4_fingerprints,
-    "op5_toxicity": op5_toxicity,
-    "op6_jaccard_join": op6_jaccard_join,
-    "op7_embedding_dedup": op7_embedding_dedup,
-    "op8_quality": op8_quality,
-    "op9_packing": op9_packing,
-    "op10_sharding": op10_sharding,
+QUERIES: dict[str, Query] = {
+    f.__name__: _shipped(f)
+    for f in (
+        op1_license_scan,
+        op2_suffix_dedup,
+        op3_mixing,
+        op4_fingerprints,
+        op5_toxicity,
+        op6_jaccard_join,
+        op7_embedding_dedup,
+        op8_quality,
+        op9_packing,
+        op10_sharding,
+    )
 }
 
 ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle_sql()}
