@@ -20,6 +20,7 @@ def spark():
         SparkSession.builder.master("local[*]")
         .appName("npxkit-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
