@@ -29,13 +29,15 @@ def jump_shard(key: Column, shards: int) -> Column:
     """
     wide = "decimal(38,0)"
     two64 = F.lit("18446744073709551616").cast(wide)
+    two33 = F.lit("8589934592").cast(wide)
     start = F.when(key < 0, key.cast(wide) + two64).otherwise(key.cast(wide)).cast(wide)
 
     def step(state: Column, _: Column) -> Column:
         seed = (state["seed"] * F.lit(str(MULTIPLIER)).cast("decimal(19,0)") + F.lit(1)).cast(wide) % two64
-        high = F.floor(seed / F.lit("8589934592").cast("decimal(20,0)")).cast("double")
+        # The upper 31 bits; the remainder goes first, for a decimal quotient is rounded.
+        high = ((seed - seed % two33) / two33).cast("double")
         # (b + 1) * 2^31 / ((seed >> 33) + 1)
-        ahead = F.floor((state["at"] + 1).cast("double") * (F.lit(2147483648.0) / (high + 1.0))).cast("bigint")
+        ahead = F.floor((state["ahead"] + 1).cast("double") * (F.lit(2147483648.0) / (high + 1.0))).cast("bigint")
         done = state["ahead"] >= shards
         return F.when(done, state).otherwise(
             F.struct(seed.cast(wide).alias("seed"), state["ahead"].alias("at"), F.least(ahead, F.lit(1 << 40)).alias("ahead"))
@@ -70,26 +72,38 @@ def query(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
 
 
+# Fixed value: the reflected polynomial of the checksum.
+CRC_POLYNOMIAL = 0xEDB88320
+
+
 def oracle_sql(shards: int = 24) -> str:
-    """The same rows in DuckDB: the jump hash as a recursive query over 128-bit integers."""
+    """The same rows in DuckDB: the jump hash as a recursive query over 128-bit integers, the
+    checksum as a fold over the bytes with a generated table."""
+    seed = f"(seed * {MULTIPLIER}::hugeint + 1) % 18446744073709551616::hugeint"
     return f"""
-with recursive docs as (
-  select doc_id, coalesce(text, '') as text, row_number() over () as n from documents
+with recursive docs as materialized (
+  select doc_id, coalesce(doc_id, 0)::bigint as k, octet_length(encode(coalesce(text, ''))) as bytes, hex(encode(coalesce(text, ''))) as h from documents
+), crc_table as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, z: case when c % 2 = 1 then xor(c >> 1, {CRC_POLYNOMIAL}) else c >> 1 end)) as t
+), summed as (
+  select doc_id, k, bytes,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(bytes), lambda i: ('0x' || substr(h, 2 * i::bigint + 1, 2))::bigint)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::bigint as text_crc32
+  from docs, crc_table
 ), jump(k, buckets, seed, b0, ahead) as (
-  select distinct coalesce(doc_id, 0), b,
-         case when coalesce(doc_id, 0) < 0 then coalesce(doc_id, 0)::hugeint + 18446744073709551616::hugeint
-              else coalesce(doc_id, 0)::hugeint end, -1::bigint, 0::bigint
+  select distinct k, v.b, k::hugeint + case when k < 0 then 18446744073709551616::hugeint else 0::hugeint end, -1::bigint, 0::bigint
   from docs, (values ({shards}), ({shards + 1})) v(b)
   union all
-  select k, buckets, (seed * {MULTIPLIER}::hugeint + 1) % 18446744073709551616::hugeint, ahead,
-         floor((ahead + 1)::double * (2147483648.0::double /
-           (((seed * {MULTIPLIER}::hugeint + 1) % 18446744073709551616::hugeint // 8589934592::hugeint)::double + 1.0)))::bigint
+  select k, buckets, {seed}, ahead,
+         floor((ahead + 1)::double * (2147483648.0::double / (({seed} // 8589934592::hugeint)::double + 1.0::double)))::bigint
   from jump where ahead < buckets
-), placed as (select k, buckets, max(b0)::integer as shard from jump group by k, buckets)
-select doc_id, (octet_length(encode(text)) + {ROW_BYTES})::bigint as size, crc as text_crc32, 'key' as law, a.shard as shard,
-       row_number() over (partition by a.shard order by doc_id nulls first, crc, octet_length(encode(text))) - 1 as slot,
-       b.shard as grown_shard
-from (select *, 0::bigint as crc from docs) d
-join placed a on a.k = coalesce(doc_id, 0) and a.buckets = {shards}
-join placed b on b.k = coalesce(doc_id, 0) and b.buckets = {shards + 1}
+), placed as (
+  select k, buckets, max(b0)::integer as shard from jump group by k, buckets
+)
+select doc_id, (bytes + {ROW_BYTES})::bigint as size, text_crc32, 'key' as law, a.shard as shard,
+       row_number() over (partition by a.shard order by doc_id nulls first, text_crc32, bytes) - 1 as slot, b.shard as grown_shard
+from summed d
+join placed a on a.k = d.k and a.buckets = {shards}
+join placed b on b.k = d.k and b.buckets = {shards + 1}
 """
