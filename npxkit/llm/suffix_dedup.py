@@ -256,13 +256,15 @@ def _spans(keyed: DataFrame, placed: DataFrame, min_bytes: int, gram: int, cell:
     partitioned by key."""
     key = ["_id", "_sig"]
     anchors = materialize(keyed.select(*key, "text").mapInArrow(_find_anchors(min_bytes, gram), _ANCHORS))
-    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Tables of hashes are written before rows are joined with them: a hot hash's rows can then be split.
+    shared = materialize(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     kept = materialize(anchors.join(shared, "h", "left_semi"))
 
     me = F.xxhash64(*key, "a")
     context = kept.groupBy("h", "f").agg(F.count(F.lit(1)).alias("m"), F.min(me).alias("rep"))
     kinds = context.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    known = kept.join(context, ["h", "f"]).join(kinds, "h")
+    context = materialize(context.join(kinds, "h"))
+    known = materialize(kept.join(context, ["h", "f"]))
     whole = known.where("m > 1").select(
         F.xxhash64("h", "f").alias("group"), *key, F.col("lo").alias("start"), (F.col("hi") + min_bytes).alias("stop")
     )
@@ -272,14 +274,15 @@ def _spans(keyed: DataFrame, placed: DataFrame, min_bytes: int, gram: int, cell:
     listed = edge.groupBy(*key).agg(F.collect_list(F.struct("h", "a", "lo", "hi", (F.col("m") > 1).alias("done"))).alias("anchors"))
     cells = placed.join(listed, key).select(*key, "text", "anchors").mapInArrow(_cut_cells(min_bytes, cell), _CELLS)
     cells = materialize(cells)
-
     bucket = ["k1", "k2"]
+    shared = cells.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket)
+    cells = materialize(cells.join(materialize(shared), bucket, "left_semi"))
     kind = cells.groupBy(*bucket, "ends").agg(
         F.count(F.lit(1)).alias("m"), F.max("done").alias("_done"), F.first("left").alias("_left"), F.first("right").alias("_right")
     )
-    kind = materialize(kind)
-    size = kind.groupBy(*bucket).agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1")
-    known = cells.where("not done").join(kind.select(*bucket, "ends", "m"), [*bucket, "ends"]).join(size, bucket)
+    size = kind.groupBy(*bucket).agg(F.count(F.lit(1)).alias("kinds"))
+    kind = materialize(kind.join(size, bucket))
+    known = cells.where("not done").join(kind.select(*bucket, "ends", "m", "kinds"), [*bucket, "ends"])
     t_low = F.lit(cell - 1) - F.length("right")
     equal = known.where("m > 1").select(
         F.xxhash64(*bucket, "ends").alias("group"),
@@ -292,7 +295,7 @@ def _spans(keyed: DataFrame, placed: DataFrame, min_bytes: int, gram: int, cell:
     cols = [*bucket, "_id", "_sig", "core", "left", "right"]
     single = known.where("m = 1 and kinds > 1").select(*cols, "kinds")
     none = [F.lit(None).cast("long").alias("_id"), F.lit(None).cast("int").alias("_sig"), F.lit(0).alias("core")]
-    several = kind.where("m > 1 or _done").join(size.where("kinds > 1").select(*bucket, "kinds"), bucket)
+    several = kind.where("kinds > 1 and (m > 1 or _done)")
     several = several.select(*bucket, *none, F.col("_left").alias("left"), F.col("_right").alias("right"), "kinds")
     compared = single.unionByName(several)
 
