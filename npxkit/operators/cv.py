@@ -8,7 +8,7 @@ crosses the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -45,13 +45,17 @@ def control_inter_cv(intra: DataFrame) -> DataFrame:
 def attach_control_cv(df: DataFrame, npx: str = S.NPX) -> DataFrame:
     """All rows with their assay's intra-plate CV (by assay + plate) and inter-plate CV (by assay).
 
-    Inner joins: assays without sample controls leave. The CV tables have one row per
-    (assay, plate) and per assay; the planner broadcasts them while they are small and
-    AQE switches to a shuffled join (with skew splitting) when they are not.
+    Inner join: assays without sample controls leave. The CV table has one row per (assay,
+    plate), and the inter-plate values are a window over it, so the measurements are scanned
+    twice and joined once. The planner broadcasts the table while it is small and AQE switches
+    to a shuffled join (with skew splitting) when it is not.
     """
-    intra = control_intra_cv(df, npx)
-    inter = control_inter_cv(intra)
-    return df.join(intra.drop("npx_mean"), [S.ASSAY_ID, S.PLATE_ID], "inner").join(inter, S.ASSAY_ID, "inner")
+    by_assay = Window.partitionBy(S.ASSAY_ID)
+    sd = F.stddev_samp("npx_mean").over(by_assay)
+    both = control_intra_cv(df, npx).withColumns(
+        {"inter_cv": lognormal_cv(sd), "mean_over_sd": F.try_divide(F.avg("npx_mean").over(by_assay), sd)}
+    )
+    return df.join(both.drop("npx_mean"), [S.ASSAY_ID, S.PLATE_ID], "inner")
 
 
 # ---------------------------------------------------------------------------
@@ -100,6 +104,27 @@ def replicate_intra_cv(
     )
 
 
+def replicate_inter_cv(
+    df: DataFrame,
+    mapping: DataFrame,
+    npx: str = S.NPX,
+    lod: str = S.LOD,
+    drop_below_lod: bool = False,
+) -> DataFrame:
+    """Inter-plate CV of the replicates of each (assay, block, assay type, subsample): over the
+    plate means of its non-missing values, at least two plates. With ``drop_below_lod`` a value
+    under its LOD, or without a LOD, is left out first."""
+    value = keep_at_or_above(npx, lod) if drop_below_lod else F.col(npx)
+    keys_in = [S.SAMPLE_ID, S.ASSAY_ID, S.BLOCK, S.ASSAY_TYPE, S.PLATE_ID]
+    rows = df.select(*keys_in, value.alias("_x")).join(mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID), S.SAMPLE_ID, "inner")
+    plates = rows.groupBy(*REPLICATE_KEYS).agg(F.avg("_x").alias("_mean"))
+    return (
+        plates.groupBy(*[k for k in REPLICATE_KEYS if k != S.PLATE_ID])
+        .agg(F.count("_mean").alias("n_plates"), lognormal_cv(F.stddev_samp("_mean")).alias("inter_cv"))
+        .where(F.col("n_plates") > 1)
+    )
+
+
 def median_cv(cv: DataFrame) -> DataFrame:
     """Median replicate CV per (assay, plate, sample type); only assay type 'assay'.
 
@@ -181,21 +206,36 @@ def cv_by_block(df: DataFrame, npx: str = S.NPX) -> DataFrame:
     """Per block: assays with a sample-control CV, mean intra CV, mean inter CV, dilution.
 
     Intra CVs are per (assay, plate), inter CVs per assay; assays are placed in blocks by
-    the measurement table. The dilution comes from the fixed 8-row block table.
+    the measurement table. The dilution comes from the fixed 8-row block table. One scan: the
+    blocks of an assay travel with its (assay, plate) aggregate.
     """
-    intra = control_intra_cv(df.where(F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY), npx)
-    inter = control_inter_cv(intra)
-    blocks = df.where(F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY).select(S.ASSAY_ID, S.BLOCK).distinct()
-    a = (
-        intra.where(F.col("intra_cv").isNotNull())
-        .join(blocks, S.ASSAY_ID)
-        .groupBy(S.BLOCK)
-        .agg(F.countDistinct(S.ASSAY_ID).alias("n_assays"), F.avg("intra_cv").alias("intra_cv_mean"))
+    control = F.when(F.col(S.SAMPLE_TYPE) == S.SAMPLE_CONTROL, F.col(npx))
+    plates = (
+        df.where(F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY)
+        .groupBy(S.ASSAY_ID, S.PLATE_ID)
+        .agg(
+            F.avg(control).alias("npx_mean"),
+            lognormal_cv(F.stddev_samp(control)).alias("intra_cv"),
+            F.collect_set(S.BLOCK).alias("_blocks"),
+        )
+    )
+    by_assay = Window.partitionBy(S.ASSAY_ID)
+    plates = plates.withColumns(
+        {
+            "inter_cv": lognormal_cv(F.stddev_samp("npx_mean").over(by_assay)),
+            "_blocks": F.array_distinct(F.flatten(F.collect_list("_blocks").over(by_assay))),
+            "_first": F.row_number().over(by_assay.orderBy(S.PLATE_ID)) == 1,
+        }
     )
-    b = inter.join(blocks, S.ASSAY_ID).groupBy(S.BLOCK).agg(F.avg("inter_cv").alias("inter_cv_mean"))
+    placed = plates.withColumn(S.BLOCK, F.explode("_blocks"))
+    a = placed.groupBy(S.BLOCK).agg(
+        F.countDistinct(F.when(F.col("intra_cv").isNotNull(), F.col(S.ASSAY_ID))).alias("n_assays"),
+        F.avg("intra_cv").alias("intra_cv_mean"),
+        F.avg(F.when(F.col("_first"), F.col("inter_cv"))).alias("inter_cv_mean"),
+    ).where("n_assays > 0")
     spark = df.sparkSession
     dil = F.broadcast(spark.createDataFrame(list(S.BLOCK_DILUTION.items()), f"{S.BLOCK} string, dilution string"))
-    return a.join(b, S.BLOCK, "left").join(dil, S.BLOCK, "left")
+    return a.join(dil, S.BLOCK, "left")
 
 
 def median_cv_overall(med_all: DataFrame, med_lod: DataFrame, sample_type: str = S.SAMPLE) -> DataFrame:

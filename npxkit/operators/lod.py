@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -30,9 +30,22 @@ def append_fixed_lod(df: DataFrame, fixed: DataFrame, value: str = S.EXT_NPX) ->
     )
 
 
-def nc_lod(df: DataFrame, min_controls: int = 10, npx: str = S.NPX, check: bool = True) -> DataFrame:
+def nc_lod(
+    df: DataFrame,
+    min_controls: int = 10,
+    npx: str = S.NPX,
+    check: bool = True,
+    low_count: float | None = None,
+    count_margin: float = 2.0,
+) -> DataFrame:
     """LOD per assay from the negative controls that pass SampleQC: median + max(3 sd, 0.2).
 
+    With ``low_count``, assays whose negative controls' median count is below it get a LOD from
+    counts instead: ``count_margin`` times the larger of that median and one count, brought to the
+    NPX scale by the median count of the extension controls of the negative controls' blocks
+    (log2 of the ratio). Neither number is published, so both are parameters, and the branch is
+    off by default.
+
     Raises ``NotEnoughControls`` when fewer than ``min_controls`` distinct such controls
     exist (one small aggregate is run for the check). The median runs over every control
     of the study, a group that grows with the data, so it goes through the size-checked
@@ -50,9 +63,25 @@ def nc_lod(df: DataFrame, min_controls: int = 10, npx: str = S.NPX, check: bool
         extra_aggs=[count_rows().alias("n_rows"), F.count(npx).alias("n_values"), F.stddev_samp(npx).alias("nc_sd")],
     )
     sd = F.col("nc_sd")
-    return stats.withColumn(
+    stats = stats.withColumn(
         S.LOD, F.when(sd.isNotNull(), F.col("nc_median") + F.greatest(F.lit(3.0) * sd, F.lit(0.2)))
     )
+    if low_count is None:
+        return stats
+    from .normalize import extension_counts
+
+    counts = nc.select(S.ASSAY_ID, S.SAMPLE_ID, S.BLOCK, F.col(S.COUNT).cast("double").alias("_c"))
+    counts = counts.join(extension_counts(nc), [S.SAMPLE_ID, S.BLOCK], "left")
+    medians = group_quantiles(
+        counts.select(S.ASSAY_ID, "_c", F.col("_ext_count").cast("double").alias("_e")),
+        [S.ASSAY_ID],
+        [("_c", [0.5], ["nc_median_count"]), ("_e", [0.5], ["_ext"])],
+    )
+    margin = F.lit(float(count_margin)) * F.greatest(F.col("nc_median_count"), F.lit(1.0))
+    by_count = F.log2(F.try_divide(margin, F.col("_ext")))
+    few = F.col("nc_median_count") < F.lit(float(low_count))
+    out = stats.join(medians.select(S.ASSAY_ID, "nc_median_count", "_ext"), S.ASSAY_ID, "left")
+    return out.withColumn(S.LOD, F.when(few, by_count).otherwise(F.col(S.LOD))).drop("_ext")
 
 
 def below_lod_to_null(df: DataFrame, npx: str = S.NPX, lod: str = S.LOD) -> DataFrame:
@@ -72,16 +101,16 @@ def recode_low_quality(df: DataFrame, npx: str = S.NPX, lod: str = S.LOD) -> Dat
 
     Shares count every row, controls included, and compare exact counts (2 * nulls > rows).
     Step (3) needs only the per-(plate, assay) counts of step (2), so the data is aggregated
-    once (partial aggregation: two counters per group) and joined back once.
+    once (partial aggregation: two counters per group), summed by a window over that small table
+    (one row per plate of an assay), and joined back once: two scans.
     """
     x1 = keep_at_or_above(npx, lod)
     pa = df.groupBy(*PLATE_ASSAY).agg(count_rows().alias("_rows"), F.count(x1).alias("_vals"))
     pa = pa.withColumn("_plate_bad", F.lit(2) * (F.col("_rows") - F.col("_vals")) > F.col("_rows"))
     nulls2 = F.when(F.col("_plate_bad"), F.col("_rows")).otherwise(F.col("_rows") - F.col("_vals"))
-    per_assay = pa.groupBy(S.ASSAY_ID).agg(
-        (F.lit(2) * F.sum(nulls2) > F.sum("_rows")).alias("_assay_bad")
-    )
-    flags = pa.select(*PLATE_ASSAY, "_plate_bad").join(per_assay, S.ASSAY_ID)
+    by_assay = Window.partitionBy(S.ASSAY_ID)
+    assay_bad = F.lit(2) * F.sum(nulls2).over(by_assay) > F.sum("_rows").over(by_assay)
+    flags = pa.select(*PLATE_ASSAY, "_plate_bad", assay_bad.alias("_assay_bad"))
     return (
         df.join(flags, PLATE_ASSAY, "inner")
         .where(~F.col("_assay_bad"))

@@ -18,12 +18,6 @@ from ..functions.stats import group_quantiles
 from ..session import materialize
 from .qc import IntegrityError, duplicate_samples
 
-# Matrices are sample x assay with one column per assay; PCA keeps a dense p x p covariance
-# (8 p^2 bytes) on the driver and in the tree aggregate. 10,000 assays -> 800 MB. A panel
-# has about 5,400 assays. Spark ML's own limit is 65,535 columns.
-MAX_PCA_ASSAYS = 10_000
-
-
 def drop_constant_assays(df: DataFrame, npx: str = S.NPX) -> DataFrame:
     """Rows whose (assay, plate) has a positive NPX variance; zero or undefined (one value)
     variance drops the plate x assay. Partial aggregate + left-semi join."""
@@ -41,31 +35,20 @@ def _check_unique(vals: DataFrame) -> None:
         raise IntegrityError("duplicate (sample, assay) pairs: a matrix cell would hold several values")
 
 
-def _check_assay_count(vals: DataFrame) -> None:
-    """Raise before anything per assay reaches the driver if there are too many assays
-    (reads at most MAX_PCA_ASSAYS + 1 distinct ids)."""
-    n = vals.select(S.ASSAY_ID).distinct().limit(MAX_PCA_ASSAYS + 1).count()
-    if n > MAX_PCA_ASSAYS:
-        raise IntegrityError(f"more than {MAX_PCA_ASSAYS} assays: too many matrix columns")
-
-
 def _matrix_checks(vals: DataFrame, check_unique: bool) -> int:
-    """One job over the (sample, assay) pairs: duplicate cells, number of assays, and the
-    largest number of samples of an assay (the group size of the assay medians)."""
+    """One job over the (sample, assay) pairs: duplicate cells, and the largest number of samples
+    of an assay (the group size of the assay medians)."""
     pairs = vals.groupBy(S.SAMPLE_ID, S.ASSAY_ID).agg(count_rows().alias("_n"))
     per_assay = pairs.groupBy(S.ASSAY_ID).agg(count_rows().alias("_samples"), F.max("_n").alias("_dup"))
-    r = per_assay.agg(F.count(F.lit(1)).alias("assays"), F.max("_samples").alias("samples"), F.max("_dup").alias("dup")).first()
+    r = per_assay.agg(F.max("_samples").alias("samples"), F.max("_dup").alias("dup")).first()
     if check_unique and (r["dup"] or 0) > 1:
         raise IntegrityError("duplicate (sample, assay) pairs: a matrix cell would hold several values")
-    if r["assays"] > MAX_PCA_ASSAYS:
-        raise IntegrityError(f"{r['assays']} assays: more than {MAX_PCA_ASSAYS} matrix columns")
     return int(r["samples"] or 0)
 
 
 def assay_list(vals: DataFrame) -> list[str]:
-    """Sorted distinct assay ids (bounded, checked first; a matrix needs them as columns)."""
-    _check_assay_count(vals)
-    return [r[0] for r in vals.select(S.ASSAY_ID).distinct().orderBy(S.ASSAY_ID).collect()]
+    """Sorted distinct assay ids: the names of the columns of a matrix."""
+    return [r[0] for r in vals.select(S.ASSAY_ID).distinct().orderBy(S.ASSAY_ID).toLocalIterator()]
 
 
 def wide_matrix(df: DataFrame, assays: list[str] | None = None, npx: str = S.NPX, check: bool = True) -> DataFrame:
@@ -89,33 +72,30 @@ def assay_medians(df: DataFrame, npx: str = S.NPX, known_max_group: int | None =
     ).select(S.ASSAY_ID, "median")
 
 
-def imputed_vectors(df: DataFrame, npx: str = S.NPX, check: bool = True) -> tuple[DataFrame, list[str]]:
-    """(sample_id, features) with one entry per assay in sorted id order; a missing cell
-    holds the assay's median. Samples without any value are absent.
+def impute_median(df: DataFrame, npx: str = S.NPX, check: bool = True) -> DataFrame:
+    """Long form of the imputed matrix: (sample_id, assay_id, npx_imputed) for every sample
+    with a value and every assay with a value; a missing cell holds the assay's median.
 
-    The assay ids and their medians are panel metadata (at most ``MAX_PCA_ASSAYS``
-    values) and go into the plan as constants; each sample's values are gathered into one
-    map (bounded by the panel).
+    A sample's missing assays are the panel's list (a scalar subquery over the medians) less its
+    own, a hash difference that is linear in the panel; they are joined with the medians by
+    assay, and the observed rows are added. Nothing of the panel passes through the driver.
     """
     vals = _values(df, npx)
-    biggest = _matrix_checks(vals, check)
-    med = {r[0]: r[1] for r in assay_medians(df, npx, known_max_group=biggest).collect()}
-    assays = sorted(med)
-    ids = F.array(*[F.lit(a) for a in assays])
-    meds = F.array(*[F.lit(float(med[a])) for a in assays])
-    per_sample = vals.groupBy(S.SAMPLE_ID).agg(F.map_from_entries(F.collect_list(F.struct(S.ASSAY_ID, "_v"))).alias("_m"))
-    feats = F.transform(ids, lambda a, i: F.coalesce(F.element_at(F.col("_m"), a), meds[i]))
-    return per_sample.select(S.SAMPLE_ID, feats.alias("features")), assays
+    med = materialize(assay_medians(df, npx, known_max_group=_matrix_checks(vals, check)))
+    panel = med.agg(F.collect_list(S.ASSAY_ID).alias("ids"))
+    own = vals.groupBy(S.SAMPLE_ID).agg(F.collect_list(S.ASSAY_ID).alias("_own"))
+    missing = own.select(S.SAMPLE_ID, F.explode(F.array_except(panel.scalar(), "_own")).alias(S.ASSAY_ID))
+    filled = missing.join(med, S.ASSAY_ID).select(S.SAMPLE_ID, S.ASSAY_ID, F.col("median").cast("double").alias("npx_imputed"))
+    return vals.select(S.SAMPLE_ID, S.ASSAY_ID, F.col("_v").alias("npx_imputed")).unionByName(filled)
 
 
-def impute_median(df: DataFrame, npx: str = S.NPX) -> DataFrame:
-    """Long form of the imputed matrix: (sample_id, assay_id, npx_imputed) for every sample
-    with a value and every assay with a value."""
-    vec, assays = imputed_vectors(df, npx)
-    ids = F.array(*[F.lit(a) for a in assays])
-    return vec.select(S.SAMPLE_ID, F.posexplode("features").alias("_i", "npx_imputed")).select(
-        S.SAMPLE_ID, ids[F.col("_i")].alias(S.ASSAY_ID), "npx_imputed"
-    )
+def imputed_vectors(df: DataFrame, npx: str = S.NPX, check: bool = True) -> DataFrame:
+    """(sample_id, features) with one entry per assay in sorted id order; a missing cell
+    holds the assay's median. Samples without any value are absent. A sample's values are
+    gathered into one array (bounded by the panel)."""
+    cells = F.sort_array(F.collect_list(F.struct(S.ASSAY_ID, "npx_imputed")))
+    rows = impute_median(df, npx, check).groupBy(S.SAMPLE_ID).agg(cells.alias("_cells"))
+    return rows.select(S.SAMPLE_ID, F.transform("_cells", lambda c: c["npx_imputed"]).alias("features"))
 
 
 def align_metadata(samples: DataFrame, meta: DataFrame, check: bool = True) -> DataFrame:
@@ -152,7 +132,8 @@ def pca(df: DataFrame, k: int = 5, npx: str = S.NPX, drop_constant: bool = True)
     A zero-variance assay contributes nothing (the reference's prcomp would stop).
     """
     data = drop_constant_assays(df, npx) if drop_constant else df
-    vec, assays = imputed_vectors(data, npx)
+    assays = assay_list(_values(data, npx))
+    vec = imputed_vectors(data, npx)
     # The vectors feed four jobs (count, scaler fit, PCA fit, scores): write them once.
     vec = materialize(vec.select(S.SAMPLE_ID, array_to_vector("features").alias("features")))
     n = vec.count()

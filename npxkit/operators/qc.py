@@ -10,6 +10,10 @@ from ..functions.columns import count_rows, matches, not_in_or_null, qc_label
 from ..functions.stats import group_quantiles
 
 
+# Column label of rows without a block.
+MISSING_LABEL = "missing"
+
+
 class IntegrityError(ValueError):
     """The measurement table breaks a rule the operators rely on."""
 
@@ -147,12 +151,54 @@ def sample_qc_long(df: DataFrame) -> DataFrame:
 
 
 def sample_qc_matrix(df: DataFrame, blocks: list[str] | None = None) -> DataFrame:
-    """``sample_qc_long`` with blocks as columns block_1..block_8 (an explicit, sorted list)."""
-    blocks = blocks or S.BLOCKS
-    wide = sample_qc_long(df).groupBy(S.SAMPLE_ID).pivot(S.BLOCK, blocks).agg(F.max("qc"))
+    """``sample_qc_long`` with one column block_<id> for each block.
+
+    Without a list, the columns are the panel's usual blocks and every other block of the data
+    (one ``distinct`` over the block column); rows without a block go to ``block_missing``. An
+    explicit list raises ``IntegrityError`` when the data holds a block that it leaves out.
+    """
+    present = {MISSING_LABEL if r[0] is None else r[0] for r in df.select(S.BLOCK).distinct().collect()}
+    if blocks is None:
+        blocks = list(S.BLOCKS) + sorted(present - set(S.BLOCKS))
+    elif present - set(blocks):
+        raise IntegrityError(f"blocks without a column: {sorted(present - set(blocks))}")
+    named = sample_qc_long(df).withColumn(S.BLOCK, F.coalesce(S.BLOCK, F.lit(MISSING_LABEL)))
+    wide = named.groupBy(S.SAMPLE_ID).pivot(S.BLOCK, blocks).agg(F.max("qc"))
     return wide.select(S.SAMPLE_ID, *[F.col(f"`{b}`").alias(f"block_{b}") for b in blocks])
 
 
+def qc_summary(df: DataFrame) -> DataFrame:
+    """Per block: samples by their worst SampleQC, and assays (type 'assay') that fail AssayQC.
+
+    A sample counts as failed when any of its rows in the block has SampleQC FAIL, else as warned
+    when any has WARN, else as passed when any has PASS. One pass: counts per (block, sample) and
+    per (block, assay) are partial aggregates.
+    """
+    has = {s: F.max(F.when(F.col(S.SAMPLE_QC) == s, 1).otherwise(0)) for s in (S.QC_FAIL, S.QC_WARN, S.QC_PASS)}
+    per_sample = df.groupBy(S.BLOCK, S.SAMPLE_ID).agg(*[v.alias(f"_{s}") for s, v in has.items()])
+    fail, warn, passed = (F.col(f"_{s}") == 1 for s in (S.QC_FAIL, S.QC_WARN, S.QC_PASS))
+    samples = per_sample.groupBy(S.BLOCK).agg(
+        F.count_if(fail).alias("samples_failed"),
+        F.count_if(~fail & warn).alias("samples_warned"),
+        F.count_if(~fail & ~warn & passed).alias("samples_passed"),
+    )
+    bad = (F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY) & (F.col(S.ASSAY_QC) != S.QC_PASS)
+    assays = df.groupBy(S.BLOCK, S.ASSAY_ID).agg(F.max(F.when(bad, 1).otherwise(0)).alias("_bad"))
+    assays = assays.groupBy(S.BLOCK).agg(F.sum("_bad").alias("assays_failed"))
+    assays = assays.withColumnRenamed(S.BLOCK, "_block")
+    return samples.join(assays, F.col(S.BLOCK).eqNullSafe(F.col("_block"))).drop("_block")
+
+
+def uniprot_map(df: DataFrame) -> DataFrame:
+    """For assays with several UniProt ids: each id found and the one kept, the smallest id that is
+    not NULL. (Which id to keep is our choice; it only has to be the same for all rows.)"""
+    pairs = df.select(S.ASSAY_ID, S.UNIPROT).distinct()
+    kept = F.min(S.UNIPROT).over(Window.partitionBy(S.ASSAY_ID))
+    n = F.count(F.lit(1)).over(Window.partitionBy(S.ASSAY_ID))
+    out = pairs.withColumns({"uniprot_kept": kept, "_n": n}).where("_n > 1")
+    return out.select(S.ASSAY_ID, S.UNIPROT, "uniprot_kept")
+
+
 def inspect_qc(df: DataFrame) -> dict[str, DataFrame]:
     """Bundle: flagged assays, flagged sample ids, block-wise SampleQC matrix (all lazy)."""
     return {

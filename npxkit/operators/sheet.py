@@ -39,11 +39,14 @@ def sample_sheet(df: DataFrame) -> DataFrame:
 
 
 def plate_layout(sheet: DataFrame, fill: str = S.SAMPLE_TYPE) -> DataFrame:
-    """Plate grid: one row per (plate, plate row), one column per plate column (col_1..col_12).
+    """Plate grid: one row per (plate, plate row), one column per plate column.
 
-    The cell holds ``fill`` of the sample in that well (the smallest one if a well repeats).
-    The pivot values are the fixed 12 plate columns, so no extra job discovers them.
+    The cell holds ``fill`` of the sample in that well (the smallest one if a well repeats). The
+    columns are col_1..col_12 and every other plate column of the sheet (one ``distinct``, at most
+    as many as a plate has columns); samples without a well go to ``col_missing``.
     """
-    values = [f"Column {c}" for c in S.PLATE_COLUMNS]
-    wide = sheet.groupBy("plate", "row").pivot("column", values).agg(F.min(fill))
-    return wide.select("plate", "row", *[F.col(v).alias(f"col_{c}") for v, c in zip(values, S.PLATE_COLUMNS)])
+    number = F.coalesce(F.regexp_replace("column", "^Column ", ""), F.lit("missing"))
+    found = {r[0] for r in sheet.select(number).distinct().collect()} - set(S.PLATE_COLUMNS)
+    columns = list(S.PLATE_COLUMNS) + sorted(found, key=lambda c: (not c.isdigit(), int(c) if c.isdigit() else 0, c))
+    wide = sheet.withColumn("_column", number).groupBy("plate", "row").pivot("_column", columns).agg(F.min(fill))
+    return wide.select("plate", "row", *[F.col(f"`{c}`").alias(f"col_{c}") for c in columns])

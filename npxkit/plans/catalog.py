@@ -160,6 +160,32 @@ def q_cv_quartiles_lod(spark, sf):
     return r6(cv.cv_quartiles(cv.median_cv(_replicate_cv(spark, sf, True))), "q1", "q2", "q3")
 
 
+def _sql_inter(lod: bool) -> str:
+    x = "case when d.npx >= d.lod then d.npx end" if lod else "d.npx"
+    return f"""select assay_id, block, assay_type, subsample_id, count(m) as n_plates,
+       round({cv_sql('stddev_samp(m)')}, 6) as inter_cv
+from (select d.assay_id, d.block, d.assay_type, d.plate_id, r.subsample_id, avg({x}) as m
+      from npx d join rmap r on d.sample_id = r.sample_id
+      group by d.assay_id, d.block, d.assay_type, d.plate_id, r.subsample_id) t
+group by assay_id, block, assay_type, subsample_id having count(m) > 1"""
+
+
+def _replicate_inter_cv(spark: SparkSession, sf: str, drop_below_lod: bool) -> DataFrame:
+    d = fx.npx(spark, sf)
+    mapping = cv.replicate_map(_full_sheet(spark, sf, d), sheet.sample_sheet(d))
+    return r6(cv.replicate_inter_cv(d, mapping, drop_below_lod=drop_below_lod), "inter_cv")
+
+
+@register("replicate_inter_cv", Q(["npx", "manifest", "subjects"], _sql_inter(False), _SQL_SHEET, _SQL_MAP))
+def q_replicate_inter_cv(spark, sf):
+    return _replicate_inter_cv(spark, sf, False)
+
+
+@register("replicate_inter_cv_lod", Q(["npx", "manifest", "subjects"], _sql_inter(True), _SQL_SHEET, _SQL_MAP))
+def q_replicate_inter_cv_lod(spark, sf):
+    return _replicate_inter_cv(spark, sf, True)
+
+
 @register(
     "replicate_intra_cv_long",
     Q(
@@ -477,6 +503,36 @@ def q_negctrl_signal(spark, sf):
     return r6(qc.negative_control_signal(fx.npx(spark, sf), threshold=1.0), "max_ratio")
 
 
+@register(
+    "qc_summary",
+    Q(
+        ["npx"],
+        """select s.block, s.samples_failed, s.samples_warned, s.samples_passed, a.assays_failed
+from (select block, count(*) filter (where f) as samples_failed, count(*) filter (where not f and w) as samples_warned,
+             count(*) filter (where not f and not w and p) as samples_passed
+      from (select block, sample_id, bool_or(coalesce(sample_qc, '') = 'FAIL') as f, bool_or(coalesce(sample_qc, '') = 'WARN') as w,
+                   bool_or(coalesce(sample_qc, '') = 'PASS') as p from npx group by block, sample_id) t group by block) s
+join (select block, cast(count(distinct assay_id) filter (where assay_type = 'assay' and assay_qc <> 'PASS') as bigint) as assays_failed
+      from npx group by block) a on a.block = s.block""",
+    ),
+)
+def q_qc_summary(spark, sf):
+    return qc.qc_summary(fx.npx(spark, sf))
+
+
+@register(
+    "uniprot_map",
+    Q(
+        ["npx"],
+        """select p.assay_id, p.uniprot, k.uniprot_kept from (select distinct assay_id, uniprot from npx) p
+join (select assay_id, min(uniprot) as uniprot_kept from (select distinct assay_id, uniprot from npx) t
+      group by assay_id having count(*) > 1) k on k.assay_id = p.assay_id""",
+    ),
+)
+def q_uniprot_map(spark, sf):
+    return qc.uniprot_map(fx.npx(spark, sf))
+
+
 @register(
     "qc_outliers",
     Q(
@@ -847,12 +903,17 @@ def q_drop_constant_assays(spark, sf):
     return matrix.drop_constant_assays(fx.npx(spark, sf)).select(S.SAMPLE_ID, S.ASSAY_ID, S.PLATE_ID, S.NPX)
 
 
+# The fixture's 64 assays without the two that never have a value.
+_MATRIX_ASSAYS = sorted("BAD3" if p == 3 else f"OID{10000 + p}" for p in range(64) if p % 32 != 11)
+
+
 @register(
     "wide_matrix",
     Q(
         ["npx"],
-        "select * from (pivot (select sample_id, assay_id, npx from npx where npx is not null) "
-        "on assay_id using max(npx) group by sample_id)",
+        "select sample_id, "
+        + ", ".join(f"max(npx) filter (where assay_id = '{a}') as \"{a}\"" for a in _MATRIX_ASSAYS)
+        + " from npx where npx is not null group by sample_id",
     ),
 )
 def q_wide_matrix(spark, sf):

@@ -1,4 +1,4 @@
-"""Session helpers: a configured SparkSession, the shared checkpoint folder, checked broadcasts."""
+"""Session helpers: a configured SparkSession and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows above which a side table is not broadcast (a hint is only given below it).
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "npxkit") -> SparkSession:
@@ -66,13 +62,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_checked(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after checking it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Above the bound the frame is returned
-    as it is, and the planner (with AQE's runtime statistics) picks a shuffled join.
-    """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small

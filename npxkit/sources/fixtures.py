@@ -53,7 +53,7 @@ def npx(spark: SparkSession, sf_dir: str) -> DataFrame:
                 end as uniprot""",
         "concat('GENE', cast(pos as string)) as assay",
         "case when pos % 8 = 7 then 'ext_ctrl' else 'assay' end as assay_type",
-        "'Explore_HT' as panel",
+        "case when pos < 32 then 'Explore_HT' else 'Explore_HT_2' end as panel",
         "cast(blk as string) as block",
         "cast(floor(abs(x) * 1000) as bigint) + 1 as read_count",
         "x as ext_npx",
@@ -167,7 +167,7 @@ select concat('S', lpad(cast(vec_id as varchar(9)),6,'0')) as sample_id,
   case when pos=8 then null else concat('P', cast(case when pos=5 and vec_id%2=1 then 99999 else 10000+pos end as varchar(9))) end as uniprot,
   concat('GENE', cast(pos as varchar(9))) as assay,
   case when pos%8=7 then 'ext_ctrl' else 'assay' end as assay_type,
-  'Explore_HT' as panel, cast(blk as varchar(9)) as block,
+  case when pos < 32 then 'Explore_HT' else 'Explore_HT_2' end as panel, cast(blk as varchar(9)) as block,
   cast(floor(abs(x)*1000) as bigint)+1 as read_count,
   x as ext_npx, case when sqc in ('FAIL','NA') then null else x end as npx,
   case when pos%32=11 or pos%8=7 then 'NA' when pos=20 then 'WARN' else 'PASS' end as assay_qc, sqc as sample_qc,

@@ -163,3 +163,52 @@ def test_all_missing_samples_and_assays(spark):
                        dict(sample_id="B", assay_id="X", npx=1.0), dict(sample_id="B", assay_id="Y", npx=None)])
     assert [(r.sample_id, r.n_rows) for r in qc.all_missing_samples(df).collect()] == [("A", 2)]
     assert [(r.assay_id, r.n_rows) for r in qc.all_missing_assays(df).collect()] == [("Y", 2)]
+
+
+def test_qc_matrix_keeps_every_block(spark):
+    from npxkit.operators import qc
+
+    rows = [("S1", "Cardio", "FAIL"), ("S1", "9", "WARN"), ("S2", None, "FAIL"), ("S3", "1", "PASS")]
+    df = spark.createDataFrame(rows, "sample_id string, block string, sample_qc string")
+    wide = {r.sample_id: r.asDict() for r in qc.sample_qc_matrix(df).collect()}
+    assert wide["S1"]["block_Cardio"] == "FAIL (n=1)" and wide["S1"]["block_9"] == "WARN (n=1)"
+    assert wide["S2"]["block_missing"] == "FAIL (n=1)"
+    assert set(wide) == {"S1", "S2"}
+    with pytest.raises(qc.IntegrityError):
+        qc.sample_qc_matrix(df, ["1", "9"])
+
+
+def test_plate_layout_keeps_every_well(spark):
+    from npxkit.operators import sheet
+
+    rows = [("S1", "SAMPLE", "A13", "P1"), ("S2", "CONTROL", "A1", "P1"), ("S3", "SAMPLE", None, "P1")]
+    df = spark.createDataFrame(rows, "sample_id string, sample_type string, well_id string, plate_id string")
+    grid = {(r.plate, r.row): r.asDict() for r in sheet.plate_layout(sheet.sample_sheet(df)).collect()}
+    assert grid["P1", "A"]["col_13"] == "SAMPLE" and grid["P1", "A"]["col_1"] == "CONTROL"
+    assert grid["P1", None]["col_missing"] == "SAMPLE"
+
+
+def test_low_count_lod(spark):
+    rows = [
+        (f"N{i}", "NEGATIVE_CONTROL", "PASS", assay, "1", kind, count, npx)
+        for i in range(10)
+        for assay, kind, count, npx in (("A", "assay", 2, 0.5 + i / 100), ("B", "assay", 900, 1.0), ("E", "ext_ctrl", 1024, 0.0))
+    ]
+    df = spark.createDataFrame(
+        rows, "sample_id string, sample_type string, sample_qc string, assay_id string, block string, assay_type string, read_count long, npx double"
+    )
+    plain = {r.assay_id: r.lod for r in lod.nc_lod(df).collect()}
+    low = {r.assay_id: r.lod for r in lod.nc_lod(df, low_count=150).collect()}
+    assert low["B"] == plain["B"]
+    assert low["A"] == pytest.approx(-8.0)  # log2(2 * 2 / 1024)
+
+
+def test_imputation_is_linear_in_the_panel(spark):
+    df = spark.range(400).selectExpr(
+        "concat('S', id % 20) as sample_id", "explode(sequence(1, 60)) as a", "cast(id as double) as npx", "id"
+    ).where("(a + id) % 3 > 0 and id % 20 + 1 > 0").selectExpr("sample_id", "concat('A', a) as assay_id", "npx", "id")
+    df = df.where("id < 20")
+    out = matrix.impute_median(df)
+    assert out.count() == 20 * 60 and out.where("npx_imputed is null").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at" not in plan and len(plan) < 40_000  # no constants per assay

@@ -1,8 +1,8 @@
-"""Session helpers: the checkpoint folder comes from the session; broadcasts only under a checked bound."""
+"""Session helpers: the checkpoint folder comes from the session."""
 
 from pyspark.sql import functions as F
 
-from npxkit.session import broadcast_checked, ensure_checkpoint_dir, materialize
+from npxkit.session import ensure_checkpoint_dir, materialize
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark):
@@ -16,12 +16,3 @@ def test_materialize_cuts_lineage(spark):
     m = materialize(df)
     assert sorted(r.x for r in m.collect()) == list(range(0, 20, 2))
     assert "LogicalRDD" in m._jdf.queryExecution().logical().toString()
-
-
-def test_broadcast_only_under_the_bound(spark):
-    small = spark.range(5)
-    big = spark.range(50)
-    joined_small = spark.range(100).join(broadcast_checked(small, max_rows=10), "id")
-    joined_big = spark.range(100).join(broadcast_checked(big, max_rows=10), "id")
-    assert "broadcast" in joined_small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in joined_big._jdf.queryExecution().logical().toString().lower()
