@@ -27,6 +27,11 @@ HEADLINE = [
     "npx_boxplot",
     "sample_qc_matrix",
     "impute_median",
+    "pca_scores",
+    "cv_density",
+    "median_cv_overall",
+    "cv_by_block",
+    "wide_matrix",
 ]
 
 
@@ -49,6 +54,7 @@ def main() -> None:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

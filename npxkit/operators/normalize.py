@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import is_in
 from ..functions.stats import attach_quantiles, group_quantiles
+from .qc import IntegrityError
 
 PLATE_ASSAY = [S.PLATE_ID, S.ASSAY_ID]
 
@@ -75,12 +76,21 @@ def normalize(df: DataFrame, value: str = S.EXT_NPX) -> DataFrame:
     )
 
 
-def normalize_pc_with_lot_factor(df: DataFrame, lots: DataFrame, value: str = S.EXT_NPX) -> DataFrame:
+def check_one_row(side: DataFrame, keys: list[str], what: str) -> None:
+    """Raise ``IntegrityError`` when a side table repeats a key, which would repeat measurements."""
+    if side.groupBy(*keys).count().where("count > 1").limit(1).count():
+        raise IntegrityError(f"{what} repeats a key ({', '.join(keys)})")
+
+
+def normalize_pc_with_lot_factor(df: DataFrame, lots: DataFrame, value: str = S.EXT_NPX, check: bool = True) -> DataFrame:
     """npx_pc_lot = ExtNPX - median(plate-control ExtNPX) - lot factor of the assay.
 
     ``lots`` holds (assay_id, pc_lot_factor), one row per assay; an assay without a factor
-    is not adjusted (factor 0). QC-failed rows give NULL as in ``normalize``.
+    is not adjusted (factor 0), a repeated assay raises ``IntegrityError``. QC-failed rows give
+    NULL as in ``normalize``.
     """
+    if check:
+        check_one_row(lots, [S.ASSAY_ID], "the lot-factor table")
     failed = is_in(S.SAMPLE_QC, [S.QC_FAIL, S.QC_NA])
     n = normalize(df, value).join(lots.select(S.ASSAY_ID, "pc_lot_factor"), S.ASSAY_ID, "left")
     lf = F.coalesce(F.col("pc_lot_factor"), F.lit(0.0))

@@ -5,7 +5,8 @@
   chart data, with and without values below LOD.
 * ``pca_report`` -- restrict to the annotated samples and compute principal components.
 
-Each function only builds plans; nothing runs until a result is written or collected.
+Results are lazy, but building them can run small jobs: the size checks of quantiles, the column
+lists of wide results, and the checkpoints asked for.
 Where one input feeds many results, ``materialize`` (a reliable checkpoint in the shared
 ``spark.checkpoint.dir``) can be asked for, so the input is computed once and a lost
 executor does not recompute the lineage.

@@ -212,3 +212,13 @@ def test_imputation_is_linear_in_the_panel(spark):
     assert out.count() == 20 * 60 and out.where("npx_imputed is null").count() == 0
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "element_at" not in plan and len(plan) < 40_000  # no constants per assay
+
+
+def test_side_tables_must_not_repeat_keys(spark):
+    df = spark.createDataFrame([("S1", "A", "D", "P", 1.0)], "sample_id string, assay_id string, data_analysis_ref_id string, plate_id string, ext_npx double")
+    fixed = spark.createDataFrame([("A", "D", 1.0), ("A", "D", 2.0)], "assay_id string, data_analysis_ref_id string, pc_lod double")
+    with pytest.raises(IntegrityError):
+        lod.append_fixed_lod(df, fixed)
+    lots = spark.createDataFrame([("A", 1.0), ("A", 2.0)], "assay_id string, pc_lot_factor double")
+    with pytest.raises(IntegrityError):
+        normalize.normalize_pc_with_lot_factor(df, lots)
