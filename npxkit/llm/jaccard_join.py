@@ -5,19 +5,24 @@ lower case; a text of fewer words is one shingle). Documents with equal sets for
 classes are joined through one representative. Two sets x, y of a class pair link when
 ``100 * |x & y| >= percent * |x | y|``. The join:
 
-* *Rare first.* Shingles are ordered by document frequency, counted over all documents into a
-  table of fixed size (2^20 buckets by hash), then by hash. Any common order gives a right
-  result; this one keeps frequent shingles out of the prefixes.
+* *Rare first.* Shingles are ordered by document frequency, then by hash. Frequencies are counted
+  over all documents: each partition reports the shingles that it holds more than once, and the
+  ``HEAVY`` most frequent ones of their sums (a table of bounded size) come last in the order. Any
+  common order gives a right result; this one keeps frequent shingles out of the prefixes.
 * *Prefixes.* A pair that links shares a shingle of the larger set's probing prefix and the
-  smaller set's (shorter) indexing prefix. Prefix shingles are joined by hash under the
-  *length* filter; rows of one pair meet in one aggregation, so each pair is verified once.
-* *Positional filter.* The shingles matched so far, and what is left behind the last one, must
-  be able to reach the required overlap. *Suffix filter*: token space is cut at fixed pivots
-  and the sizes of the parts differ by no more than the pair may differ.
+  smaller set's (shorter) indexing prefix. Prefix shingles that only one document has are dropped.
+* *Hubs.* Only components are asked for, so a group of thousands of near copies need not be
+  compared pair by pair. In a few rounds the documents of a prefix shingle are compared with a few
+  hubs of it (drawn by hash, later those with most links), and linked documents are merged.
+* *All the rest.* Every pair that shares a prefix shingle and is not yet in one component is
+  generated, under the *length* filter; rows of one pair meet in one aggregation, so a pair is
+  verified once. *Positional filter*: the shingles matched so far, and what is left behind the
+  last one, must be able to reach the required overlap. *Suffix filter*: token space is cut at
+  fixed pivots, and the sizes of the parts differ by no more than the pair may differ.
 * *Verification.* The sets of the documents still in question are built again and intersected.
 
-Hot shingles meet only in joins that adaptive execution splits; nothing is gathered by shingle.
-Links between representatives are turned into components in distributed rounds.
+Nothing is gathered by shingle; hubs are a fixed number for a shingle. Links between
+representatives are turned into components in distributed rounds.
 
 Nulls: a null text, and a text without words, has an empty set and links with nothing; a row
 with a null id gets a null component. Rows that share an id are one node with several sets.
@@ -37,9 +42,12 @@ from pyspark.sql import functions as F
 from .base import components, materialize
 from .textbytes import Hasher, mix, ragged, slices, words
 
-BUCKET_BITS = 20
-_CHUNK = 1024
-_PARTS = 16
+HEAVY = 1 << 18
+HUBS = 16
+ROUNDS = 4
+FEW = 80  # pairs for each row that are compared without hubs
+_PARTS = 32
+_FILTER_BITS = 20
 _U = np.uint64
 
 
@@ -67,50 +75,40 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(64 - BUCKET_BITS)).astype(np.int64)
+def _local_counts(k: int):
+    """Shingles that several documents of a partition share, with their number."""
 
-
-def _count_buckets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for batch in batches:
+            own: list[np.ndarray] = []
             for _, buf, off in slices(batch, "text"):
-                sets = shingle_sets(buf, off, k)
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=1 << BUCKET_BITS)
-        if total.any():
-            chunks = total.reshape(-1, _CHUNK)
-            at = np.arange(len(chunks) + 1, dtype=np.int32) * _CHUNK
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(chunks), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(total))], names=["chunk", "n"]
-            )
+                own += shingle_sets(buf, off, k)
+            h, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, _U), np.zeros(0, np.int64))
+            several = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[several].view(np.int64)), pa.array(n[several])], names=["h", "n"])
 
     return run
 
 
-def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Level (quantised logarithm) of the document frequency of every hash bucket. The counts of
-    partitions are added in two levels; the table has a fixed size."""
-
-    def added(rows: DataFrame, *keys: Column | str) -> DataFrame:
-        zero = F.array_repeat(F.lit(0).cast("bigint"), _CHUNK)
-        total = F.aggregate(F.collect_list("n"), zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-        return rows.groupBy(*keys).agg(total.alias("n"))
+def _heavy(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted by hash, and their places in the order (1 and up)."""
+    counts = docs.mapInArrow(_local_counts(k), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    most = counts.orderBy(F.col("n").desc(), "h").limit(HEAVY).toArrow()
+    h = most["h"].to_numpy().view(_U)
+    place = len(h) - np.arange(len(h))
+    order = np.argsort(h)
+    return h[order], place[order].astype(np.int64)
 
-    counts = docs.mapInArrow(_count_buckets(k), "chunk int, n array<bigint>")
-    counts = counts.withColumn("part", F.spark_partition_id() % 64)
-    counts = added(added(counts, "chunk", "part"), "chunk")
-    df = np.zeros((1 << BUCKET_BITS) // _CHUNK * _CHUNK).reshape(-1, _CHUNK)
-    for chunk, n in counts.collect():  # 2^20 numbers, whatever the input
-        df[chunk] = n
-    return np.minimum(np.log2(np.maximum(df.ravel(), 1.0)) * 6, 255).astype(np.uint8)
 
+def _places(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    h, place = heavy
+    if not len(h):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+    return np.where(h[at] == x, place[at], 0)
 
-def _ceil_div(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / F.lit(b)).cast("int")
 
-
-def _describe(k: int, percent: int, level: np.ndarray):
+def _describe(k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]):
     """Per document: size, hashes of the set, sizes of its parts, and its probing prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +118,16 @@ def _describe(k: int, percent: int, level: np.ndarray):
                 n = np.array([len(x) for x in sets], dtype=np.int32)
                 take = np.where(n > 0, n - (percent * n.astype(np.int64) + 99) // 100 + 1, 0)
                 prefixes, s1, s2 = [], np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                parts = np.zeros((len(n), _PARTS), dtype=np.int32)
+                parts = np.zeros((len(n), _PARTS), dtype=np.int16)
                 for i, x in enumerate(sets):
                     if not len(x):
                         continue
-                    order = np.argsort(level[_bucket(x)], kind="stable")
+                    order = np.argsort(_places(x, heavy), kind="stable")
                     prefixes.append(x[order[: take[i]]])
                     y = mix(x ^ _U(0x5851F42D4C957F2D))
                     s1[i], s2[i] = y.sum(dtype=_U).view(np.int64), mix(y).sum(dtype=_U).view(np.int64)
                     # Pivots on other bits than those that order the prefix.
-                    parts[i] = np.bincount((x & _U(_PARTS - 1)).astype(np.int64), minlength=_PARTS)
+                    parts[i] = np.minimum(np.bincount((x & _U(_PARTS - 1)).astype(np.int64), minlength=_PARTS), 32767)
                 at = np.zeros(len(n) + 1, dtype=np.int32)
                 np.cumsum(take, out=at[1:])
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, _U)
@@ -149,16 +147,30 @@ def _describe(k: int, percent: int, level: np.ndarray):
     return run
 
 
-def _rebuild(k: int):
+def _rebuild(k: int, wanted: np.ndarray):
+    """Sets of the documents whose id's hash is marked in ``wanted``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, buf, off in slices(batch, "text"):
+            marked = wanted[batch.column(batch.schema.get_field_index("slot")).to_numpy(zero_copy_only=False)]
+            for rows, buf, off in slices(batch.filter(pa.array(marked)), "text"):
                 packed = [x.tobytes() for x in shingle_sets(buf, off, k)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "bag"])
 
     return run
 
 
+def _bags(plain: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """(doc_id, bag) of the needed ids. A bitmap of their hashes, of fixed size, goes to the scan, so
+    that other texts are neither cut nor shuffled; the join then leaves the needed ones."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
+    wanted = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    wanted[need.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    bags = plain.withColumn("slot", slot).mapInArrow(_rebuild(words, wanted), f"doc_id {kind}, bag binary")
+    return bags.join(need, "doc_id", "left_semi").distinct()
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,57 +187,161 @@ def _verify(percent: int):
     return run
 
 
-def candidates(described: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of representatives that pass all filters; y is the smaller set."""
-    n = F.col("n")
-    rows = described.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
-    # 2t / (1 + t) of the smaller set must match: its indexing prefix is shorter.
-    index = n - F.ceil(n * (2 * percent) / F.lit(100 + percent)).cast("int") + 1
-    probe = rows.select("h", F.col("doc_id").alias("x"), n.alias("xn"), F.col("pos").alias("xp"))
-    small = rows.where(F.col("pos") < index).select("h", F.col("doc_id").alias("y"), n.alias("yn"), F.col("pos").alias("yp"))
+def _index_length(n: Column, percent: int) -> Column:
+    """Of the smaller set, a share of 2t / (1 + t) must match: its indexing prefix is shorter."""
+    return n - F.ceil(n * (2 * percent) / F.lit(100 + percent)).cast("int") + 1
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by ``h`` whose ``h`` occurs more than once. One row is carried
+    from batch to batch."""
+    carried: pa.RecordBatch | None = None
+    again = False  # the carried row's hash occurred before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if carried is not None:
+            batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+        h = batch.column(0).to_numpy(zero_copy_only=False)
+        same = np.append(again, h[1:] == h[:-1])
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        carried, again = batch.slice(batch.num_rows - 1), bool(same[-1])
+    if carried is not None and again:
+        yield carried
+
+
+def _hub_pairs(percent: int):
+    """Pairs (x, y) of each row of a partition sorted by ``h`` and priority with the first rows of its
+    hash, where components differ and sizes allow a link; x < y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hubs = None, []
+        for batch in batches:
+            out = set()
+            for h, doc, n, component in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "n", "component"))):
+                if h != last:
+                    last, hubs = h, []
+                for other, size, theirs in hubs:
+                    if theirs != component and 100 * min(n, size) >= percent * max(n, size):
+                        out.add((min(doc, other), max(doc, other)))
+                if len(hubs) < HUBS:
+                    hubs.append((doc, n, component))
+            x, y = zip(*sorted(out)) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field("doc").type), pa.array(y, batch.schema.field("doc").type)], names=["x", "y"])
+
+    return run
+
+
+def _with_hubs(members: DataFrame, found: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of documents with hubs of an eighth of the shingles; near copies share many.
+    After the first turn the hubs are those with most links to earlier hubs, which have far more."""
+    degree = found.select(F.col("x").alias("_d")).unionAll(found.select("y")).groupBy("_d").count()
+    rows = members.where(F.pmod("h", F.lit(8)) == turn % 8).join(degree, F.col("doc") == F.col("_d"), "left")
+    central = F.when(F.col("count") > HUBS * turn, 0).otherwise(F.coalesce("count", F.lit(0)))
+    rows = rows.select(
+        "h", "doc", "n", "component", (-central).alias("degree"), F.xxhash64("doc", F.lit(turn)).alias("draw")
+    )
+    rows = rows.repartition("h").sortWithinPartitions("h", "degree", "draw")
+    kind = members.schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(_hub_pairs(percent), f"x {kind}, y {kind}").distinct()
+
+
+def _spread(found: DataFrame, steps: int = 3) -> DataFrame:
+    """(node, label) of linked documents; equal labels are connected. A few steps join almost all
+    of a hub's neighbours; what stays apart is compared, not lost."""
+    both = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    both = both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    for _ in range(steps - 1):
+        label = materialize(label)
+        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        label = label.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"))
+    return label
+
+
+def _cross_pairs(members: DataFrame) -> float:
+    """Pairs of different components that share a shingle, counted once for each shingle."""
+    parts = members.groupBy("h", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    groups = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("squares")), F.lit(0.0)) / 2).first()[0]
+
+
+def _possible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter: pairs (x, y) whose sets' parts differ by no more than the pair may."""
+    size = described.select("doc_id", "n", "parts")
+    pairs = pairs.join(size.select(F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("parts").alias("xparts")), "x")
+    pairs = pairs.join(size.select(F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("parts").alias("yparts")), "y")
+    apart = F.aggregate(F.zip_with("xparts", "yparts", lambda a, b: F.abs(a - b).cast("int")), F.lit(0), lambda s, d: s + d)
+    return pairs.where(apart <= F.col("xn") + F.col("yn") - 2 * _needed(percent)).select("x", "y").distinct()
+
+
+def _needed(percent: int) -> Column:
+    return F.ceil((F.col("xn") + F.col("yn")) * percent / F.lit(100 + percent))
+
+
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components among ``members`` (h, doc, n, pos, component) that pass
+    the length and positional filters; y is the smaller set."""
+    mixed = members.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
+    left = materialize(members.join(materialize(mixed), "h", "left_semi"))
+    probe = left.select("h", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"))
+    small = left.where(F.col("pos") < _index_length(F.col("n"), percent))
+    small = small.select("h", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"))
     smaller = (F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("y") < F.col("x")))
     in_reach = F.col("yn") * 100 >= F.col("xn") * percent
-    met = probe.join(small, "h").where(smaller & in_reach)
+    met = probe.join(small, (probe.h == small.h) & smaller & in_reach & (F.col("xc") != F.col("yc")))
     met = met.groupBy("x", "y", "xn", "yn").agg(F.count(F.lit(1)).alias("same"), F.max("xp").alias("xp"), F.max("yp").alias("yp"))
-    needed = F.ceil((F.col("xn") + F.col("yn")) * percent / F.lit(100 + percent))
     behind = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
-    met = met.where(F.col("same") + behind >= needed)
-    size = described.select("doc_id", "n", "parts")
-    met = met.join(size.select(F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("parts").alias("xparts")), ["x", "xn"])
-    met = met.join(size.select(F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("parts").alias("yparts")), ["y", "yn"])
-    gaps = F.zip_with("xparts", "yparts", lambda a, b: F.abs(a - b))
-    apart = F.aggregate(gaps, F.lit(0), lambda s, d: s + d)
-    return met.where(apart <= F.col("xn") + F.col("yn") - 2 * needed).select("x", "y").distinct()
+    return met.where(F.col("same") + behind >= _needed(percent)).select("x", "y").distinct()
 
 
 def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: every row with its set's size and its class's representative, and the
-    links (x, y) between representatives."""
+    """``(rows, components)``: every row with its set's size and its class's representative, and the
+    components (node, component) of linked representatives."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    level = _frequencies(plain.select("text"), words)
+    heavy = _heavy(plain.select("text"), words)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n int, s1 bigint, s2 bigint, parts array<int>, prefix array<bigint>"
-    described = materialize(plain.mapInArrow(_describe(words, percent, level), schema))
+    schema = f"doc_id {kind}, n int, s1 bigint, s2 bigint, parts array<smallint>, prefix array<bigint>"
+    described = materialize(plain.mapInArrow(_describe(words, percent, heavy), schema))
     key = ["n", "s1", "s2"]
     first = described.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    first = materialize(first)
     rows = described.select("doc_id", *key).join(first, key, "left").select("doc_id", "n", "rep")
-    chosen = described.where("n > 0").join(first, [*key], "inner").where("doc_id = rep").dropDuplicates(key).drop("rep")
-    chosen = materialize(chosen.select("doc_id", "n", "parts", "prefix"))
-
-    pairs = materialize(candidates(chosen, percent))
-    asked = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    bags = plain.join(asked, "doc_id", "left_semi").mapInArrow(_rebuild(words), f"doc_id {kind}, bag binary")
-    bags = materialize(bags.distinct())
-    both = pairs.join(bags.select(F.col("doc_id").alias("x"), F.col("bag").alias("x_bag")), "x")
-    both = both.join(bags.select(F.col("doc_id").alias("y"), F.col("bag").alias("y_bag")), "y")
-    found = both.select("x", "y", "x_bag", "y_bag").mapInArrow(_verify(percent), f"x {kind}, y {kind}")
-    return rows, found.distinct()
+    chosen = described.where("n > 0").join(first, key).where("doc_id = rep").dropDuplicates(key)
+
+    members = chosen.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("doc"), "n").select("h", "doc", "n", "pos")
+    members = members.repartition("h").sortWithinPartitions("h")
+    members = materialize(members.mapInArrow(_shared, f"h bigint, doc {kind}, n int, pos int"))
+    asked = members.select(F.col("doc").alias("doc_id")).distinct()
+    known = materialize(described.select("doc_id", "n", "parts").join(asked, "doc_id", "left_semi").distinct())
+    none = plain.sparkSession.createDataFrame([], f"x {kind}, y {kind}")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_possible(pairs, known, percent))
+        need = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
+        bags = materialize(_bags(plain, materialize(need), words))
+        both = pairs.join(bags.select(F.col("doc_id").alias("x"), F.col("bag").alias("x_bag")), "x")
+        both = both.join(bags.select(F.col("doc_id").alias("y"), F.col("bag").alias("y_bag")), "y")
+        return both.select("x", "y", "x_bag", "y_bag").mapInArrow(_verify(percent), f"x {kind}, y {kind}").distinct()
+
+    found = none
+    named = members.withColumn("component", F.col("doc"))
+    total = members.count()
+    for turn in range(ROUNDS):
+        if _cross_pairs(named) <= FEW * total:
+            break
+        found = materialize(found.unionAll(verified(_with_hubs(named, found, turn, percent))).distinct())
+        named = members.join(_spread(found), F.col("doc") == F.col("node"), "left")
+        named = materialize(named.select("h", "doc", "n", "pos", F.coalesce("label", "doc").alias("component")))
+    found = found.unionAll(verified(candidates(named, percent)))
+    return rows, components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: its set's size and its component, named by the smallest id."""
-    rows, found = links(docs, words, percent)
-    joined = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rows, joined = links(docs, words, percent)
     out = rows.join(joined, F.col("rep") == F.col("node"), "left")
     return out.select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
