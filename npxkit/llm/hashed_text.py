@@ -28,17 +28,18 @@ def grams(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], shape: bool
     """(document, bucket) of every n-gram of code points, one pair of arrays for each size, in
     order of document. ASCII case is ignored; with ``shape``, only shapes count."""
     starts = _char_starts(buf)
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
+    stop = off[1:][owner]
     h = Hasher(_SHAPE[buf], 0) if shape else Hasher(buf, 0, lower=True)
     ends = np.append(starts, len(buf))
-    stop = off[np.searchsorted(off, starts, side="right")] if len(starts) else starts
     for n in sizes:
         if len(starts) < n:
             continue
         a, b = starts[: len(starts) - n + 1], ends[n:]
         inside = b <= stop[: len(a)]
-        a, b = a[inside], b[inside]
+        a, b, doc = a[inside], b[inside], owner[: len(a)][inside]
         code = mix(h.span(a, b) + _U(n + (1 << 10) * shape))
-        yield np.searchsorted(off, a, side="right") - 1, (code >> _U(64 - BITS)).astype(np.int64)
+        yield doc, (code >> _U(64 - BITS)).astype(np.int64)
 
 
 def counted(parts: Iterator[tuple[np.ndarray, np.ndarray]], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

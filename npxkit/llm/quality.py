@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize
-from .hashed_text import BITS, Sparse, bounded_sample, counted, descend, grams, sigmoid, sums
+from .hashed_text import BITS, Sparse, bounded_sample, counted, descend, grams, sigmoid
 from .textbytes import Hasher, slices, words
 from .toxicity import held_out
 
@@ -42,6 +42,7 @@ SELECT_FROM = 1
 SELECT_AT = 0.5
 _SCALE = 10.0
 ECHO = 0  # the bucket of repeated words
+_TABLE_ROWS = 128
 
 
 @dataclass
@@ -51,40 +52,69 @@ class Model:
     thresholds: np.ndarray  # ascending; of grades 1..G
 
 
-def _with_echoes(buf: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: np.ndarray, n: np.ndarray):
-    """Replaces the bucket ``ECHO`` by the share of words that equal the word before."""
+def _parts(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    yield from grams(buf, off, TEXT_SIZES)
+    yield from grams(buf, off, SHAPE_SIZES, shape=True)
+
+
+def _chars(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Code points of each document, 1 at least."""
+    before = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
+    return np.maximum(np.diff(before[off]), 1)
+
+
+def _echoes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Value of the feature of repeated words, from the share of words that equal the word before."""
     s, e, first = words(buf, off)
+    count = np.diff(first)
     if not len(s):
-        return doc, bucket, n
+        return np.zeros(len(count))
     h = Hasher(buf, 0, lower=True).span(s, e)
     same = np.append(0, np.cumsum(np.append(False, h[1:] == h[:-1])))
-    count = np.diff(first)
     # The first word of a document has none before it.
     echoes = np.where(count > 1, same[first[1:]] - same[np.minimum(first[:-1] + 1, len(s))], 0)
-    share = _SCALE * np.sqrt(echoes / np.maximum(count - 1, 1))
+    return _SCALE * np.sqrt(echoes / np.maximum(count - 1, 1))
+
+
+def _values(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket, value) of all features, by document."""
+    doc, bucket, n = counted(_parts(buf, off))
     other = bucket != ECHO
-    every = np.arange(len(count))
-    doc, bucket, n = (np.concatenate(v) for v in ((doc[other], every), (bucket[other], np.full(len(count), ECHO)), (n[other], share)))
+    doc, bucket = doc[other], bucket[other]
+    value = _SCALE * np.sqrt(n[other] / _chars(buf, off)[doc])
+    rows = np.arange(len(off) - 1)
+    doc, bucket, value = np.append(doc, rows), np.append(bucket, np.full(len(rows), ECHO)), np.append(value, _echoes(buf, off))
     order = np.argsort(doc, kind="stable")
-    return doc[order], bucket[order], n[order]
+    return doc[order], bucket[order], value[order]
 
 
-def _values(buf: np.ndarray, off: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield from grams(buf, off, TEXT_SIZES)
-        yield from grams(buf, off, SHAPE_SIZES, shape=True)
-
-    doc, bucket, n = counted(parts(), keep)
-    doc, bucket, n = _with_echoes(buf, off, doc, bucket, n)
-    chars = np.add.reduceat(np.append((buf & 0xC0) != 0x80, False).astype(np.int64), np.minimum(off[:-1], len(buf)))
-    chars = np.where(np.diff(off) > 0, chars, 1)
-    return doc, bucket, np.where(bucket == ECHO, n, _SCALE * np.sqrt(n / chars[doc]))
+def _sums(buf: np.ndarray, off: np.ndarray, model: Model) -> np.ndarray:
+    """Weighted sums of the documents' features: counts go to a dense table of a few documents by
+    the model's features, which needs no sorting."""
+    rows, chars = len(off) - 1, _chars(buf, off)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
+    chosen = np.flatnonzero(model.active & (np.arange(1 << BITS) != ECHO))
+    column[chosen] = np.arange(len(chosen))
+    weight, width = model.weight[chosen], len(chosen)
+    z = _echoes(buf, off) * model.weight[ECHO]
+    if not width:
+        return z
+    for a in range(0, rows, _TABLE_ROWS):
+        b = min(a + _TABLE_ROWS, rows)
+        counts = np.zeros((b - a) * width, dtype=np.int64)
+        for doc, bucket in _parts(buf[off[a] : off[b]], off[a : b + 1] - off[a]):
+            at = column[bucket]
+            counts += np.bincount((doc * width + at)[at >= 0], minlength=len(counts))
+        held = np.flatnonzero(counts)
+        totals = np.bincount(held // width, weights=np.sqrt(counts[held]) * weight[held % width], minlength=b - a)
+        z[a:b] += _SCALE * totals / np.sqrt(chars[a:b])
+    return z
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, buf, off in slices(batch, "text"):
-            doc, bucket, value = _values(buf, off, None)
+            doc, bucket, value = _values(buf, off)
             at = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -174,8 +204,7 @@ def _grade(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
-                doc, bucket, value = _values(buf, off, model.active)
-                z = sums(doc, value * model.weight[bucket], rows.num_rows)
+                z = _sums(buf, off, model)
                 tails = sigmoid(z[:, None] - model.thresholds[None, :])
                 at = min(SELECT_FROM, len(model.thresholds)) - 1
                 yield pa.RecordBatch.from_arrays(
