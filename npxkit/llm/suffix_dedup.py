@@ -50,6 +50,7 @@ GRAM = 64
 CELL = 32
 BUCKET_ROWS = 2048
 _NO_ID = -(1 << 63)
+_STEP = 0x9E3779B97F4A7C15  # odd, so a bucket's repeats get different groups
 
 _ANCHORS = "_id long, _sig int, h long, f long, a int, lo int, hi int"
 _CELLS = "_id long, _sig int, done boolean, k1 long, k2 long, ends long, core int, left binary, right binary"
@@ -213,11 +214,13 @@ def _scan_buckets(min_bytes: int, cell: int):
 
     def scan(bucket: list[tuple]) -> Iterable[tuple]:
         members = [(left, right) for *_, left, right in bucket]
-        for length, places in maximal_repeats(members, cell, core_bytes, min_bytes):
+        for i, (length, places) in enumerate(maximal_repeats(members, cell, core_bytes, min_bytes)):
             for m, t in places:
                 k1, _, row, sig, core, _, _ = bucket[m]
                 if row is not None:
-                    yield k1, row, sig, core - t, core - t + length
+                    # Repeats come in the order of their suffixes, so the i-th is the same at every run.
+                    group = (k1 + i * _STEP + (1 << 63)) % (1 << 64) - (1 << 63)
+                    yield group, row, sig, core - t, core - t + length
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
