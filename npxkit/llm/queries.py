@@ -78,4 +78,4 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle_sql()}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
