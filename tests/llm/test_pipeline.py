@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions, each on its predecessor's rows."""
 
+import hashlib
+
 import pytest
 from brute import jaccard_components, repeated
 from llm_fixtures import none, odd, small  # noqa: F401
@@ -40,6 +42,19 @@ def test_one_of_each_group_of_near_duplicates_stays(staged):
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(component.values()))
 
 
+def test_rows_of_one_id_with_unlike_texts_are_documents_of_their_own(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    texts = [(1, words("a")), (2, words("a") + " more"), (2, words("b")), (2, words("c")), (2, words("c")), (3, words("d")), (3, words("d") + " x")]
+    texts += [(4, "!"), (4, ""), (4, ""), (5, ""), (None, words("a")), (None, words("e")), (None, words("e"))]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(texts)], "doc_id long, text string, source string")
+    runs = [cp.near_duplicate_stage(spark, docs.repartition(n), SF).collect() for n in (1, 7)]
+    got = sorted((str(r.doc_id), r.text) for r in runs[0])
+    smaller = min((words("d"), words("d") + " x"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    kept = [(1, words("a")), (2, words("b")), (2, words("c")), (3, smaller), (4, "!"), (4, ""), (5, "")]
+    assert got == sorted((str(i), t) for i, t in [*kept, (None, words("a")), (None, words("e"))])
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+
+
 def test_repeats_are_gone(staged):
     before, after = staged["repeats"]
     rows = [(r.doc_id, r.text) for r in before.collect()]
