@@ -2,8 +2,8 @@
 
 Texts are tokenized with a given public vocabulary and end with an end id. A document's full
 windows are sequences of their own; what is left of it, less than a window, is a piece to be
-packed. Pieces are dealt to shards by hash, a bounded number of tokens each. A shard builds an
-inverted index of its pieces' ids with BM25 weights; document frequencies are counted over all
+packed. Pieces are ordered by hash and row number, and the order is cut into shards of a bounded
+number of tokens, also where very many rows are equal. A shard builds an inverted index of its pieces' ids with BM25 weights; document frequencies are counted over all
 pieces of the corpus. The longest unused piece is the seed of a window; its strongest ids query
 the index, and the unused pieces returned fill the window greedily, best first. If none of the
 best ones fits into what is left, the best is cut: its head fills the window and its rest is the
@@ -34,12 +34,14 @@ from .textbytes import Hasher, ragged, slices
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 1 << 20
+LEAST_WEIGHT = 16  # tokens that a shorter piece counts for, so that a shard's number of pieces is bounded
 QUERY_TERMS = 24
 CONSIDERED = 48
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 CACHE = 300_000
 _TERM_CHUNK = 1024
+_SHARD_BITS, _PART_BITS = 24, 20  # of a sequence's id: number in its shard, shard in its partition
 
 
 def vocabulary_path() -> str:
@@ -273,10 +275,12 @@ def fill(pieces: list[np.ndarray], index: Index, window: int) -> Iterator[list[t
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _pack(idf: np.ndarray, mean: float, window: int, with_ids: bool):
+def _pack(idf: np.ndarray, mean: float, window: int, with_ids: bool, shard_tokens: int):
+    """Cuts a partition's rows, as they come, into shards and packs each."""
+
     def shard_rows(shard: int, docs: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
-        sequence = shard << 32
+        sequence = shard << _SHARD_BITS
         pieces, owner = [], []
         for doc_id, tokens, full, rest in docs:
             for i, checksum in enumerate(full):
@@ -300,18 +304,19 @@ def _pack(idf: np.ndarray, mean: float, window: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[tuple] = []
-        last = None
-        id_type = None
+        held, shard, id_type = 0, None, None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "doc_tokens", "full", "rest"))):
-                if docs and shard != last:
-                    yield _typed(shard_rows(last, docs), id_type)
-                    docs = []
-                last = shard
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "doc_tokens", "full", "rest"))):
+                shard = part << _PART_BITS if shard is None else shard
+                weight = len(row[2]) + max(len(row[3]) // 2, LEAST_WEIGHT)
+                if docs and held + weight > shard_tokens:
+                    yield _typed(shard_rows(shard, docs), id_type)
+                    docs, held, shard = [], 0, shard + 1
+                held += weight
                 docs.append(tuple(row))
         if docs:
-            yield _typed(shard_rows(last, docs), id_type)
+            yield _typed(shard_rows(shard, docs), id_type)
 
     return run
 
@@ -320,22 +325,30 @@ def _typed(batch: pa.RecordBatch, id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), *batch.columns[1:]], names=batch.schema.names)
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False, shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
     """Pieces of all documents with their places in sequences. ``with_ids`` adds the ids of packed
-    pieces (little-endian, two bytes each); full windows can be cut from their document."""
+    pieces (little-endian, two bytes each); full windows can be cut from their document. A sequence's
+    shard is its id without the lowest ``_SHARD_BITS`` bits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     split = rows.mapInArrow(_tokenize(path or vocabulary_path(), window), f"doc_id {kind}, {_SPLIT}")
-    split = materialize(split)
+    # Rows are numbered in a written table, so that equal ones can be dealt apart.
+    split = materialize(split.withColumn("row", F.monotonically_increasing_id()))
     rest = F.length("rest") / 2
-    tokens, pieces = split.agg(F.coalesce(F.sum(rest), F.lit(0.0)), F.count(F.when(rest > 0, 1))).first()
-    shards = max(1, -(-int(tokens) // SHARD_TOKENS))
+    weight = F.size("full") + F.greatest(rest, F.lit(LEAST_WEIGHT))
+    tokens, pieces, load = split.agg(
+        F.coalesce(F.sum(rest), F.lit(0.0)), F.count(F.when(rest > 0, 1)), F.coalesce(F.sum(weight), F.lit(0.0))
+    ).first()
+    shards = max(1, -(-int(load) // shard_tokens))
     df = _frequencies(split)
     idf = np.log(1.0 + (pieces - df + 0.5) / (df + 0.5))
     mean = max(tokens / max(pieces, 1), 1.0)
-    dealt = split.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rest", "doc_tokens"), F.lit(shards)))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "doc_tokens")
-    return dealt.mapInArrow(_pack(idf, mean, window, with_ids), f"doc_id {kind}, {_PIECES}")
+    order = [F.xxhash64("doc_id", "rest", "doc_tokens"), F.col("row")]
+    dealt = split.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "doc_tokens", "full", "rest")
+    return dealt.mapInArrow(_pack(idf, mean, window, with_ids, shard_tokens), f"doc_id {kind}, {_PIECES}")
 
 
 def query(docs: DataFrame) -> DataFrame:

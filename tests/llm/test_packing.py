@@ -97,3 +97,17 @@ def test_neighbours_share_words():
     assert sum(e - b for w in windows for _, b, e in w) == 3000
     pure = [len({p // 6 for p, _, _ in w}) == 1 for w in windows]
     assert np.mean(pure) > 0.8
+
+
+def test_equal_rows_are_dealt_to_shards_of_bounded_size(spark, tokenizer):
+    text = " ".join(f"word{i}" for i in range(40))
+    texts = [(1, text)] * 600 + [(None, None)] * 3000 + [(i, f"other {i} {text[:i]}") for i in range(2, 200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = pk.pack(docs, window=64, shard_tokens=4096).collect()
+    check(rows, docs.collect(), tokenizer, window=64)
+    whole = defaultdict(int)  # pieces alone: full windows are not held by a shard as ids
+    for r in rows:
+        whole[r.sequence_id >> pk._SHARD_BITS] += r.length if r.length < 64 else 0
+    assert max(whole.values()) <= 4096
+    count = lambda doc: len({r.sequence_id >> pk._SHARD_BITS for r in rows if r.doc_id == doc})
+    assert count(None) >= 3000 * pk.LEAST_WEIGHT // 4096 and count(1) > 1
