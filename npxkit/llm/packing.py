@@ -2,9 +2,12 @@
 
 Texts are tokenized with a given public vocabulary and end with an end id. A document's full
 windows are sequences of their own; what is left of it, less than a window, is a piece to be
-packed. Pieces are ordered by hash and row number, and the order is cut into shards of a bounded
-number of tokens, also where very many rows are equal. A shard builds an inverted index of its pieces' ids with BM25 weights; document frequencies are counted over all
-pieces of the corpus. The longest unused piece is the seed of a window; its strongest ids query
+packed. Pieces are ordered by content, and the order is cut into shards of a bounded number of
+tokens, also where very many rows are equal. The order: the place of the nearest centre of BM25
+vectors in a few random dimensions (fitted on a bounded sample, neighbouring centres side by side),
+then the strongest BM25 ids that enough pieces hold to fill a shard, then a number of the row. A
+shard builds an inverted index of its pieces' ids with BM25 weights; document frequencies are
+counted over all pieces of the corpus. Retrieval looks inside the shard. The longest unused piece is the seed of a window; its strongest ids query
 the index, and the unused pieces returned fill the window greedily, best first. If none of the
 best ones fits into what is left, the best is cut: its head fills the window and its rest is the
 next seed. So only the last window of a shard is padded.
@@ -38,6 +41,10 @@ LEAST_WEIGHT = 16  # tokens that a shorter piece counts for, so that a shard's n
 QUERY_TERMS = 24
 CONSIDERED = 48
 K1, B = 1.2, 0.75
+SAMPLE = 8192
+CENTRES = 256
+DIMENSIONS = 128
+LEADING = 4  # ids of a piece's place in the order, 16 bits each
 VOCABULARY = 1 << 16
 CACHE = 300_000
 _TERM_CHUNK = 1024
@@ -205,6 +212,104 @@ def _frequencies(pieces: DataFrame) -> np.ndarray:
     return df
 
 
+def _weights(tf: np.ndarray, idf: np.ndarray, size: float | np.ndarray, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+_DIRECTIONS: list[np.ndarray] = []
+
+
+def _directions() -> np.ndarray:
+    if not _DIRECTIONS:
+        _DIRECTIONS.append(np.random.default_rng(0).standard_normal((VOCABULARY, DIMENSIONS), dtype=np.float32))
+    return _DIRECTIONS[0]
+
+
+def _vector(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A piece's BM25 weights in a few random dimensions, of length 1."""
+    out = weight.astype(np.float32) @ _directions()[term]
+    return out / max(float(np.linalg.norm(out)), 1e-9)
+
+
+def _terms(piece: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    term, tf = np.unique(piece, return_counts=True)
+    return term, _weights(tf, idf[term], len(piece), mean)
+
+
+def _vectors(idf: np.ndarray, mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_vector(*_terms(np.frombuffer(v.as_buffer(), dtype=np.uint16), idf, mean)).tobytes() for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["v"])
+
+    return run
+
+
+def centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Centres of unit vectors by k-means; near ones are side by side (cut in halves along the
+    direction in which they differ most, again and again)."""
+    rng = np.random.default_rng(0)
+    c = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
+    for _ in range(rounds):
+        near = np.argmax(sample @ c.T, axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, sample)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 0, total / np.maximum(size, 1e-9), c)
+
+    def chain(which: np.ndarray) -> list[int]:
+        if len(which) < 3:
+            return which.tolist()
+        apart = c[which] - c[which].mean(axis=0)
+        along = apart @ np.linalg.svd(apart, full_matrices=False)[2][0]
+        by = which[np.argsort(along, kind="stable")]
+        return chain(by[: len(by) // 2]) + chain(by[len(by) // 2 :])
+
+    return c[chain(np.arange(len(c)))]
+
+
+def place(piece: np.ndarray, middle: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float) -> tuple[int, int]:
+    """A piece's place in the order by content: (number of the nearest centre, strongest ids)."""
+    term, weight = _terms(piece, idf, mean)
+    # The vector's length does not matter to which centre is nearest.
+    nearest = int((middle @ (weight.astype(np.float32) @ _directions()[term])).argmax()) if len(middle) else 0
+    strength = weight * common[term]
+    leading = 0
+    for i in np.argsort(-strength, kind="stable")[:LEADING]:
+        leading = leading << 16 | (int(term[i]) if strength[i] > 0 else 0)
+    return nearest, (leading << 16 * max(LEADING - len(term), 0)) - (1 << 63)
+
+
+def _places(middle: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.column(batch.schema.get_field_index("rest"))
+            own = [place(np.frombuffer(v.as_buffer(), dtype=np.uint16), middle, idf, common, mean) for v in rest]
+            near, leading = zip(*own) if own else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(near, pa.int32()), pa.array(leading, pa.int64())], names=[*batch.schema.names, "near", "leading"]
+            )
+
+    return run
+
+
+def _ordered(split: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float, pieces: int, shards: int) -> DataFrame:
+    """The rows with their places in the order by content, written so that a task that runs again
+    finds the same ones."""
+    kind = split.schema["doc_id"].dataType.simpleString()
+    middle = np.zeros((0, DIMENSIONS), dtype=np.float32)
+    if shards > 1:
+        every = max(1, pieces // SAMPLE)
+        drawn = split.where((F.length("rest") > 0) & (F.pmod(F.xxhash64("row"), F.lit(every)) == 0)).select("rest").limit(2 * SAMPLE)
+        found = drawn.mapInArrow(_vectors(idf, mean), "v binary").toArrow()["v"]
+        sample = np.array([np.frombuffer(v.as_buffer(), dtype=np.float32) for v in found])
+        if len(sample):
+            middle = centres(sample[np.lexsort(sample.T)], CENTRES)
+    # An id of few pieces brings few together; those of the middle and above can fill a shard.
+    common = (df >= max(2, pieces // shards)).astype(np.float64)
+    return materialize(split.mapInArrow(_places(middle, idf, common, mean), f"doc_id {kind}, {_SPLIT}, row long, near int, leading long"))
+
+
 class Index:
     """Inverted index of a shard's pieces with BM25 weights."""
 
@@ -214,7 +319,7 @@ class Index:
         key = np.repeat(np.arange(n, dtype=np.int64), size.astype(np.int64)) << 16 | np.concatenate(pieces).astype(np.int64)
         key, tf = np.unique(key, return_counts=True)
         piece, term = key >> 16, key & 0xFFFF
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[piece] / mean))
+        weight = _weights(tf, idf[term], size[piece], mean)
         # The strongest ids of each piece are its query.
         order = np.lexsort((-weight, piece))
         first = np.searchsorted(piece, np.arange(n + 1))
@@ -345,8 +450,8 @@ def pack(
     df = _frequencies(split)
     idf = np.log(1.0 + (pieces - df + 0.5) / (df + 0.5))
     mean = max(tokens / max(pieces, 1), 1.0)
-    order = [F.xxhash64("doc_id", "rest", "doc_tokens"), F.col("row")]
-    dealt = split.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    order = [F.col("near"), F.col("leading"), F.col("row")]
+    dealt = _ordered(split, df, idf, mean, pieces, shards).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "doc_tokens", "full", "rest")
     return dealt.mapInArrow(_pack(idf, mean, window, with_ids, shard_tokens), f"doc_id {kind}, {_PIECES}")
 
