@@ -16,10 +16,10 @@ suffixes at every byte would shuffle the corpus many times over, so suffixes are
 4. *Enhanced suffix array.* Of the other buckets, the suffixes (the bytes left of the core, the
    core as one symbol, the bytes right of it) are sorted, their common prefixes computed, and a
    stack scan yields the tree of common-prefix intervals of at least ``min_bytes``. An interval
-   is a maximal repeat if its occurrences are preceded by different bytes; all its occurrences
-   are reported. A bucket with more than ``BUCKET_ROWS`` different cells (a passage common to
+   is a maximal repeat of its bucket if its occurrences are preceded by different bytes; those
+   in the bucket are reported, but not those of copies, which one member stands for. A bucket with more than ``BUCKET_ROWS`` different cells (a passage common to
    very many documents, with different surroundings) is not collected: its strings are counted
-   by offset and content instead, which gives the same occurrences.
+   by offset and content instead, which covers the same bytes by other groups.
 
 Every group is counted by partial aggregation; hot hashes meet in joins that adaptive execution
 splits. The texts are shuffled twice, once for the cells and once for the removal; everything
@@ -326,8 +326,12 @@ def _placed(keyed: DataFrame) -> DataFrame:
 def repeats(
     docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, cell: int = CELL, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Occurrences of maximal repeats, cut at the ranges of their anchors: (group, doc_id,
-    start, stop) in bytes; occurrences of one repeat share the group."""
+    """Places of repeats: (group, doc_id, start, stop) in bytes; rows of one group hold equal bytes.
+
+    Every byte of a repeat is covered, but a group is not a maximal repeat with all its occurrences:
+    repeats are cut at the ranges of their anchors and at cells, copies are reported in groups of
+    their own and not in those of other texts that share a part of them, and buckets of more than
+    ``bucket_rows`` kinds give strings of ``min_bytes`` bytes."""
     keyed = _keyed(docs.select("doc_id", "text"))
     spans = _spans(keyed, _placed(keyed), min_bytes, gram, cell, bucket_rows)
     return spans.select("group", F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"), "start", "stop")
