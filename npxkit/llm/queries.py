@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard_join, license_scan, mixing, packing, quality, sharding, suffix_dedup, toxicity, winnowing
+from . import embedding_dedup, jaccard_join, license_scan, mixing, packing, quality, sharding, spelling, suffix_dedup, toxicity, vantage_points, whitening, winnowing
 from .base import ship_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.query(table(spark, sf_dir, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_points.query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: _shipped(f)
     for f in (
@@ -75,7 +87,14 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_packing,
         op10_sharding,
+        op11_whitening,
+        op12_spelling,
+        op13_neighbours,
     )
 }
 
-ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle_sql(), "op10_sharding": sharding.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op3_mixing": mixing.oracle_sql(),
+    "op10_sharding": sharding.oracle_sql(),
+    "op12_spelling": spelling.oracle_sql(),
+}
