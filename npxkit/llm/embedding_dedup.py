@@ -18,8 +18,8 @@ components are joined in distributed rounds. One vector per component, that of t
 id, is kept.
 
 A vector that is null, zero, or holds null or non-finite components, and a vector with a null
-label, links with nothing. Vectors of different lengths never link. Repeated rows are vectors of
-their own. A null id takes part but names a component only if there is no other. An empty table
+label, links with nothing. Vectors of different lengths never link. Repeated rows, and different
+vectors of one id, are vectors of their own. A null id takes part but names a component only if there is no other. An empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -192,27 +192,28 @@ def _compare(threshold: float):
 
 
 def _numbered(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows with their class's representative, and the classes."""
+    """All rows, and the classes of equal vectors of a label with their size and smallest id."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     some = F.exists("embedding", lambda v: v != 0)
     usable = F.col("embedding").isNotNull() & F.col("label").isNotNull()
     usable = F.coalesce(usable & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)), F.lit(False))
     rows = vectors.select("vec_id", "label", F.when(usable, F.col("embedding")).alias("embedding"))
     fine = rows.where("embedding is not null")
-    reps = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
-    return rows, reps.where("rep is not null").withColumn("dim", F.size("embedding"))
+    reps = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("m"))
+    return rows, reps.withColumns({"dim": F.size("embedding"), "rep": F.monotonically_increasing_id()})
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """One row per vector: number of vectors linked to it, its component, whether it is kept."""
     spark: SparkSession = vectors.sparkSession
     rows, reps = _numbered(vectors)
-    reps = materialize(reps)
+    reps = materialize(reps)  # classes are known by their number from here on
     n = reps.count()
     book = fit(reps, n)
-    kind = {f.name: f.dataType.simpleString() for f in reps.schema.fields}
-    schema = ", ".join(f"{c} {kind[c]}" for c in reps.columns) + ", cell int, home boolean"
-    placed = materialize(reps.mapInArrow(_assign(book, threshold), schema))
+    bare = reps.drop("low")
+    kind = {f.name: f.dataType.simpleString() for f in bare.schema.fields}
+    schema = ", ".join(f"{c} {kind[c]}" for c in bare.columns) + ", cell int, home boolean"
+    placed = materialize(bare.mapInArrow(_assign(book, threshold), schema))
 
     cell = ["label", "dim", "cell"]
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"))
@@ -228,12 +229,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    joined = materialize(joined.join(reps.select(F.col("rep").alias("node"), "low"), "node"))
+    names = joined.groupBy("component").agg(F.min("low").alias("name"))
+    joined = joined.join(names, "component").select("node", "name")
     classes = reps.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     classes = classes.select(
         F.col("label").alias("_l"),
         F.col("embedding").alias("_e"),
         (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component"),
+        F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("name")).alias("component"),
     )
     out = rows.join(classes, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
     component = F.coalesce("component", "vec_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,16 +65,34 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 24)) < F.lit(int(share * (1 << 24)) + 1)).limit(2 * bound)
 
 
+def one_text_each(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
+    """(label, key, text): for every id of the sample one text, the smallest of those that stand under
+    it, so that a repeated id cannot widen the sample. ``key`` orders the rows alike at every run."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(label).alias(label), F.min("text").alias("text"))
+    return rows.select(label, F.xxhash64("text").alias("key"), "text")
+
+
+def gathered(rows: DataFrame, label: str, lists: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, row lengths and the flat lists of a bounded table, ordered by label and key. Rows equal in
+    both have equal lists, so sums of floats do not depend on the order in which rows arrive."""
+    t = rows.toArrow()
+    t = t.take(pa.array(np.lexsort((t["key"].to_numpy(), t[label].to_numpy())))).combine_chunks()
+    flat = [pa.concat_arrays([c.flatten() for c in t[name].chunks] or [pa.array([], t.schema.field(name).type.value_type)]) for name in lists]
+    lengths = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in t[lists[0]].chunks] or [np.zeros(0, np.int64)])
+    return t[label].to_numpy(), lengths, *(f.to_numpy(zero_copy_only=False) for f in flat)
+
+
 class Sparse:
-    """Rows of (feature, value), for products in both directions."""
+    """Rows of (feature, value), for products in both directions: flat arrays and the rows' lengths."""
 
-    def __init__(self, features: list[np.ndarray], values: list[np.ndarray], width: int):
-        lengths = np.array([len(x) for x in features], dtype=np.int64)
+    def __init__(self, lengths: np.ndarray, features: np.ndarray, values: np.ndarray, width: int):
         self.width = width
-        self.rows = np.repeat(np.arange(len(features)), lengths)
-        self.cols = np.concatenate(features) if features else np.zeros(0, np.int64)
-        self.vals = np.concatenate(values) if values else np.zeros(0)
-        self.height = len(features)
+        self.height = len(lengths)
+        self.rows = np.repeat(np.arange(self.height, dtype=np.int32), lengths)
+        self.cols = features
+        self.vals = values
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, weights=self.vals * w[self.cols], minlength=self.height)

@@ -9,7 +9,7 @@ Features are n-grams of code points, of the text (ASCII case ignored) and of its
 small letters, digits, other characters), hashed to 2^18 buckets; a value is the square root of
 the n-gram's share of the document. One more feature is the share of words that repeat the word
 before them. The model is fitted on a bounded, repeatable sample of
-the graded rows (``FIT_ROWS``); the ``FEATURES`` n-grams of most documents are used. Every whole
+the graded ids (``FIT_ROWS``), one text each: the smallest of those under an id; the ``FEATURES`` n-grams of most documents are used. Every whole
 text is scored in one pass over the table.
 
 Nulls: a null text is empty; an empty text has no features, and its score is the thresholds'
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize
-from .hashed_text import BITS, Sparse, bounded_sample, counted, descend, grams, sigmoid
+from .hashed_text import BITS, Sparse, bounded_sample, counted, descend, gathered, grams, one_text_each, sigmoid
 from .textbytes import Hasher, slices, words
 from .toxicity import held_out
 
@@ -43,6 +43,8 @@ SELECT_AT = 0.5
 _SCALE = 10.0
 ECHO = 0  # the bucket of repeated words
 _TABLE_ROWS = 128
+_SEEN = ["grade", "key", "buckets", "vals"]
+_SEEN_TYPES = "grade int, key long, buckets array<int>, vals array<float>"
 
 
 @dataclass
@@ -119,10 +121,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("grade"),
+                    rows.column("key"),
                     pa.ListArray.from_arrays(at, pa.array(bucket.astype(np.int32))),
                     pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32))),
                 ],
-                names=["grade", "buckets", "vals"],
+                names=_SEEN,
             )
 
 
@@ -130,13 +133,9 @@ def _ordered(theta: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])]))
 
 
-def _fit_ordinal(x: Sparse, grade: np.ndarray, top: int, penalty: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood of the cumulative-link model with a small penalty on the weights."""
-    level = np.arange(1, top + 1)
-    share = np.clip([(grade >= g).mean() for g in level], 1e-3, 1 - 1e-3)
-    cut = -np.log(share / (1 - share))
-    cut = np.maximum.accumulate(cut + np.arange(top) * 1e-3)
-    start = np.concatenate([np.zeros(x.width), cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))])
+def _ordinal_gradient(x: Sparse, grade: np.ndarray, top: int, penalty: float):
+    """Gradient of the mean negative log-likelihood of the grades, and of half the penalty on the squared
+    weights, by the weights and the thresholds' parameters."""
 
     def gradient(p: np.ndarray) -> np.ndarray:
         w, theta = p[: x.width], p[x.width :]
@@ -156,7 +155,17 @@ def _fit_ordinal(x: Sparse, grade: np.ndarray, top: int, penalty: float = 1e-4,
         d_theta = np.concatenate([after[:1], after[1:] * np.exp(theta[1:])])
         return np.concatenate([x.back(dz) + penalty * w, d_theta])
 
-    p = descend(gradient, start, steps, 0.05)
+    return gradient
+
+
+def _fit_ordinal(x: Sparse, grade: np.ndarray, top: int, penalty: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood of the cumulative-link model with a small penalty on the weights."""
+    level = np.arange(1, top + 1)
+    share = np.clip([(grade >= g).mean() for g in level], 1e-3, 1 - 1e-3)
+    cut = -np.log(share / (1 - share))
+    cut = np.maximum.accumulate(cut + np.arange(top) * 1e-3)
+    start = np.concatenate([np.zeros(x.width), cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))])
+    p = descend(_ordinal_gradient(x, grade, top, penalty), start, steps, 0.05)
     return p[: x.width], _ordered(p[x.width :])
 
 
@@ -165,8 +174,7 @@ def fit(docs: DataFrame, grades: DataFrame) -> Model:
     ``FIT_ROWS`` and ``FEATURES``."""
     known = grades.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     sample = bounded_sample(known, "doc_id", FIT_ROWS)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = materialize(rows.select("grade", "text").mapInArrow(_features, "grade int, buckets array<int>, vals array<float>"))
+    rows = materialize(one_text_each(docs, sample, "grade").mapInArrow(_features, _SEEN_TYPES))
     most = rows.select(F.explode("buckets").alias("b")).groupBy("b").count().orderBy(F.col("count").desc(), "b").limit(FEATURES)
     chosen = np.array([r.b for r in most.select("b").collect()], dtype=np.int64)
     active = np.zeros(1 << BITS, dtype=bool)
@@ -176,26 +184,22 @@ def fit(docs: DataFrame, grades: DataFrame) -> Model:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = column[batch.column(1).flatten().to_numpy(zero_copy_only=False)]
-            vals = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))[flat >= 0]
+            flat = column[batch.column(2).flatten().to_numpy(zero_copy_only=False)]
+            vals = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))[flat >= 0]
             at = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (flat[flat >= 0].astype(np.int32), vals[flat >= 0])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["grade", "buckets", "vals"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], names=_SEEN)
 
-    seen = rows.mapInArrow(kept, "grade int, buckets array<int>, vals array<float>").toArrow()
-    grade = np.maximum(seen["grade"].to_numpy(), 0).astype(np.int64)
+    grade, lengths, feats, vals = gathered(rows.mapInArrow(kept, _SEEN_TYPES), "grade", ("buckets", "vals"))
+    grade = np.maximum(grade, 0).astype(np.int64)
     weight = np.zeros(1 << BITS)
     if not len(grade):
         return Model(weight, active, np.array([-35.0]))
     top = int(grade.max())
     if top == 0:
         return Model(weight, active, np.array([35.0]))
-    feats = [np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.int64) for v in seen["buckets"]]
-    vals = [np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64) for v in seen["vals"]]
-    order = sorted(range(len(feats)), key=lambda i: (grade[i], len(feats[i]), feats[i].tobytes(), vals[i].tobytes()))
-    x = Sparse([feats[i] for i in order], [vals[i] for i in order], len(chosen))
-    w, thresholds = _fit_ordinal(x, grade[order], top)
+    w, thresholds = _fit_ordinal(Sparse(lengths, feats, vals, len(chosen)), grade, top)
     weight[chosen] = w
     return Model(weight, active, thresholds)
 

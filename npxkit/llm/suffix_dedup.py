@@ -412,6 +412,7 @@ def without_repeats(
 
 def query(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.select("doc_id", "text"))
-    out = _removed(keyed, [], False, min_bytes=MIN_BYTES, gram=GRAM, cell=CELL, bucket_rows=BUCKET_ROWS)
+    keyed = keyed.withColumn("_bytes", F.octet_length("text").cast("long"))
+    out = _removed(keyed, ["_bytes"], False, min_bytes=MIN_BYTES, gram=GRAM, cell=CELL, bucket_rows=BUCKET_ROWS)
     doc_id = F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id")
-    return out.select(doc_id, "n_removed", "n_spans", "kept_sha256")
+    return out.select(doc_id, F.col("_bytes").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

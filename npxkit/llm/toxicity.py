@@ -24,15 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize
-from .hashed_text import BITS, Sparse, bounded_sample, counted, descend, grams, sigmoid, sums
+from .hashed_text import BITS, Sparse, bounded_sample, counted, descend, gathered, grams, one_text_each, sigmoid, sums
 from .textbytes import slices
 
 SIZES = (4, 6, 8)
 FIT_ROWS = 8192
 FEATURES = 4096
 FOLDS = 5
-_SEEN = ["label", "buckets", "counts"]
-_SEEN_TYPES = "label int, buckets array<int>, counts array<int>"
+_SEEN = ["label", "key", "buckets", "counts"]
+_SEEN_TYPES = "label int, key long, buckets array<int>, counts array<int>"
 
 
 @dataclass
@@ -51,7 +51,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, bucket, n = counted(grams(buf, off, SIZES))
             at = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(v.astype(np.int32))) for v in (bucket, n)]
-            yield pa.RecordBatch.from_arrays([rows.column("label"), *lists], names=_SEEN)
+            yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("key"), *lists], names=_SEEN)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -59,9 +59,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts of the kept n-grams, and the sample's kept n-grams."""
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     sample = bounded_sample(known, "doc_id", FIT_ROWS)
-    text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("label", "text")
-    rows = materialize(rows.mapInArrow(_features, _SEEN_TYPES))
+    rows = materialize(one_text_each(docs, sample, "label").mapInArrow(_features, _SEEN_TYPES))
     weight = np.zeros(1 << BITS)
     totals = dict(rows.groupBy("label").count().collect())
     n1, n0 = totals.get(1, 0), sum(n for k, n in totals.items() if k != 1)
@@ -84,22 +82,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = column[batch.column(1).flatten().to_numpy(zero_copy_only=False)]
-            n = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))[flat >= 0]
+            flat = column[batch.column(2).flatten().to_numpy(zero_copy_only=False)]
+            n = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))[flat >= 0]
             at = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(v[flat >= 0].astype(np.int32))) for v in (flat, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=_SEEN)
-
-    seen = rows.mapInArrow(kept, _SEEN_TYPES).toArrow()
-    y = (seen["label"].to_numpy() == 1).astype(float)
-    lists = [np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.int64) for v in seen["buckets"]]
-    counts = [np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.int64) for v in seen["counts"]]
-    # Rows come in any order; sums of floats must not depend on it.
-    order = sorted(range(len(lists)), key=lambda i: (y[i], len(lists[i]), lists[i].tobytes(), counts[i].tobytes()))
-    y, lists, counts = y[order], [lists[i] for i in order], [counts[i] for i in order]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], names=_SEEN)
+
+    label, lengths, buckets, n = gathered(rows.mapInArrow(kept, _SEEN_TYPES), "label", ("buckets", "counts"))
+    y = (label == 1).astype(float)
     scale = np.array([r.ratio for r in best])
-    x = Sparse(lists, [np.log2(1 + n) * scale[i] for i, n in zip(lists, counts)], len(best))
+    x = Sparse(lengths, buckets, (np.log2(1 + n) * scale[buckets]).astype(np.float32), len(best))
 
     def gradient(wb: np.ndarray) -> np.ndarray:
         g = (sigmoid(x.dot(wb[:-1]) + wb[-1]) - y) / len(y)

@@ -108,18 +108,17 @@ def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], column
     """
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("double").alias("i"))
-    low, high = ids.agg(F.percentile_approx("i", [0.001, 0.999], 10000)).first()[0] or (0.0, 1.0)
+    low, high = ids.agg(F.percentile_approx("i", [0.001, 0.999], 10000)).first()[0] or (0.0, 1.0)  # no id at all
     ranges = 8 * partitions(spark)
     width = max((high - low) / ranges, 1e-9)
     place = F.floor((F.col("doc_id").cast("double") - F.lit(low)) / F.lit(width))
-    rows = prepare(docs).withColumn("_range", F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(ranges), place)), F.lit(-2)).cast("int"))
+    # ``least`` and ``greatest`` skip a null, so null ids get their range, the first one, here.
+    place = F.when(F.col("doc_id").isNull(), F.lit(-2)).otherwise(F.greatest(F.lit(-1), F.least(F.lit(ranges), place))).cast("int")
+    rows = prepare(docs).withColumn("_range", place)
     by_id = Window.partitionBy("_range").orderBy("doc_id", *columns)
     rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(by_id))
 
-    ends = docs.select("doc_id").withColumn(
-        "_range", F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(ranges), place)), F.lit(-2)).cast("int")
-    )
-    ends = ends.groupBy("_range").agg(F.min("doc_id").alias("_first"))
+    ends = docs.select("doc_id", place.alias("_range")).groupBy("_range").agg(F.min("doc_id").alias("_first"))
     around = Window.orderBy("_range")
     after = F.lead(F.struct("_first")).over(around)
     home = F.first(F.struct("_first")).over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

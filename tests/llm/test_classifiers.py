@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from llm_fixtures import none, odd  # noqa: F401
 from npxkit.llm import quality, toxicity
-from npxkit.llm.hashed_text import Sparse, grams
+from npxkit.llm.hashed_text import Sparse, grams, one_text_each
 
 SF = "/root/testdata/sf0.1"
 
@@ -62,15 +62,42 @@ def test_odd_labels(spark, odd, none):
 
 
 def test_ordinal_gradient_matches_differences():
+    rng = np.random.default_rng(0)
+    lengths, grade = rng.integers(0, 4, 60), rng.integers(0, 4, 60)
+    cols, vals = rng.integers(0, 5, lengths.sum()), rng.normal(size=lengths.sum())
+    dense = np.zeros((60, 5))
+    np.add.at(dense, (np.repeat(np.arange(60), lengths), cols), vals)
+
+    def loss(p):
+        cuts = np.cumsum(np.append(p[5], np.exp(p[6:])))
+        tail = 1 / (1 + np.exp(-((dense @ p[:5])[:, None] - cuts[None, :])))
+        tail = np.column_stack([np.ones(60), tail, np.zeros(60)])
+        return -np.log(tail[np.arange(60), grade] - tail[np.arange(60), grade + 1]).mean() + 0.005 * (p[:5] ** 2).sum()
+
+    p = rng.normal(size=8) * 0.5
+    steps = 1e-6 * np.eye(8)
+    wanted = [(loss(p + s) - loss(p - s)) / 2e-6 for s in steps]
+    got = quality._ordinal_gradient(Sparse(lengths, cols, vals, 5), grade, 3, 0.01)(p)
+    np.testing.assert_allclose(got, wanted, rtol=1e-5, atol=1e-7)
+
+
+def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 4, 400)
-    x = Sparse([np.array([0, 1])] * 400, [np.array([g + rng.normal(), 1.0]) for g in grade], 2)
+    x = Sparse(np.full(400, 2), np.tile([0, 1], 400), np.column_stack([grade + rng.normal(size=400), np.ones(400)]).ravel(), 2)
     w, cuts = quality._fit_ordinal(x, grade, 3)
     assert (np.diff(cuts) > 0).all() and w[0] > 0.5
     tail = 1 / (1 + np.exp(-(x.dot(w)[:, None] - cuts[None, :])))
     assert np.corrcoef(tail.sum(axis=1), grade)[0, 1] > 0.6
 
 
+def test_a_repeated_id_gives_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 50}") for i in range(500)] + [(2, None), (2, "b"), (3, "c")], "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    rows = sorted((r.label, r.text) for r in one_text_each(docs, sample, "label").collect())
+    assert rows == [(0, ""), (1, "text 0")]
+
+
 def test_grams_stay_in_their_document():
     data = "abcdéfg", "xyz", "", "ab"
     raw = [d.encode() for d in data]

@@ -76,3 +76,19 @@ def test_repeated_rows_count_as_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 1.0], 0, 1, "x")] * 3 + [(2, [1.0, 1.0], 0, 1, "x")], SCHEMA)
     rows = ed.near_duplicates(df).collect()
     assert len(rows) == 4 and {r.n_links for r in rows} == {3} and {r.component_id for r in rows} == {1}
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [
+        (None, [1.0, 0.0], 0),
+        (None, [0.99, 0.01], 0),
+        (5, [1.0, 0.001], 0),
+        (None, [0.0, 1.0], 1),  # linked vectors without any id
+        (None, [0.01, 1.0], 1),
+        (9, [1.0, 0.0], 2),  # one id, two vectors: one of them linked
+        (9, [0.0, 1.0], 2),
+        (3, [0.0, 2.0], 2),
+    ]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 2, 5), (None, 2, 5), (5, 2, 5), (None, 1, None), (None, 1, None), (9, 0, 9), (9, 1, 3), (3, 1, 3)], key=str)
