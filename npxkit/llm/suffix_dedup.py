@@ -26,7 +26,7 @@ splits. The texts are shuffled twice, once for the cells and once for the remova
 else is narrow.
 
 Nulls: a null text is empty; a null id is an id of its own. Rows are told apart by id and by a
-checksum of the text; rows equal in both are copies, so all their strings are repeats. Texts
+64-bit checksum of the text; rows equal in both are copies, so all their strings are repeats. Texts
 shorter than ``min_bytes`` have no strings. Matches never cross documents, overlapping
 occurrences in one text count, and strings are judged on the input. An empty table gives an empty
 result; extra columns are ignored by ``repeats`` and kept by ``without_repeats``.
@@ -52,9 +52,9 @@ BUCKET_ROWS = 2048
 _NO_ID = -(1 << 63)
 _STEP = 0x9E3779B97F4A7C15  # odd, so a bucket's repeats get different groups
 
-_ANCHORS = "_id long, _sig int, h long, f long, a int, lo int, hi int"
-_CELLS = "_id long, _sig int, done boolean, k1 long, k2 long, ends long, core int, left binary, right binary"
-_SPANS = "group long, _id long, _sig int, start int, stop int"
+_ANCHORS = "_id long, _sig long, h long, f long, a int, lo int, hi int"
+_CELLS = "_id long, _sig long, done boolean, k1 long, k2 long, ends long, core int, left binary, right binary"
+_SPANS = "group long, _id long, _sig long, start int, stop int"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ def _scan_buckets(min_bytes: int, cell: int):
                     yield group, row, sig, core - t, core - t + length
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         cols = list(zip(*rows)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["group", "_id", "_sig", "start", "stop"])
 
@@ -248,15 +248,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {
             "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)),
-            "_sig": F.hash(text),
+            "_sig": F.xxhash64(text),
             "text": text,
         }
     )
 
 
-def _spans(keyed: DataFrame, placed: DataFrame, min_bytes: int, gram: int, cell: int, bucket_rows: int) -> DataFrame:
-    """Occurrences (group, _id, _sig, start, stop) of repeats. ``placed``: the keyed texts,
-    partitioned by key."""
+def _spans(keyed: DataFrame, min_bytes: int, gram: int, cell: int, bucket_rows: int) -> DataFrame:
+    """Occurrences (group, _id, _sig, start, stop) of repeats in the keyed texts."""
     key = ["_id", "_sig"]
     anchors = materialize(keyed.select(*key, "text").mapInArrow(_find_anchors(min_bytes, gram), _ANCHORS))
     # Tables of hashes are written before rows are joined with them: a hot hash's rows can then be split.
@@ -274,18 +273,19 @@ def _spans(keyed: DataFrame, placed: DataFrame, min_bytes: int, gram: int, cell:
 
     # One of several equal contexts stands for them when others are compared with it.
     edge = known.where((F.col("kinds") > 1) & ((F.col("m") == 1) | (me == F.col("rep"))))
-    listed = edge.groupBy(*key).agg(F.collect_list(F.struct("h", "a", "lo", "hi", (F.col("m") > 1).alias("done"))).alias("anchors"))
-    cells = placed.join(listed, key).select(*key, "text", "anchors").mapInArrow(_cut_cells(min_bytes, cell), _CELLS)
-    cells = materialize(cells)
+    # Rows equal in id and text give equal anchors: each stands once.
+    listed = edge.groupBy(*key).agg(F.collect_set(F.struct("h", "a", "lo", "hi", (F.col("m") > 1).alias("done"))).alias("anchors"))
+    cells = keyed.join(listed, key).select(*key, "text", "anchors").mapInArrow(_cut_cells(min_bytes, cell), _CELLS)
+    cells = materialize(cells.withColumn("_n", F.monotonically_increasing_id()))
     bucket = ["k1", "k2"]
     shared = cells.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket)
     cells = materialize(cells.join(materialize(shared), bucket, "left_semi"))
-    kind = cells.groupBy(*bucket, "ends").agg(
-        F.count(F.lit(1)).alias("m"), F.max("done").alias("_done"), F.first("left").alias("_left"), F.first("right").alias("_right")
-    )
+    # Kinds carry numbers only; the bytes of one that stands for equal ones are those of its first cell.
+    kind = cells.groupBy(*bucket, "ends").agg(F.count(F.lit(1)).alias("m"), F.max("done").alias("_done"), F.min("_n").alias("_first"))
     size = kind.groupBy(*bucket).agg(F.count(F.lit(1)).alias("kinds"))
     kind = materialize(kind.join(size, bucket))
-    known = cells.where("not done").join(kind.select(*bucket, "ends", "m", "kinds"), [*bucket, "ends"])
+    every = cells.join(kind, [*bucket, "ends"])
+    known = every.where("not done")
     t_low = F.lit(cell - 1) - F.length("right")
     equal = known.where("m > 1").select(
         F.xxhash64(*bucket, "ends").alias("group"),
@@ -297,9 +297,8 @@ def _spans(keyed: DataFrame, placed: DataFrame, min_bytes: int, gram: int, cell:
     # Cells with other cells in their bucket: single ones to be judged, one of equal ones to compare with.
     cols = [*bucket, "_id", "_sig", "core", "left", "right"]
     single = known.where("m = 1 and kinds > 1").select(*cols, "kinds")
-    none = [F.lit(None).cast("long").alias("_id"), F.lit(None).cast("int").alias("_sig"), F.lit(0).alias("core")]
-    several = kind.where("kinds > 1 and (m > 1 or _done)")
-    several = several.select(*bucket, *none, F.col("_left").alias("left"), F.col("_right").alias("right"), "kinds")
+    none = [F.lit(None).cast("long").alias("_id"), F.lit(None).cast("long").alias("_sig"), F.lit(0).alias("core")]
+    several = every.where("kinds > 1 and (m > 1 or _done) and _n = _first").select(*bucket, *none, "left", "right", "kinds")
     compared = single.unionByName(several)
 
     small = compared.where(F.col("kinds") <= bucket_rows).select(*cols)
@@ -319,10 +318,6 @@ def _spans(keyed: DataFrame, placed: DataFrame, min_bytes: int, gram: int, cell:
     return whole.unionByName(equal).unionByName(scanned).unionByName(counted)
 
 
-def _placed(keyed: DataFrame) -> DataFrame:
-    return keyed.repartition("_id", "_sig")
-
-
 def repeats(
     docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, cell: int = CELL, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
@@ -333,7 +328,7 @@ def repeats(
     their own and not in those of other texts that share a part of them, and buckets of more than
     ``bucket_rows`` kinds give strings of ``min_bytes`` bytes."""
     keyed = _keyed(docs.select("doc_id", "text"))
-    spans = _spans(keyed, _placed(keyed), min_bytes, gram, cell, bucket_rows)
+    spans = _spans(keyed, min_bytes, gram, cell, bucket_rows)
     return spans.select("group", F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"), "start", "stop")
 
 
@@ -378,9 +373,8 @@ def _cut(with_text: bool):
 
 
 def _removed(keyed: DataFrame, others: list[str], with_text: bool, **limits: int) -> DataFrame:
-    placed = _placed(keyed)
-    found = _spans(keyed, placed, **limits).groupBy("_id", "_sig").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    rows = placed.join(found, ["_id", "_sig"], "left")
+    found = _spans(keyed, **limits).groupBy("_id", "_sig").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    rows = keyed.join(found, ["_id", "_sig"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("_id", *others)] + ["rest string, n_removed long, n_spans long, kept_sha256 string"])
     return rows.select("_id", *others, "text", "spans").mapInArrow(_cut(with_text), schema)

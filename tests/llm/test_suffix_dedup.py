@@ -6,12 +6,12 @@ from npxkit.llm import suffix_dedup as sd
 
 
 def outcome(rows):
-    return sorted((str(r.doc_id), r.n_removed, r.n_spans, r.kept_sha256) for r in rows)
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows)
 
 
 def expected(rows, size):
     rows = [(r.doc_id, r.text) for r in rows]
-    return sorted((str(i), *x[:3]) for (i, _), x in zip(rows, repeated([t for _, t in rows], size)))
+    return sorted((str(i), len((t or "").encode()), *x[:3]) for (i, t), x in zip(rows, repeated([t for _, t in rows], size)))
 
 
 def test_removal_matches_brute_force(small):
@@ -44,7 +44,7 @@ def test_edges_of_repeats(spark):
     docs = tricky(spark)
     for bucket_rows in (1000, 2):  # the second counts strings instead of collecting large buckets
         got = removed(docs, min_bytes=60, gram=16, cell=8, bucket_rows=bucket_rows)
-        assert got == expected(docs.collect(), 60)
+        assert got == [(i, *rest) for i, _, *rest in expected(docs.collect(), 60)]
 
 
 def test_groups_hold_all_occurrences_of_equal_bytes(spark):
@@ -78,3 +78,13 @@ def test_columns_stay(odd):
         got.setdefault(str(r.doc_id), []).append(r.text or "")
         assert (r.rest, r._id, r.n_chars or 0) == ("r", 9, len(r.text or ""))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in left.items()}
+
+
+def test_copies_of_a_row_cost_their_number(spark):
+    """Rows equal in id and text, beside a text that shares a part of them: every copy goes, and cells grow
+    with the copies, not with their square."""
+    part = " ".join(f"shared passage number {i}" for i in range(40))
+    docs = [(5, f"begin {part} end")] * 40 + [(None, f"begin {part} end")] * 3 + [(6, f"other {part} close"), (7, "x" * 900)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = sd.query(frame).collect()
+    assert outcome(rows) == expected(frame.collect(), sd.MIN_BYTES)
