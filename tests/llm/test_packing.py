@@ -148,3 +148,22 @@ def test_neighbours_meet_in_one_of_many_shards(spark, tokenizer):
     share = found(pieces, shard, range(0, 1200, 5))
     print(f"{len(set(shard))} shards, {share:.3f} of the ten best neighbours in the shard")
     assert share > 0.3  # 0.402 when written; dealt by hash 1 / shards, 0.033
+
+
+def test_ids_equal_those_of_the_named_tokenizer(spark):
+    """Every text of sf0.1, encoded by the vocabulary's other form and library."""
+    import public_tokenizers
+    import tokenizers
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    texts += ["", " ", " a", "a ", "é à ü", "don't  'S x\n\ny", "x\u00a0y \u00a0 z", "漢字 漢字 1234 ... 😀 ok"]
+    named = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    own = pk.Tokenizer(pk.vocabulary_path())
+    for begin in range(0, len(texts), 500):
+        some = texts[begin : begin + 500]
+        raw = [t.encode() for t in some]
+        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        ids, ends = own(np.frombuffer(b"".join(raw), dtype=np.uint8), off)
+        wanted = [[*e.ids, pk.END] for e in named.encode_batch(some, add_special_tokens=False)]
+        assert np.diff(ends).tolist() == [len(w) for w in wanted]
+        assert np.array_equal(ids, np.concatenate(wanted))
