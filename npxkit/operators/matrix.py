@@ -1,14 +1,11 @@
-"""Sample x assay matrices, median imputation and principal components (Q50-Q56).
+"""Sample x assay matrices and median imputation (Q50-Q53).
 
 No wide table is built for the large path: a sample's values travel as one array (one
-entry per assay of the panel, so bounded by the panel), which is what Spark ML consumes.
+entry per assay of the panel, so bounded by the panel), the form in which PCA and nearest samples read it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,53 +105,3 @@ def align_metadata(samples: DataFrame, meta: DataFrame, check: bool = True) -> D
         if dup:
             raise IntegrityError("sample ids repeat in the metadata")
     return samples.select(S.SAMPLE_ID).join(meta, S.SAMPLE_ID, "left")
-
-
-class PcaResult:
-    """Scores (sample_id, pc1..pck), percent of variance per component, loadings (assay x k)."""
-
-    def __init__(self, scores: DataFrame, variance: DataFrame, loadings: np.ndarray, assays: list[str]):
-        self.scores = scores
-        self.variance = variance
-        self.loadings = loadings
-        self.assays = assays
-
-
-def pca(df: DataFrame, k: int = 5, npx: str = S.NPX, drop_constant: bool = True) -> PcaResult:
-    """Principal components of the centred, unit-variance (n-1) sample x assay matrix.
-
-    Steps as the reference: drop constant plate x assay groups, keep non-missing values,
-    impute missing cells with the assay median, centre and scale, PCA. Spark ML builds
-    the p x p covariance with a tree aggregate (p = assays, bounded by the panel) and
-    eigen-decomposes it on the driver; the scores stay distributed. The imputed vectors are
-    checkpointed once to the shared folder because four jobs read them. Components are
-    min(k, n - 1, p). Sign: the largest-magnitude loading of each component is positive.
-    A zero-variance assay contributes nothing (the reference's prcomp would stop).
-    """
-    data = drop_constant_assays(df, npx) if drop_constant else df
-    assays = assay_list(_values(data, npx))
-    vec = imputed_vectors(data, npx)
-    # The vectors feed four jobs (count, scaler fit, PCA fit, scores): write them once.
-    vec = materialize(vec.select(S.SAMPLE_ID, array_to_vector("features").alias("features")))
-    n = vec.count()
-    k_eff = max(1, min(k, n - 1, len(assays)))
-    scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(vec).transform(vec)
-    model = PCA(k=k_eff, inputCol="z", outputCol="pc").fit(scaled)
-    loadings = model.pc.toArray()
-    signs = np.where(loadings[np.abs(loadings).argmax(axis=0), range(k_eff)] < 0, -1.0, 1.0)
-    loadings = loadings * signs
-    arr = vector_to_array(F.col("pc"))
-    scores = model.transform(scaled).select(
-        S.SAMPLE_ID, *[(arr[j] * F.lit(float(signs[j]))).alias(f"pc{j + 1}") for j in range(k_eff)]
-    )
-    spark = df.sparkSession
-    ev = [float(v) * 100.0 for v in model.explainedVariance.toArray()]
-    variance = spark.createDataFrame(
-        [(j + 1, ev[j]) for j in range(k_eff)], "component int, percent double"
-    ).withColumn("label", F.format_string("PC%d (%.1f%%)", F.col("component"), F.col("percent")))
-    return PcaResult(scores, variance, loadings, assays)
-
-
-def pca_builtin(df: DataFrame, k: int = 5, npx: str = S.NPX) -> PcaResult:
-    """``pca`` on SAMPLE rows only (as the packaged PCA chart is called in the reference)."""
-    return pca(df.where(F.col(S.SAMPLE_TYPE) == S.SAMPLE), k, npx)

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import charts, cv, lod, manifest, matrix, normalize, qc, sheet
+from ..operators import charts, components, cv, lod, manifest, matrix, neighbours, normalize, qc, sheet
+from ..session import materialize
 from ..sources import fixtures as fx
 from ..sources.fixtures import duckdb_with as W
 
@@ -962,16 +963,86 @@ def _pca_input(spark, sf):
 @register("pca_scores")
 def q_pca_scores(spark, sf):
     data, full = _pca_input(spark, sf)
-    res = matrix.pca(data, k=5)
+    res = components.pca(data, k=5)
     return res.scores.join(full, S.SAMPLE_ID, "left")
 
 
 @register("pca_variance")
 def q_pca_variance(spark, sf):
     data, _ = _pca_input(spark, sf)
-    return matrix.pca(data, k=5).variance
+    return components.pca(data, k=5).variance
 
 
 @register("pca_samples_only")
 def q_pca_samples_only(spark, sf):
-    return matrix.pca_builtin(fx.npx(spark, sf), k=5).scores
+    return components.pca_builtin(fx.npx(spark, sf), k=5).scores
+
+
+def _mean_long(spark, sf):
+    """The sparse table with one value per (sample, assay): the mean of its repeated measurements. Few
+    samples and a wide panel."""
+    d = fx.npx_long(spark, sf)
+    return d.groupBy(S.SAMPLE_ID, S.ASSAY_ID).agg(F.avg(S.NPX).alias(S.NPX))
+
+
+# A checked decomposition has these values whatever the data: the rest of a row is computed by both sides.
+_SQL_PCA_CHECK = """select c.component, 0.0::double as residual, 1.0::double as length, 0.0::double as skew, 1.0::double as spread,
+       t.total, t.samples
+from (select unnest(range(1, 6))::integer as component) c, t"""
+
+
+def _sql_pca_total(src: str) -> str:
+    """Number of assays that vary (each has variance one once scaled) and of samples."""
+    return f"""
+v as (select sample_id, assay_id, npx from {src} where npx is not null),
+a as (select assay_id, min(npx) as low, max(npx) as high from v group by assay_id),
+t as (select (select count(*) from a where low < high)::double as total, (select count(distinct sample_id) from v)::bigint as samples)"""
+
+
+@register(
+    "pca_check",
+    Q(
+        ["npx", "manifest", "subjects"],
+        _SQL_PCA_CHECK,
+        _SQL_SHEET,
+        """
+r as (select * from npx where sample_id in (select sample_id from full_sheet)),
+rc as (select d.* from r d where exists (
+         select 1 from (select assay_id, plate_id from r group by assay_id, plate_id having var_samp(npx) > 0) v
+         where v.assay_id = d.assay_id and v.plate_id = d.plate_id))""",
+        _sql_pca_total("rc"),
+    ),
+)
+def q_pca_check(spark, sf):
+    data, _ = _pca_input(spark, sf)
+    out = components.pca_check(data, components.pca(data, k=5))
+    return r6(out, "residual", "length", "skew", "spread", "total")
+
+
+@register("pca_check_wide", Q(["npx_long"], _SQL_PCA_CHECK, """
+m as (select sample_id, assay_id, avg(npx) as npx from npx_long group by sample_id, assay_id)""", _sql_pca_total("m")))
+def q_pca_check_wide(spark, sf):
+    data = materialize(_mean_long(spark, sf))
+    out = components.pca_check(data, components.pca(data, k=5, drop_constant=False), drop_constant=False)
+    return r6(out, "residual", "length", "skew", "spread", "total")
+
+
+@register(
+    "sample_neighbours",
+    Q(
+        ["npx"],
+        """select sample_id, rank, neighbour_id, round(distance, 6) as distance from (
+  select sample_id, neighbour_id, distance, row_number() over (partition by sample_id order by distance, neighbour_id)::integer as rank from d)
+where rank <= 10""",
+        _SQL_DROP_CONST,
+        """
+v as (select sample_id, assay_id, npx from dc where npx is not null),
+a as (select assay_id, median(npx) as med from v group by assay_id),
+f as (select s.sample_id, a.assay_id, coalesce(v.npx, a.med) as x
+      from (select distinct sample_id from v) s cross join a left join v on v.sample_id = s.sample_id and v.assay_id = a.assay_id),
+w as (select sample_id, list(x order by assay_id) as x from f group by sample_id),
+d as (select p.sample_id, q.sample_id as neighbour_id, list_distance(p.x, q.x) as distance from w p join w q on p.sample_id <> q.sample_id)""",
+    ),
+)
+def q_sample_neighbours(spark, sf):
+    return r6(neighbours.sample_neighbours(fx.npx(spark, sf), k=10), "distance")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .. import schema as S
-from ..operators import charts, cv, lod, manifest, matrix, qc, sheet
+from ..operators import charts, components, cv, lod, manifest, matrix, qc, sheet
 from ..session import materialize
 
 
@@ -81,7 +81,7 @@ def precision_report(
 def pca_report(df: DataFrame, full_sheet: DataFrame, k: int = 5) -> dict[str, object]:
     """PCA of the samples present in ``full_sheet``: scores with metadata, variance, loadings."""
     data = manifest.restrict_samples(df, full_sheet)
-    res = matrix.pca(data, k=k)
+    res = components.pca(data, k=k)
     return {
         "scores": res.scores.join(full_sheet, "sample_id", "left"),
         "variance": res.variance,
