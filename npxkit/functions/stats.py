@@ -3,10 +3,9 @@
 * ``bounded_quantiles`` -- the built-in ``percentile`` aggregate. It keeps the values of one
   group in one task, so it is only used for groups whose size has been checked.
 * ``exact_quantiles`` -- for groups that grow with the data (an assay over every sample of a
-  study) or a hot key. Rows are range-partitioned on (group, value), so a hot group is
-  spread over many tasks; each row gets its global rank inside its group from
-  per-partition counts, and only the rows at the interpolation ranks are aggregated.
-  Nothing of a group is gathered.
+  study) or a hot key. The values at the interpolation ranks are selected digit by digit of their
+  ordered bits, from counts: values are neither sorted nor shuffled, and nothing of a group is
+  gathered.
 * ``group_quantiles`` -- measures the largest group with one partial-aggregate pass and
   picks the first form when every group is within ``npxkit.quantile.maxGroupValues``
   values (default 1,000,000), the second otherwise.
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-_LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
+_DIGIT = 16  # bits found in a round of a selection
 MAX_GROUP_VALUES_CONF = "npxkit.quantile.maxGroupValues"
 DEFAULT_MAX_GROUP_VALUES = 1_000_000
 
@@ -40,69 +39,66 @@ def bounded_quantiles(value: str | Column, probs: Sequence[float]) -> Column:
     return F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    num_partitions: int | None = None,
-    values_per_partition: int = 4_000_000,
-) -> DataFrame:
-    """Exact type-7 quantiles of ``value`` per group of ``keys`` without holding a group in one task.
+def _ordered_bits(value: Column) -> Column:
+    """The 64 bits of a double as a long that sorts as the double does (the two zeros as one)."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _from_ordered_bits(bits: Column) -> Column:
+    plain = F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), plain).cast("double")
+
 
-    Returns one row per group having at least one non-NULL value: ``keys`` + ``names``
-    (double) + ``n_values``. Without ``num_partitions`` the range partitioning is sized from
-    the number of values (``values_per_partition`` each, at least the shuffle partitions):
-    AQE can merge range partitions but not split them.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact type-7 quantiles of ``value`` per group of ``keys`` by selection, without sorting a group or holding it
+    in one task.
+
+    Returns one row per group having at least one non-NULL value: ``keys`` + ``names`` (double) +
+    ``n_values``. The value at a rank is found digit by digit: a double's 64 bits, arranged to sort as the
+    double does, are four digits of ``_DIGIT`` bits. Each round counts, by partial aggregation, the values
+    that share the digits found so far by their next digit; running sums of these counts (at most 2^16 per
+    group and rank) name it. Equal values are one counter in each task, so a group of ties is spread
+    over all tasks like any other, and only counters are shuffled.
     """
     keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if not num_partitions:
-        setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-        base = int(setting) if str(setting).isdigit() else 200
-        num_partitions = max(base, -(-v.count() // values_per_partition))
-    ordered = v.repartitionByRange(num_partitions, *keys, "_v")
-    ordered = ordered.sortWithinPartitions(*keys, "_v").withColumn("_id", F.monotonically_increasing_id())
-    # The row ids depend on the physical layout: write them once so every later use sees the same ids.
-    ranked = materialize(ordered)
-    ranked = ranked.select(
-        *keys,
-        "_v",
-        F.shiftright("_id", _LOCAL_BITS).alias("_part"),
-        F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"),
-    )
-    # One row per (partition, group) piece: at most partitions + groups rows.
-    pieces = ranked.groupBy("_part", *keys).agg(F.min("_local").alias("_start"), F.count(F.lit(1)).alias("_c"))
-    by_group = Window.partitionBy(*keys)
-    pieces = pieces.select(
-        "_part",
-        *keys,
-        "_start",
-        (F.sum("_c").over(by_group.orderBy("_part")) - F.col("_c")).alias("_off"),
-        F.sum("_c").over(by_group).alias("_n"),
-    )
-    rows = join_on_keys(ranked, pieces, ["_part", *keys]).select(
-        *keys, "_v", "_n", (F.col("_off") + F.col("_local") - F.col("_start")).alias("_rank")
-    )
+    # Four rounds read the bits: write them once.
+    coded = materialize(v.select(*keys, _ordered_bits(F.col("_v")).alias("_bits")))
+    sizes = materialize(coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     # h = (n - 1) p ; Q = x[floor h] + (h - floor h) (x[floor h + 1] - x[floor h])
     hs = [(F.col("_n") - 1).cast("double") * F.lit(float(p)) for p in probs]
-    wanted = F.lit(False)
-    for h in hs:
-        lo = F.floor(h)
-        wanted = wanted | (F.col("_rank") == lo) | (F.col("_rank") == lo + 1)
-    picked = rows.where(wanted)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1)) for h in hs])))
+    found = sizes.select(*keys, F.explode(ranks).alias("_rank"), F.lit(0).cast("bigint").alias("_prefix"), F.lit(0).cast("bigint").alias("_below"))
+    for shift in range(64 - _DIGIT, -1, -_DIGIT):
+        first = shift == 64 - _DIGIT
+        # All values share the empty prefix of the first round.
+        prefix = F.lit(0).cast("bigint") if first else F.shiftright("_bits", shift + _DIGIT)
+        rows = coded.select(*keys, prefix.alias("_prefix"), F.shiftright("_bits", shift).alias("_next"))
+        if not first:
+            rows = join_on_keys(rows, found.select(*keys, "_prefix").distinct(), [*keys, "_prefix"], "left_semi")
+        counts = rows.groupBy(*keys, "_prefix", "_next").agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_prefix").orderBy("_next"))
+        counts = counts.select(*keys, "_prefix", "_next", "_c", upto.alias("_upto"))
+        hit = join_on_keys(found, counts, [*keys, "_prefix"])
+        local = F.col("_rank") - F.col("_below")
+        hit = hit.where((local < F.col("_upto")) & (local >= F.col("_upto") - F.col("_c")))
+        found = materialize(
+            hit.select(*keys, "_rank", F.col("_next").alias("_prefix"), (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_below"))
+        )
+    values = join_on_keys(found.select(*keys, "_rank", _from_ordered_bits(F.col("_prefix")).alias("_v")), sizes, keys)
     aggs = []
     for i, h in enumerate(hs):
         lo = F.floor(h)
         aggs.append(F.max(F.when(F.col("_rank") == lo, F.col("_v"))).alias(f"_lo{i}"))
         aggs.append(F.max(F.when(F.col("_rank") == lo + 1, F.col("_v"))).alias(f"_hi{i}"))
-    out = picked.groupBy(*keys).agg(F.max("_n").alias("n_values"), *aggs)
+    out = values.groupBy(*keys).agg(F.max("_n").alias("n_values"), *aggs)
     cols = []
     for i, (p, name) in enumerate(zip(probs, names)):
         h = (F.col("n_values") - 1).cast("double") * F.lit(float(p))
         lo_v, hi_v = F.col(f"_lo{i}"), F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}"))
-        cols.append((lo_v + (h - F.floor(h)) * (hi_v - lo_v)).alias(name))
+        # At a rank itself nothing is interpolated, also where the next value is infinite.
+        cols.append(F.when(h == F.floor(h), lo_v).otherwise(lo_v + (h - F.floor(h)) * (hi_v - lo_v)).alias(name))
     return out.select(*keys, *cols, "n_values")
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import count_rows
 from ..functions.stats import GAUSS_NORM, attach_quantiles, group_quantiles, nrd0_bandwidth
+from ..functions.vectors import sum_vectors
 from ..session import materialize
 
 
@@ -31,10 +36,9 @@ def cv_density(med: DataFrame, cap: float = 50.0, points: int = 512, value: str
 
     One grid of ``points`` values from the global minimum to the global maximum is shared
     by all groups; the bandwidth is R's bw.nrd0 per group; groups with fewer than two
-    values are left out. The density is the exact kernel sum: each value adds its kernel
-    at every grid point (an array of ``points`` terms computed in the row), and the terms
-    are summed per (group, grid point) with partial aggregation. The grid size is a fixed
-    parameter, so the work is values x points, whatever the data size.
+    values are left out. The density is the exact kernel sum: a task adds its values' kernels at
+    every grid point to one array per group, and only these arrays are shuffled and added, one
+    row per group and task. The grid size is a fixed parameter, so the work is values x points.
     """
     keys = [S.SAMPLE_TYPE, S.PLATE_ID]
     # The capped values (one per assay x plate x type) feed three jobs -- grid bounds,
@@ -56,26 +60,53 @@ def cv_density(med: DataFrame, cap: float = 50.0, points: int = 512, value: str
         return stats.select(*keys, F.lit(None).cast("bigint").alias("grid_index"), F.lit(None).cast("double").alias("x"),
                             F.lit(None).cast("double").alias("density")).limit(0)
     step = (hi - lo) / float(points - 1)
-    grid = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda i: F.exp(
-            F.lit(-0.5) * F.pow((F.lit(lo) + i.cast("double") * F.lit(step) - F.col("_x")) / F.col("_bw"), F.lit(2.0))
-        ),
-    )
     # Each value joins its group's n and bandwidth (one row per group).
-    terms = x.join(stats.select(*keys, "_n", "_bw"), keys).select(*keys, "_n", "_bw", F.posexplode(grid).alias("_i", "_k"))
-    return (
-        terms.groupBy(*keys, "_i")
-        .agg((F.sum("_k") * F.lit(GAUSS_NORM) / (F.max("_n").cast("double") * F.max("_bw"))).alias("density"))
-        .select(
-            *keys,
-            F.col("_i").cast("bigint").alias("grid_index"),
-            (F.lit(lo) + F.col("_i").cast("double") * F.lit(step)).alias("x"),
-            "density",
-        )
+    terms = x.join(stats.select(*keys, "_n", "_bw"), keys).select(*keys, "_n", "_bw", "_x")
+    kinds = dict(terms.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "_n", "_bw")) + ", _sum array<double>"
+    sums = sum_vectors(terms.mapInArrow(_kernel_sums([*keys, "_n", "_bw"], lo + step * np.arange(points)), schema), [*keys, "_n", "_bw"], "_sum")
+    return sums.select(*keys, "_n", "_bw", F.posexplode("_sum").alias("_i", "_k")).select(
+        *keys,
+        F.col("_i").cast("bigint").alias("grid_index"),
+        (F.lit(lo) + F.col("_i").cast("double") * F.lit(step)).alias("x"),
+        (F.col("_k") * F.lit(GAUSS_NORM) / (F.col("_n").cast("double") * F.col("_bw"))).alias("density"),
     )
 
 
+_HELD_GROUPS = 4096
+
+
+def _kernel_sums(keys: list[str], grid: np.ndarray):
+    """Per task and group the kernels of its values, summed at every point of the grid."""
+
+    def out(held: dict[tuple, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        cells = [pa.array([k[i] for k in held], schema.field(name).type) for i, name in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*cells, pa.array(list(held.values()), pa.list_(pa.float64()))], names=[*keys, "_sum"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        schema: pa.Schema | None = None
+        for batch in batches:
+            schema = batch.schema
+            x = batch.column(schema.get_field_index("_x")).to_numpy(zero_copy_only=False)
+            width = batch.column(schema.get_field_index("_bw")).to_numpy(zero_copy_only=False)
+            own: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(schema.get_field_index(k)).to_pylist() for k in keys))):
+                own.setdefault(key, []).append(i)
+            for key, rows in own.items():
+                total = held.setdefault(key, np.zeros(len(grid)))
+                for begin in range(0, len(rows), 1024):
+                    at = rows[begin : begin + 1024]
+                    total += np.exp(-0.5 * ((grid[None, :] - x[at, None]) / width[at, None]) ** 2).sum(axis=0)
+            if len(held) > _HELD_GROUPS:
+                yield out(held, schema)
+                held = {}
+        if held:
+            yield out(held, schema)
+
+    return run
+
+
 def cv_vs_detectability(pct: DataFrame, med: DataFrame) -> DataFrame:
     """Share above LOD per (assay, plate) joined with the SAMPLE median CVs on (assay, plate)."""
     return pct.join(med.where(F.col(S.SAMPLE_TYPE) == S.SAMPLE), [S.ASSAY_ID, S.PLATE_ID], "inner")

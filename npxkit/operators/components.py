@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import count_rows
 from ..functions.stats import group_quantiles
+from ..functions.vectors import sum_vectors
 from ..session import materialize
 from .matrix import assay_list, drop_constant_assays, imputed_vectors
 from .qc import IntegrityError
@@ -120,22 +121,6 @@ def standardised(values: DataFrame, n: int, p: int, most: int) -> Standardised:
     return Standardised(cells, assays.select(S.ASSAY_ID, "place", "z0"), n, p, float(kept) * max(n - 1, 1))
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the arrays of each chunk, of a partition sorted by chunk."""
-    last, total = None, None
-    for batch in batches:
-        for chunk, row in zip(batch.column(0).to_pylist(), batch.column(1)):
-            row = row.values.to_numpy(zero_copy_only=False)
-            if chunk != last:
-                if last is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([total])], names=["chunk", "part"])
-                last, total = chunk, row.copy()
-            else:
-                total += row
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([total])], names=["chunk", "part"])
-
-
 def _chunks(m: np.ndarray) -> Iterator[pa.RecordBatch]:
     step = max(1, _CHUNK // 16 if m.shape[1] > 256 else _CHUNK)
     for begin in range(0, len(m), step):
@@ -148,8 +133,7 @@ _PARTS = "chunk long, part array<double>"
 def _collected(parts: DataFrame, height: int, width: int) -> np.ndarray:
     """The sum of all tasks' matrices, added chunk by chunk by Spark."""
     out = np.zeros((height, width))
-    added = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_added, _PARTS)
-    for chunk, part in added.toLocalIterator():
+    for chunk, part in sum_vectors(parts, ["chunk"], "part").toLocalIterator():
         rows = np.array(part).reshape(-1, width)
         out[chunk : chunk + len(rows)] = rows
     return out

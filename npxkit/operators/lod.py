@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import count_rows, keep_at_or_above, share_true
 from ..functions.stats import group_quantiles
-from .normalize import PLATE_ASSAY, check_one_row, with_plate_medians
+from .normalize import PLATE_ASSAY, one_row_per_key, with_plate_medians
 
 
 class NotEnoughControls(ValueError):
@@ -21,10 +21,9 @@ def append_fixed_lod(df: DataFrame, fixed: DataFrame, value: str = S.EXT_NPX, ch
     ``fixed`` holds (assay_id, data_analysis_ref_id, pc_lod). On the intensity scale the
     same ExtNPX threshold sits at pc_lod + pc_median - sample_median of the plate x assay.
     Rows without a fixed value get NULL in both. The fixed table has one row per assay and
-    reference id (a repeated one raises ``IntegrityError``), so the planner broadcasts it.
+    reference id (a repeated one fails the job that reads it), so the planner broadcasts it.
     """
-    if check:
-        check_one_row(fixed, [S.ASSAY_ID, S.DAR_ID], "the fixed-LOD table")
+    fixed = one_row_per_key(fixed, [S.ASSAY_ID, S.DAR_ID], S.PC_LOD, "the fixed-LOD table") if check else fixed
     base = with_plate_medians(df.drop(S.LOD, S.PC_LOD), value)
     shifted = base.join(fixed.select(S.ASSAY_ID, S.DAR_ID, S.PC_LOD), [S.ASSAY_ID, S.DAR_ID], "left")
     return shifted.withColumn(S.LOD, F.col(S.PC_LOD) + F.col("pc_median") - F.col("sample_median")).drop(

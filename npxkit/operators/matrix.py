@@ -6,8 +6,13 @@ entry per assay of the panel, so bounded by the panel), the form in which PCA an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.columns import count_rows
@@ -51,14 +56,45 @@ def assay_list(vals: DataFrame) -> list[str]:
 def wide_matrix(df: DataFrame, assays: list[str] | None = None, npx: str = S.NPX, check: bool = True) -> DataFrame:
     """Sample rows, one column per assay (sorted ids), from the non-missing values.
 
-    For a few assays (a pivot has one column per value). Duplicate (sample, assay) pairs
-    raise ``IntegrityError``.
+    A sample's values are gathered once, with their places in the panel, and a task lays them out as
+    columns of whole batches: the plan has no expression per assay, so a panel of thousands is as
+    good as one of ten. Values of assays outside a given list are left out, as a pivot does.
+    Duplicate (sample, assay) pairs raise ``IntegrityError``.
     """
     vals = _values(df, npx)
     if check:
         _check_unique(vals)
     assays = assays if assays is not None else assay_list(vals)
-    return vals.groupBy(S.SAMPLE_ID).pivot(S.ASSAY_ID, assays).agg(F.max("_v"))
+    kind = vals.schema["_v"].dataType
+    place = df.sparkSession.createDataFrame([(a, i) for i, a in enumerate(assays)], f"{S.ASSAY_ID} string, _place int")
+    # The panel's list is bounded by the panel; the left side keeps samples without a listed assay.
+    cells = vals.join(F.broadcast(place), S.ASSAY_ID, "left").groupBy(S.SAMPLE_ID)
+    cells = cells.agg(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", F.col("_v").cast("double").alias("_v")))).alias("_cells"))
+    fields = [T.StructField(S.SAMPLE_ID, T.StringType()), *(T.StructField(a, T.DoubleType()) for a in assays)]
+    wide = cells.mapInArrow(_laid_out(assays), T.StructType(fields))
+    return wide if kind == T.DoubleType() else wide.select(S.SAMPLE_ID, *[F.col(f"`{a}`").cast(kind).alias(a) for a in assays])
+
+
+def _laid_out(assays: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 22) // max(len(assays), 1))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, step):
+                some = batch.slice(begin, step)
+                lists = some.column(1)
+                flat = lists.flatten()
+                row = np.repeat(np.arange(some.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                at = flat.field("_place").to_numpy(zero_copy_only=False)
+                # An assay's largest value, where an unchecked cell holds several.
+                dense = np.full((len(assays), some.num_rows), -np.inf)
+                seen = np.zeros(dense.shape, dtype=bool)
+                np.maximum.at(dense, (at, row), flat.field("_v").to_numpy(zero_copy_only=False))
+                seen[at, row] = True
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), *(pa.array(v, mask=~s) for v, s in zip(dense, seen))], names=[S.SAMPLE_ID, *assays]
+                )
+
+    return run
 
 
 def assay_medians(df: DataFrame, npx: str = S.NPX, known_max_group: int | None = None) -> DataFrame:

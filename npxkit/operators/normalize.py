@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import is_in
+from ..functions.columns import count_rows, is_in
 from ..functions.stats import attach_quantiles, group_quantiles
 from .qc import IntegrityError
 
@@ -76,21 +76,22 @@ def normalize(df: DataFrame, value: str = S.EXT_NPX) -> DataFrame:
     )
 
 
-def check_one_row(side: DataFrame, keys: list[str], what: str) -> None:
-    """Raise ``IntegrityError`` when a side table repeats a key, which would repeat measurements."""
-    if side.groupBy(*keys).count().where("count > 1").limit(1).count():
-        raise IntegrityError(f"{what} repeats a key ({', '.join(keys)})")
+def one_row_per_key(side: DataFrame, keys: list[str], value: str, what: str) -> DataFrame:
+    """(keys, value) of a side table. A repeated key, which would repeat measurements, fails the job that
+    reads it: the check is part of the plan, so nothing runs when the operator is called."""
+    message = F.lit(f"{what} repeats a key ({', '.join(keys)})")
+    rows = side.groupBy(*keys).agg(count_rows().alias("_rows"), F.max(value).alias("_value"))
+    return rows.select(*keys, F.when(F.col("_rows") == 1, F.col("_value")).otherwise(F.raise_error(message)).alias(value))
 
 
 def normalize_pc_with_lot_factor(df: DataFrame, lots: DataFrame, value: str = S.EXT_NPX, check: bool = True) -> DataFrame:
     """npx_pc_lot = ExtNPX - median(plate-control ExtNPX) - lot factor of the assay.
 
     ``lots`` holds (assay_id, pc_lot_factor), one row per assay; an assay without a factor
-    is not adjusted (factor 0), a repeated assay raises ``IntegrityError``. QC-failed rows give
+    is not adjusted (factor 0), a repeated assay fails the job. QC-failed rows give
     NULL as in ``normalize``.
     """
-    if check:
-        check_one_row(lots, [S.ASSAY_ID], "the lot-factor table")
+    lots = one_row_per_key(lots, [S.ASSAY_ID], "pc_lot_factor", "the lot-factor table") if check else lots
     failed = is_in(S.SAMPLE_QC, [S.QC_FAIL, S.QC_NA])
     n = normalize(df, value).join(lots.select(S.ASSAY_ID, "pc_lot_factor"), S.ASSAY_ID, "left")
     lf = F.coalesce(F.col("pc_lot_factor"), F.lit(0.0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import count_rows, matches, not_in_or_null, qc_label
 from ..functions.stats import group_quantiles
+from ..session import materialize
 
 
 # Column label of rows without a block.
@@ -67,9 +68,9 @@ def value_column(df: DataFrame) -> str:
     elif "quantified_value" in cols or "Quantified_value" in cols:
         kind = "quantified_value" if "quantified_value" in cols else "Quantified_value"
     else:
-        raise IntegrityError("Neither an NPX nor a Quantified_value column is present.")
+        raise IntegrityError("no value column: expected NPX or Quantified_value")
     if S.ASSAY_ID not in cols and "OlinkID" not in cols:
-        raise IntegrityError("Assay id column (OlinkID / assay_id) missing.")
+        raise IntegrityError("no assay id column: expected OlinkID or assay_id")
     return kind
 
 
@@ -128,6 +129,11 @@ def flagged_samples(df: DataFrame) -> DataFrame:
     return df.where(not_in_or_null(S.SAMPLE_QC, [S.QC_NA, S.QC_PASS])).select(S.SAMPLE_ID).distinct()
 
 
+def _status_counts(df: DataFrame) -> DataFrame:
+    """Rows per (sample, block, status): a small table next to the measurements."""
+    return df.groupBy(S.SAMPLE_ID, S.BLOCK, S.SAMPLE_QC).agg(count_rows().alias("_n"))
+
+
 def sample_qc_long(df: DataFrame) -> DataFrame:
     """For flagged samples, per (sample, block): every status as ``STATUS (n=k)``, joined by ", ".
 
@@ -136,7 +142,10 @@ def sample_qc_long(df: DataFrame) -> DataFrame:
     partial aggregate, and a sample is flagged by a window over its own count rows (at
     most blocks x QC states of them) -- no second scan, no join.
     """
-    all_counts = df.groupBy(S.SAMPLE_ID, S.BLOCK, S.SAMPLE_QC).agg(count_rows().alias("_n"))
+    return _statuses(_status_counts(df))
+
+
+def _statuses(all_counts: DataFrame) -> DataFrame:
     flag = not_in_or_null(S.SAMPLE_QC, [S.QC_NA, S.QC_PASS]).cast("int")
     counts = (
         all_counts.withColumn("_flagged", F.max(flag).over(Window.partitionBy(S.SAMPLE_ID)))
@@ -153,16 +162,19 @@ def sample_qc_long(df: DataFrame) -> DataFrame:
 def sample_qc_matrix(df: DataFrame, blocks: list[str] | None = None) -> DataFrame:
     """``sample_qc_long`` with one column block_<id> for each block.
 
-    Without a list, the columns are the panel's usual blocks and every other block of the data
-    (one ``distinct`` over the block column); rows without a block go to ``block_missing``. An
-    explicit list raises ``IntegrityError`` when the data holds a block that it leaves out.
+    With a list of blocks nothing runs when the operator is called; a flagged sample's block that the
+    list leaves out fails the job (``MISSING_LABEL`` stands for rows without a block). Without a
+    list the status counts are written first, in one scan of the measurements; the columns are the
+    panel's usual blocks and every other one counted, and the matrix is built from the counts.
     """
-    present = {MISSING_LABEL if r[0] is None else r[0] for r in df.select(S.BLOCK).distinct().collect()}
+    counts = _status_counts(df)
+    label = F.coalesce(S.BLOCK, F.lit(MISSING_LABEL))
     if blocks is None:
+        counts = materialize(counts)
+        present = {r[0] for r in counts.select(label).distinct().collect()}  # one row per block
         blocks = list(S.BLOCKS) + sorted(present - set(S.BLOCKS))
-    elif present - set(blocks):
-        raise IntegrityError(f"blocks without a column: {sorted(present - set(blocks))}")
-    named = sample_qc_long(df).withColumn(S.BLOCK, F.coalesce(S.BLOCK, F.lit(MISSING_LABEL)))
+    unknown = F.raise_error(F.concat(F.lit("block without a column: "), label))
+    named = _statuses(counts).withColumn(S.BLOCK, F.when(label.isin(blocks), label).otherwise(unknown))
     wide = named.groupBy(S.SAMPLE_ID).pivot(S.BLOCK, blocks).agg(F.max("qc"))
     return wide.select(S.SAMPLE_ID, *[F.col(f"`{b}`").alias(f"block_{b}") for b in blocks])
 
@@ -199,12 +211,13 @@ def uniprot_map(df: DataFrame) -> DataFrame:
     return out.select(S.ASSAY_ID, S.UNIPROT, "uniprot_kept")
 
 
-def inspect_qc(df: DataFrame) -> dict[str, DataFrame]:
-    """Bundle: flagged assays, flagged sample ids, block-wise SampleQC matrix (all lazy)."""
+def inspect_qc(df: DataFrame, blocks: list[str] | None = None) -> dict[str, DataFrame]:
+    """Bundle: flagged assays, flagged sample ids, block-wise SampleQC matrix. All lazy with a list of
+    blocks; without one the matrix needs the blocks of the data (one scan, see ``sample_qc_matrix``)."""
     return {
         "flagged_assays": flagged_assays(df),
         "flagged_sample_ids": flagged_samples(df),
-        "flagged_samples_matrix": sample_qc_matrix(df),
+        "flagged_samples_matrix": sample_qc_matrix(df, blocks),
     }
 
 

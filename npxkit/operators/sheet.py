@@ -38,15 +38,20 @@ def sample_sheet(df: DataFrame) -> DataFrame:
     )
 
 
-def plate_layout(sheet: DataFrame, fill: str = S.SAMPLE_TYPE) -> DataFrame:
+def plate_layout(sheet: DataFrame, fill: str = S.SAMPLE_TYPE, columns: list[str] | None = None) -> DataFrame:
     """Plate grid: one row per (plate, plate row), one column per plate column.
 
-    The cell holds ``fill`` of the sample in that well (the smallest one if a well repeats). The
-    columns are col_1..col_12 and every other plate column of the sheet (one ``distinct``, at most
-    as many as a plate has columns); samples without a well go to ``col_missing``.
+    The cell holds ``fill`` of the sample in that well (the smallest one if a well repeats). With a list
+    of plate columns nothing runs when the operator is called, and a sample in another one fails the
+    job. Without a list they are col_1..col_12 and every other plate column of the sheet (one
+    ``distinct``, at most as many as a plate has columns). Samples without a well go to
+    ``col_missing``.
     """
     number = F.coalesce(F.regexp_replace("column", "^Column ", ""), F.lit("missing"))
-    found = {r[0] for r in sheet.select(number).distinct().collect()} - set(S.PLATE_COLUMNS)
-    columns = list(S.PLATE_COLUMNS) + sorted(found, key=lambda c: (not c.isdigit(), int(c) if c.isdigit() else 0, c))
-    wide = sheet.withColumn("_column", number).groupBy("plate", "row").pivot("_column", columns).agg(F.min(fill))
+    if columns is None:
+        found = {r[0] for r in sheet.select(number).distinct().collect()} - set(S.PLATE_COLUMNS)
+        columns = list(S.PLATE_COLUMNS) + sorted(found, key=lambda c: (not c.isdigit(), int(c) if c.isdigit() else 0, c))
+    unknown = F.raise_error(F.concat(F.lit("plate column without a place: "), number))
+    placed = sheet.withColumn("_column", F.when(number.isin(columns), number).otherwise(unknown))
+    wide = placed.groupBy("plate", "row").pivot("_column", columns).agg(F.min(fill))
     return wide.select("plate", "row", *[F.col(f"`{c}`").alias(f"col_{c}") for c in columns])

@@ -367,7 +367,7 @@ def q_sample_sheet(spark, sf):
     ),
 )
 def q_plate_layout(spark, sf):
-    return sheet.plate_layout(sheet.sample_sheet(fx.npx(spark, sf)))
+    return sheet.plate_layout(sheet.sample_sheet(fx.npx(spark, sf)), columns=list(S.PLATE_COLUMNS))
 
 
 @register("project_counts", Q(["npx", "manifest"], "select project, count(*) as n from manifest group by project"))
@@ -485,7 +485,7 @@ def q_sample_qc_long(spark, sf):
     ),
 )
 def q_sample_qc_matrix(spark, sf):
-    return qc.sample_qc_matrix(fx.npx(spark, sf))
+    return qc.sample_qc_matrix(fx.npx(spark, sf), list(S.BLOCKS))
 
 
 @register(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,14 +105,28 @@ MANIFEST_COLUMNS = [
 ]
 
 
+_SHEET_WIDTH = 64  # columns that a sheet can have
+
+
 def _sheet(spark: SparkSession, path: str, skip_lines: int, fmt: str) -> DataFrame:
+    """A sheet whose first ``skip_lines`` records (title lines) are left out; the next one is the header.
+
+    Records are read by the CSV source under a wide text schema (a quoted field may hold line breaks) and
+    numbered within their file, so no line is handled outside of it.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    lines = spark.sparkContext.textFile(path)
-    if skip_lines:
-        # zipWithIndex numbers lines across partitions in file order.
-        lines = lines.zipWithIndex().filter(lambda t: t[1] >= skip_lines).map(lambda t: t[0])
-    return spark.read.option("header", True).option("inferSchema", False).csv(lines)
+    schema = ", ".join(f"_f{i} string" for i in range(_SHEET_WIDTH))
+    rows = spark.read.schema(schema).option("header", False).option("multiLine", True).csv(path)
+    in_file = Window.partitionBy("_file").orderBy("_at")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.withColumn("_line", F.row_number().over(in_file) - 1)
+    header = rows.where(F.col("_line") == skip_lines).orderBy("_file").drop("_file", "_at", "_line").first()
+    if header is None:
+        raise SchemaError(f"sheet {path!r} has no header after {skip_lines} lines")
+    width = max((i + 1 for i, name in enumerate(header) if name is not None), default=0)
+    names = [header[i] if header[i] is not None else f"_c{i}" for i in range(width)]
+    return rows.where(F.col("_line") > skip_lines).select(*[f"_f{i}" for i in range(width)]).toDF(*names)
 
 
 def read_subjects(spark: SparkSession, path: str, skip_lines: int = 1, fmt: str = "csv") -> DataFrame:

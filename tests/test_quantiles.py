@@ -13,7 +13,7 @@ def test_exact_quantiles_hot_group(spark):
     rows += [("ties", 1.0)] * 5 + [("ties", 2.0)] * 4 + [("one", 3.5), ("nulls", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
     probs = [0.1, 0.25, 0.5, 0.75, 1.0]
-    got = exact_quantiles(df, ["g"], "v", probs, [f"q{i}" for i in range(len(probs))], num_partitions=13)
+    got = exact_quantiles(df, ["g"], "v", probs, [f"q{i}" for i in range(len(probs))])
     got = {r.g: r for r in got.collect()}
     assert "nulls" not in got
     by_group = {}
@@ -32,7 +32,7 @@ def test_exact_quantiles_hot_group(spark):
 
 def test_exact_quantiles_single_global_group(spark):
     df = spark.range(1001).select(F.lit(1).alias("k"), (F.col("id") * 0.5).alias("v")).repartition(5)
-    r = exact_quantiles(df, ["k"], "v", [0.5, 0.9], ["m", "p90"], num_partitions=9).first()
+    r = exact_quantiles(df, ["k"], "v", [0.5, 0.9], ["m", "p90"]).first()
     assert r.m == 250.0 and r.p90 == 450.0 and r.n_values == 1001
 
 
@@ -62,10 +62,26 @@ def test_exact_quantiles_property(spark):
     @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
     @given(rows=groups, p=st.floats(0, 1), parts=st.integers(1, 9))
     def check(rows, p, parts):
-        df = spark.createDataFrame(rows, "g string, v double")
-        got = {r.g: r.q for r in exact_quantiles(df, ["g"], "v", [p], ["q"], num_partitions=parts).collect()}
+        df = spark.createDataFrame(rows, "g string, v double").repartition(parts)
+        got = {r.g: r.q for r in exact_quantiles(df, ["g"], "v", [p], ["q"]).collect()}
         for g in {g for g, _ in rows}:
             vals = np.array([v for gg, v in rows if gg == g])
             np.testing.assert_allclose(got[g], np.quantile(vals, p), atol=1e-9)
 
     check()
+
+
+def test_selection_orders_all_doubles(spark):
+    vals = [0.0, -0.0, 5e-324, -5e-324, 1e-308, 1.0, 1.0 + 2**-52, -1.0, 1e308, -1e308, float("inf"), float("-inf"), 3.5, 2.0, 3.0, 4.0, 5.0]  # 17: the probabilities are exact
+    df = spark.createDataFrame([("a", v) for v in vals] + [(None, 2.0), (None, -7.25)], "g string, v double")
+    probs = [i / (len(vals) - 1) for i in range(len(vals))]
+    rows = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, [f"q{i}" for i in range(len(probs))]).collect()}
+    assert [rows["a"][f"q{i}"] for i in range(1, len(vals) - 1)] == sorted(vals)[1:-1]
+    assert (rows[None].q0, rows[None].n_values) == (-7.25, 2)
+
+
+def test_ties_are_counted_where_they_lie(spark):
+    """A group of equal values is one counter per task: its rows are not moved."""
+    df = spark.range(200_000, numPartitions=8).select(F.lit("g").alias("k"), F.lit(2.5).alias("v"))
+    r = exact_quantiles(df, ["k"], "v", [0.25, 0.5], ["q", "m"]).first()
+    assert (r.q, r.m, r.n_values) == (2.5, 2.5, 200_000)

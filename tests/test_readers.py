@@ -68,3 +68,20 @@ def test_read_npx_null_key_fails_when_read(spark, tmp_path):
     with pytest.raises(Exception, match="NULL key"):
         readers.read_npx(spark, p).collect()
     assert readers.read_npx(spark, p, check_keys=False).count() == 2
+
+
+def test_sheets_keep_line_breaks_in_quoted_fields(spark, tmp_path):
+    p = tmp_path / "subj.csv"
+    body = "".join(f"SUBJ{i},A{i},SUB{i},\"case\nof two lines, one comma\",F,plasma\n" for i in range(300))
+    p.write_text('"A title\nof two lines"\nID,Aliquot,Sub,Type,Sex,Tissue\n' + body)
+    rows = readers.read_subjects(spark, str(p)).collect()
+    assert sorted(r.subj_id for r in rows) == sorted(f"SUBJ{i}" for i in range(300))
+    assert {r.subj_type for r in rows} == {"case\nof two lines, one comma"}
+    with pytest.raises(readers.SchemaError):
+        readers.read_subjects(spark, str(p), skip_lines=400)
+
+
+def test_a_sheet_of_several_files_has_a_title_in_each(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"s{n}.csv").write_text(f"title {n}\nID,Aliquot,Sub,Type,Sex,Tissue\nSUBJ{n},A,S,case,F,plasma\n")
+    assert sorted(r.subj_id for r in readers.read_subjects(spark, str(tmp_path)).collect()) == ["SUBJ0", "SUBJ1", "SUBJ2"]
