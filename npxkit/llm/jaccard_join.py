@@ -39,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, materialize
+from .base import components, discard, materialize
 from .textbytes import Hasher, mix, ragged, slices, words
 
 HEAVY = 1 << 18
 HUBS = 16
-ROUNDS = 4
-FEW = 80  # pairs for each row that are compared without hubs
+ROUNDS = 12
+FEW = 2  # pairs for each row that are compared without hubs
+GAIN = 0.95  # a round of hubs that leaves more of the pairs than this is the last
 _PARTS = 32
 _FILTER_BITS = 20
 _U = np.uint64
@@ -318,24 +319,36 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
     known = materialize(described.select("doc_id", "n", "parts").join(asked, "doc_id", "left_semi").distinct())
     none = plain.sparkSession.createDataFrame([], f"x {kind}, y {kind}")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """The pairs that link, and the tables written on the way."""
         pairs = materialize(_possible(pairs, known, percent))
         need = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
-        bags = materialize(_bags(plain, materialize(need), words))
+        need = materialize(need)
+        bags = materialize(_bags(plain, need, words))
         both = pairs.join(bags.select(F.col("doc_id").alias("x"), F.col("bag").alias("x_bag")), "x")
         both = both.join(bags.select(F.col("doc_id").alias("y"), F.col("bag").alias("y_bag")), "y")
-        return both.select("x", "y", "x_bag", "y_bag").mapInArrow(_verify(percent), f"x {kind}, y {kind}").distinct()
+        good = both.select("x", "y", "x_bag", "y_bag").mapInArrow(_verify(percent), f"x {kind}, y {kind}").distinct()
+        return good, [pairs, need, bags]
 
     found = none
     named = members.withColumn("component", F.col("doc"))
     total = members.count()
+    before = None
     for turn in range(ROUNDS):
-        if _cross_pairs(named) <= FEW * total:
+        left = _cross_pairs(named)
+        if left <= FEW * total or before is not None and left > GAIN * before:
             break
-        found = materialize(found.unionAll(verified(_with_hubs(named, found, turn, percent))).distinct())
-        named = members.join(_spread(found), F.col("doc") == F.col("node"), "left")
-        named = materialize(named.select("h", "doc", "n", "pos", F.coalesce("label", "doc").alias("component")))
-    found = found.unionAll(verified(candidates(named, percent)))
+        before = left
+        good, done = verified(_with_hubs(named, found, turn, percent))
+        more = materialize(found.unionAll(good).distinct())
+        again = members.join(_spread(more), F.col("doc") == F.col("node"), "left")
+        again = materialize(again.select("h", "doc", "n", "pos", F.coalesce("label", "doc").alias("component")))
+        discard(found, named, *done)
+        found, named = more, again
+    good, done = verified(candidates(named, percent))
+    last = materialize(found.unionAll(good).distinct())
+    discard(found, named, *done)
+    found = last
     return rows, components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
