@@ -44,8 +44,8 @@ from .textbytes import Hasher, mix, ragged, slices, words
 
 HEAVY = 1 << 18
 HUBS = 16
-ROUNDS = 12
-FEW = 2  # pairs for each row that are compared without hubs
+ROUNDS = 4
+FEW = 80  # pairs for each row that are compared without hubs
 GAIN = 0.95  # a round of hubs that leaves more of the pairs than this is the last
 _PARTS = 32
 _FILTER_BITS = 20
