@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ MIN_BYTES = 400
 GRAM = 64
 CELL = 32
 BUCKET_ROWS = 2048
+OUT_ROWS = 65536
 _NO_ID = -(1 << 63)
 _STEP = 0x9E3779B97F4A7C15  # odd, so a bucket's repeats get different groups
 
@@ -227,18 +229,21 @@ def _scan_buckets(min_bytes: int, cell: int):
         cols = list(zip(*rows)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["group", "_id", "_sig", "start", "stop"])
 
+    def tables(bucket: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = iter(scan(bucket))
+        while rows := list(islice(found, OUT_ROWS)):
+            yield table(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list[tuple] = []
         for batch in batches:
-            found: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket and row[:2] != bucket[0][:2]:
-                    found += scan(bucket)
+                    yield from tables(bucket)
                     bucket = []
                 bucket.append(row)
-            yield table(found)
         if bucket:
-            yield table(list(scan(bucket)))
+            yield from tables(bucket)
 
     return run
 
@@ -332,30 +337,43 @@ def repeats(
     return spans.select("group", F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"), "start", "stop")
 
 
+def _merged(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of each row's spans: (first run of each row and of the end, starts, stops).
+
+    Spans stay arrays of numbers: a text inside many repeats has thousands of them."""
+    n = len(spans)
+    row = np.repeat(np.arange(n), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) << 32
+    flat = spans.flatten()
+    start, stop = (row + flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "stop"))
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = start[1:] > reach[:-1]
+    heads = np.flatnonzero(new)
+    lasts = np.append(heads[1:], len(start))[: len(heads)] - 1
+    low = (1 << 32) - 1
+    return np.searchsorted(start[heads] >> 32, np.arange(n + 1)), start[heads] & low, reach[lasts] & low
+
+
 def _cut(with_text: bool):
     """Takes the covered bytes out of each text; adds counts and the checksum of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            spans = batch.column(names.index("spans")).to_pylist()
+            first, start, stop = _merged(batch.column(names.index("spans")))
             rest, removed, runs, sums = [], [], [], []
-            for value, covered in zip(batch.column(names.index("text")), spans):
+            for i, value in enumerate(batch.column(names.index("text"))):
                 data = value.as_buffer().to_pybytes()
                 kept, at, gone = [], 0, 0
-                merged: list[list[int]] = []
-                for s, e in sorted((x["start"], x["stop"]) for x in covered or ()):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                for s, e in merged:
+                for k in range(first[i], first[i + 1]):
+                    s, e = int(start[k]), int(stop[k])
                     kept.append(data[at:s])
                     at, gone = e, gone + e - s
-                left = b"".join([*kept, data[at:]]) if merged else data
+                left = b"".join([*kept, data[at:]]) if kept else data
                 rest.append(left.decode("utf-8", "ignore") if with_text else None)
                 removed.append(gone)
-                runs.append(len(merged))
+                runs.append(len(kept))
                 sums.append(hashlib.sha256(left).hexdigest())
             keep = [i for i, name in enumerate(names) if name not in ("text", "spans")]
             yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from brute import repeated
 from llm_fixtures import none, odd, small  # noqa: F401
 from npxkit.llm import suffix_dedup as sd
@@ -88,3 +90,16 @@ def test_copies_of_a_row_cost_their_number(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     rows = sd.query(frame).collect()
     assert outcome(rows) == expected(frame.collect(), sd.MIN_BYTES)
+
+
+def test_merged_spans_match_a_plain_merge():
+    rng = np.random.default_rng(4)
+    rows = [[{"start": int(s), "stop": int(s + n)} for s, n in zip(rng.integers(0, 300, k), rng.integers(1, 40, k))] for k in (5, 0, 30, 1, 200)]
+    rows = [*rows, None, rows[0], []]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    first, start, stop = sd._merged(pa.array([None, *rows], kind).slice(1))
+    for i, spans in enumerate(rows):
+        covered = sorted({p for x in spans or () for p in range(x["start"], x["stop"])})
+        runs = [(a, b) for a, b in zip(start[first[i] : first[i + 1]], stop[first[i] : first[i + 1]])]
+        assert sorted(p for a, b in runs for p in range(a, b)) == covered
+        assert all(b < a for (_, b), (a, _) in zip(runs, runs[1:]))
