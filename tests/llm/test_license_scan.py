@@ -64,3 +64,47 @@ def test_odd_rows(odd, none):
     assert {r.doc_id for r in ls.query(odd).collect()} == {11}
     assert ls.query(none).count() == 0
     assert ls.scan(odd, []).count() == 0
+
+
+def named(index, text):
+    h, first = hashes(text)
+    return [index.names[t] for _, t, *_ in ls.matches_of(h, first, index, ls.MIN_COVERAGE)]
+
+
+def test_every_notice_goes_by_its_own_name():
+    index = ls.Index.build(ls.TEMPLATES)
+    for name, text, *_ in ls.TEMPLATES:
+        assert named(index, f"some words before {text} and some after") == [name]
+
+
+def test_one_changed_or_missing_word_is_found():
+    for name, text, *keys in ls.TEMPLATES:
+        words = text.split()
+        if len(words) > 20:
+            continue
+        index = ls.Index.build([(name, text)])
+        for i in range(len(words)):
+            for new in ([], ["changed"]):
+                edit = " ".join([*words[:i], *new, *words[i + 1 :]])
+                # A written word such as "4.0" or "BY-NC" is several words of the scan.
+                assert (named(index, f"pad {edit} pad") == [name]) == (plain_best(text, edit) >= ls.MIN_COVERAGE)
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Released under a MIT License.", ["MIT (line)"]),
+        ("Released under the Foo License.", []),
+        ("This work is licensed under the GNU General Public License, version 1.", []),
+        ("Licensed under CC BY 3.0.", []),
+        ("Released under the MIT License. Licensed under CC BY-SA 4.0.", ["MIT (line)", "CC-BY-SA-4.0 (short)"]),
+    ],
+)
+def test_names_and_versions(text, names):
+    assert named(ls.Index.build(ls.TEMPLATES), text) == names
+
+
+def test_overlaps_of_a_long_row_of_notices():
+    index = ls.Index.build(ls.TEMPLATES)
+    line = "Licensed under the Apache License, Version 2.0."
+    assert named(index, f"{line} filler " * 300) == ["Apache-2.0 (line)"] * 300
