@@ -104,6 +104,25 @@ def replicate_intra_cv(
     )
 
 
+def replicate_intra_cv_both(df: DataFrame, mapping: DataFrame, npx: str = S.NPX, lod: str = S.LOD) -> DataFrame:
+    """``replicate_intra_cv`` of all values (``intra_cv``) and of the values not below their LOD
+    (``intra_cv_lod``, NULL where fewer than two are left), as two aggregates of one grouping."""
+    keys_in = [S.SAMPLE_ID, S.ASSAY_ID, S.BLOCK, S.ASSAY_TYPE, S.PLATE_ID]
+    rows = df.select(*keys_in, F.col(npx).alias("_x"), keep_at_or_above(npx, lod).alias("_y"))
+    return (
+        rows.join(mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID), S.SAMPLE_ID, "inner")
+        .groupBy(*REPLICATE_KEYS)
+        .agg(
+            F.count("_x").alias("_n_values"),
+            lognormal_cv(F.stddev_samp("_x")).alias("intra_cv"),
+            F.when(F.count("_y") > 1, lognormal_cv(F.stddev_samp("_y"))).alias("intra_cv_lod"),
+            count_rows().alias("n_replicates"),
+        )
+        .where(F.col("_n_values") > 1)
+        .drop("_n_values")
+    )
+
+
 def replicate_inter_cv(
     df: DataFrame,
     mapping: DataFrame,
@@ -238,6 +257,21 @@ def cv_by_block(df: DataFrame, npx: str = S.NPX) -> DataFrame:
     return a.join(dil, S.BLOCK, "left")
 
 
+def median_cv_panel(df: DataFrame, mapping: DataFrame, sample_type: str = S.SAMPLE) -> DataFrame:
+    """``median_cv_overall`` from the measurements: the measurements are joined with the replicate
+    map and grouped once for both CVs, and both medians of each step are taken together."""
+    sub = F.col(S.SUBSAMPLE_ID)
+    typed = replicate_intra_cv_both(df, mapping).where(F.col(S.ASSAY_TYPE) == S.ASSAY_TYPE_ASSAY)
+    typed = typed.withColumn(S.SAMPLE_TYPE, F.when(sub.contains(S.CONTROL_MARKER), sub).otherwise(F.lit(S.SAMPLE)))
+    typed = typed.where(F.col(S.SAMPLE_TYPE) == sample_type)
+    both = [("intra_cv", [0.5], ["_all"]), ("intra_cv_lod", [0.5], ["_lod"])]
+    med = group_quantiles(typed, [S.ASSAY_ID, S.PLATE_ID, S.SAMPLE_TYPE], both, checkpoint_input=True)
+    both = [("_all", [0.5], ["_m_all"]), ("_lod", [0.5], ["_m_lod"])]
+    out = group_quantiles(med, [S.SAMPLE_TYPE], both, checkpoint_input=True)
+    # One row, of NULLs where there is no such sample type.
+    return out.agg(F.max("_m_all").alias("median_cv_all"), F.max("_m_lod").alias("median_cv_lod"))
+
+
 def median_cv_overall(med_all: DataFrame, med_lod: DataFrame, sample_type: str = S.SAMPLE) -> DataFrame:
     """Median CV of the whole panel with all values and without values below LOD (one row):
     the median over the per-(assay, plate) median CVs of ``sample_type`` (``median_cv``

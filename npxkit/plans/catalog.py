@@ -258,14 +258,16 @@ def q_replicate_map(spark, sf):
 @register(
     "vendor_cv_coverage",
     Q(
-        ["npx", "vendor_cv"],
-        """select plate_id, sample_id, count(v.vendor_intra_cv) as n_intra_cv, cast(0 as bigint) as n_inter_cv
-from npx d left join vendor_cv v using (assay_id, plate_id) group by plate_id, sample_id""",
+        ["npx", "vendor_cv", "vendor_inter_cv"],
+        """select plate_id, sample_id, count(v.vendor_intra_cv) as n_intra_cv, count(w.vendor_inter_cv) as n_inter_cv
+from npx d left join vendor_cv v using (assay_id, plate_id) left join vendor_inter_cv w using (assay_id)
+group by plate_id, sample_id""",
     ),
 )
 def q_vendor_cv_coverage(spark, sf):
     d = fx.npx(spark, sf)
-    return cv.vendor_cv_coverage(d.join(fx.vendor_cv(d), [S.ASSAY_ID, S.PLATE_ID], "left"))
+    intra = d.join(fx.vendor_cv(d), [S.ASSAY_ID, S.PLATE_ID], "left")
+    return cv.vendor_cv_coverage(intra.join(fx.vendor_inter_cv(d), S.ASSAY_ID, "left"))
 
 
 @register(
@@ -333,9 +335,9 @@ def q_cv_by_block(spark, sf):
     ),
 )
 def q_median_cv_overall(spark, sf):
-    med_all = cv.median_cv(_replicate_cv(spark, sf, False))
-    med_lod = cv.median_cv(_replicate_cv(spark, sf, True))
-    return r6(cv.median_cv_overall(med_all, med_lod), "median_cv_all", "median_cv_lod")
+    d = fx.npx(spark, sf)
+    mapping = cv.replicate_map(_full_sheet(spark, sf, d), sheet.sample_sheet(d))
+    return r6(cv.median_cv_panel(d, mapping), "median_cv_all", "median_cv_lod")
 
 
 # ---------------------------------------------------------------------------
@@ -435,6 +437,14 @@ def q_all_missing_samples(spark, sf):
     return qc.all_missing_samples(fx.npx(spark, sf))
 
 
+@register(
+    "all_missing_samples_block",
+    Q(["npx"], "select sample_id, count(*) as n_rows from npx where block = '1' group by sample_id having count(npx) = 0"),
+)
+def q_all_missing_samples_block(spark, sf):
+    return qc.all_missing_samples(fx.npx(spark, sf).where(F.col(S.BLOCK) == "1"))
+
+
 @register(
     "all_missing_assays",
     Q(["npx"], "select assay_id, count(*) as n_rows from npx group by assay_id having count(npx) = 0"),
@@ -680,6 +690,26 @@ def q_nc_lod(spark, sf):
     return r6(lod.nc_lod(fx.npx(spark, sf), min_controls=10), "nc_sd", "nc_median", S.LOD)
 
 
+@register(
+    "nc_lod_low_count",
+    Q(
+        ["npx"],
+        """select assay_id, n_rows, n_values, round(sd, 6) as nc_sd, round(med, 6) as nc_median, mc as nc_median_count,
+       round(case when mc < 150 then log2(2 * greatest(mc, 1) / me)
+                  when sd is not null then med + greatest(3 * sd, 0.2) end, 6) as lod
+from st""",
+        """
+nc as (select * from npx where sample_type = 'NEGATIVE_CONTROL' and sample_qc = 'PASS'),
+ext as (select sample_id, block, max(read_count) as c from nc where assay_type = 'ext_ctrl' group by sample_id, block),
+st as (select assay_id, count(*) as n_rows, count(npx) as n_values, stddev_samp(npx) as sd, median(npx) as med,
+              median(cast(read_count as double)) as mc, median(cast(ext.c as double)) as me
+       from nc left join ext using (sample_id, block) group by assay_id)""",
+    ),
+)
+def q_nc_lod_low_count(spark, sf):
+    return r6(lod.nc_lod(fx.npx(spark, sf), min_controls=10, low_count=150), "nc_sd", "nc_median", S.LOD)
+
+
 @register(
     "below_lod_to_null",
     Q(["npx"], "select sample_id, assay_id, case when npx >= lod then npx end as npx, lod from npx"),

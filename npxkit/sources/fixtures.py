@@ -147,6 +147,18 @@ def vendor_cv(npx_df: DataFrame) -> DataFrame:
     )
 
 
+def vendor_inter_cv(npx_df: DataFrame) -> DataFrame:
+    """Vendor inter-plate CV for the assays of blocks 2 and 3."""
+    from ..functions.columns import lognormal_cv
+
+    plates = (
+        npx_df.where((F.col(S.SAMPLE_TYPE) == S.SAMPLE_CONTROL) & F.col(S.BLOCK).isin("2", "3"))
+        .groupBy(S.ASSAY_ID, S.PLATE_ID)
+        .agg(F.avg(S.NPX).alias("_mean"))
+    )
+    return plates.groupBy(S.ASSAY_ID).agg(lognormal_cv(F.stddev_samp("_mean")).alias(S.VENDOR_INTER_CV))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB text of the same views (oracle side).
 # ---------------------------------------------------------------------------
@@ -200,6 +212,10 @@ select assay_id, plate_id,
   100*sqrt(exp(power(ln(cast(2 as double))*stddev_samp(npx),2))-1)
     + case when assay_id='OID10002' then -0.5 when assay_id='OID10004' then 0.5 else 0 end as vendor_intra_cv
 from npx where sample_type='SAMPLE_CONTROL' and block in ('1','2') group by assay_id, plate_id""",
+    "vendor_inter_cv": """
+select assay_id, 100*sqrt(exp(power(ln(cast(2 as double))*stddev_samp(m),2))-1) as vendor_inter_cv
+from (select assay_id, avg(npx) as m from npx where sample_type='SAMPLE_CONTROL' and block in ('2','3') group by assay_id, plate_id)
+group by assay_id""",
 }
 
 # Views each view reads (so a query only carries the CTEs it needs, in a valid order).
@@ -211,6 +227,7 @@ _DEPENDS = {
     "fixed_lod": ["npx"],
     "lot_factor": ["npx"],
     "vendor_cv": ["npx"],
+    "vendor_inter_cv": ["npx"],
 }
 
 

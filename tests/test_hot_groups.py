@@ -20,6 +20,7 @@ QUANTILE_QUERIES = [
     "cv_density",
     "impute_median",
     "median_cv_overall",
+    "nc_lod_low_count",
 ]
 
 

@@ -244,3 +244,21 @@ def test_wide_matrix_of_a_whole_panel(spark):
     some = matrix.wide_matrix(df, ["OID00001", "nothing"])
     assert some.columns == ["sample_id", "OID00001", "nothing"] and some.count() == n
     assert all(r["nothing"] is None for r in some.collect())
+
+
+def test_panel_median_in_one_pass_agrees_with_two_chains(spark):
+    rows = []
+    for i, (plate, sub, x) in enumerate(
+        [("P1", "A", 1.0), ("P1", "A", 1.5), ("P1", "A", None), ("P1", "B", 0.2), ("P1", "B", 2.0), ("P2", "A", 0.1), ("P2", "A", 0.2), ("P2", "B", 3.0)]
+    ):
+        for assay, low, kind in (("OID1", 0.15, "assay"), ("OID2", 1.0, "assay"), ("OID3", None, "assay"), ("OID4", 0.0, "ext_ctrl")):
+            rows.append((f"S{i}", assay, "1", kind, plate, None if x is None else x * len(assay) / 3 + i % 3, low))
+    df = spark.createDataFrame(rows, "sample_id string, assay_id string, block string, assay_type string, plate_id string, npx double, lod double")
+    subs = ["A", "A", "A", "B", "B", "A", "A", "B"]
+    mapping = spark.createDataFrame([(f"S{i}", s) for i, s in enumerate(subs)] + [("S0", "SAMPLE_CONTROL")], "sample_id string, subsample_id string")
+    two = cv.median_cv_overall(*(cv.median_cv(cv.replicate_intra_cv(df, mapping, drop_below_lod=drop)) for drop in (False, True))).first()
+    one = cv.median_cv_panel(df, mapping).first()
+    assert one.median_cv_all is not None and one.median_cv_lod is not None
+    assert one.median_cv_all == pytest.approx(two.median_cv_all) and one.median_cv_lod == pytest.approx(two.median_cv_lod)
+    nothing = cv.median_cv_panel(df.limit(0), mapping).collect()
+    assert [tuple(r) for r in nothing] == [(None, None)]
