@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, built from SQL expressions only.
 
-A text's tokens are its runs of other characters than space and 0x09-0x0D, long runs cut into
-pieces of ``PIECE`` code points. Its grams are the strings of ``K`` consecutive tokens, rolling
-by one token, hashed to 32 bits. Of each window of ``W`` consecutive grams the smallest hash is
-chosen, the rightmost on a tie; the chosen hashes with their positions are the fingerprint.
-Two texts that share ``W + K - 1`` consecutive tokens choose a common hash there.
+A text's tokens are its runs of other characters than space and 0x09-0x0D; in runs of more than
+``WORD`` code points (text without spaces, addresses, encoded data) each code point is a token, so
+an inserted one changes the grams around it and no others. Grams are the strings of ``K``
+consecutive tokens, rolling by one token, hashed to 32 bits. Of each window of ``W`` consecutive
+grams the smallest hash is chosen, the rightmost on a tie; the chosen hashes with their positions
+(numbers of their first tokens) are the fingerprint. Two texts that share ``W + K - 1`` consecutive
+tokens choose a common hash there, and its positions tell where.
 
 Window minima come from doubling: the minima of windows of 2s grams are the smaller ones of two
 windows of s grams, so a text takes log2(W) passes over its grams, inside its row.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .base import partitions
 
-PIECE = 8
+WORD = 32
 K = 3
 W = 8
 _POS_BITS = 31
@@ -53,7 +55,8 @@ def _lowest(packed: Column, w: int) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{PIECE}}}"), F.lit(0))
+    one = "[^\\x20\\x09-\\x0D]"
+    return F.regexp_extract_all(text, F.lit(f"(?<!{one}){one}{{1,{WORD}}}+(?!{one})|{one}"), F.lit(0))
 
 
 def _chosen(text: Column, k: int, w: int) -> Column:
@@ -74,22 +77,35 @@ def _chosen(text: Column, k: int, w: int) -> Column:
     return _let(tokens(text), whole)
 
 
-def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
-    """The fingerprint of a text: array of (hash, pos), by position."""
+def packed_fingerprint(text: Column, k: int = K, w: int = W) -> Column:
+    """The fingerprint of a text as longs, hash above and position below, by position."""
+    return _chosen(F.coalesce(text, F.lit("")), k, w)
+
+
+def unpacked(packed: Column) -> Column:
+    """Packed fingerprints as arrays of (hash, pos), by position."""
     return F.transform(
-        _chosen(F.coalesce(text, F.lit("")), k, w),
+        packed,
         lambda s: F.struct(
             F.shiftright(s, _POS_BITS).alias("hash"), (F.lit(_POS) - s.bitwiseAND(F.lit(_POS))).cast("int").alias("pos")
         ),
     )
 
 
+def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
+    """The fingerprint of a text: array of (hash, pos), by position."""
+    return unpacked(packed_fingerprint(text, k, w))
+
+
+def hashes_of(packed: Column) -> Column:
+    """The hashes of a packed fingerprint as a sorted set of ints."""
+    signed = F.transform(packed, lambda s: (F.shiftright(s, _POS_BITS) - F.lit(1 << 31)).cast("int"))
+    return F.sort_array(F.array_distinct(signed))
+
+
 def hash_set(text: Column, k: int = K, w: int = W) -> Column:
     """The hashes of a text's fingerprint as a sorted set of ints."""
-    signed = F.transform(
-        _chosen(F.coalesce(text, F.lit("")), k, w), lambda s: (F.shiftright(s, _POS_BITS) - F.lit(1 << 31)).cast("int")
-    )
-    return F.sort_array(F.array_distinct(signed))
+    return hashes_of(packed_fingerprint(text, k, w))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -133,24 +149,27 @@ def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], column
 
 
 def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and the likeness of its own to
-    the edited text's and to the next document's."""
+    """Each document's fingerprint and that of its edited text, as arrays of (hash, pos), their sets
+    of hashes, and the likeness of its own to the edited text's and to the next document's."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select("doc_id", text.alias("text"))
-    rows = with_next(plain, lambda d: d.withColumn("_own", hash_set(F.col("text"), k, w)), ["text", "_own"])
+    rows = with_next(plain, lambda d: d.withColumn("_own", packed_fingerprint(F.col("text"), k, w)), ["text", "_own"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("_next.text"), F.lit(1), half))
     rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "_own", F.col("_next._own").alias("_other"), edited.alias("_edited"))
-    rows = rows.withColumn("_new", hash_set(F.col("_edited"), k, w))
-    return rows.select(
+    rows = rows.withColumn("_new", packed_fingerprint(F.col("_edited"), k, w))
+    sets = {c: hashes_of(F.col(p)) for c, p in (("hashes", "_own"), ("edited_hashes", "_new"), ("_others", "_other"))}
+    return rows.withColumns(sets).select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        F.col("_own").alias("hashes"),
-        F.col("_new").alias("edited_hashes"),
-        likeness(F.col("_own"), F.col("_new")).alias("near_edited"),
-        likeness(F.col("_own"), F.col("_other")).alias("near_next"),
+        unpacked(F.col("_own")).alias("places"),
+        unpacked(F.col("_new")).alias("edited_places"),
+        "hashes",
+        "edited_hashes",
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("_others")).alias("near_next"),
     )
 
 
@@ -160,7 +179,8 @@ def _digest(hashes: Column) -> Column:
 
 def query(docs: DataFrame) -> DataFrame:
     """One row per document; a fingerprint's column is the md5 of its sorted set of hashes, so
-    fingerprints are equal exactly where the likeness is 1."""
+    fingerprints are equal exactly where the likeness is 1. ``n_places`` counts its places and
+    ``unedited_places`` those that the edited text has at the same positions."""
     return compare_edited(docs).select(
         "doc_id",
         "n_chars",
@@ -170,4 +190,6 @@ def query(docs: DataFrame) -> DataFrame:
         "near_edited",
         "near_next",
         F.size("hashes").alias("n_hashes"),
+        F.size("places").alias("n_places"),
+        F.size(F.array_intersect("places", "edited_places")).alias("unedited_places"),
     )
