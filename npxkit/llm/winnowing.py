@@ -150,7 +150,8 @@ def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], column
 
 def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Each document's fingerprint and that of its edited text, as arrays of (hash, pos), their sets
-    of hashes, and the likeness of its own to the edited text's and to the next document's."""
+    of hashes, the number of places that both have, and the likeness of its own to the edited text's
+    and to the next document's."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select("doc_id", text.alias("text"))
     rows = with_next(plain, lambda d: d.withColumn("_own", packed_fingerprint(F.col("text"), k, w)), ["text", "_own"])
@@ -166,6 +167,8 @@ def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         unpacked(F.col("_own")).alias("places"),
         unpacked(F.col("_new")).alias("edited_places"),
+        # Longs meet in a hash set; arrays of structs would be compared element by element.
+        F.size(F.array_intersect("_own", "_new")).alias("unedited_places"),
         "hashes",
         "edited_hashes",
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
@@ -191,5 +194,5 @@ def query(docs: DataFrame) -> DataFrame:
         "near_next",
         F.size("hashes").alias("n_hashes"),
         F.size("places").alias("n_places"),
-        F.size(F.array_intersect("places", "edited_places")).alias("unedited_places"),
+        "unedited_places",
     )
