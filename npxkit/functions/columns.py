@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LN2 = math.log(2.0)
 
@@ -63,3 +64,14 @@ def share_true(cond: Column) -> Column:
 def qc_label(status: str | Column) -> Column:
     """N14: paste0 writes a missing value as the text NA."""
     return F.coalesce(col(status), F.lit("NA"))
+
+
+def with_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a side table that have a key; the others match nothing in an equi-join.
+
+    For a text key this is a comparison, which the optimizer (unlike an IS NOT NULL) counts as a
+    restriction: where the other side's scan is large and the join is shuffled, it builds a Bloom
+    filter of the keys and drops the other side's rows before their shuffle.
+    """
+    has_key = F.col(key) >= "" if isinstance(df.schema[key].dataType, StringType) else F.col(key).isNotNull()
+    return df.where(has_key)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import count_rows, keep_at_or_above, lognormal_cv
+from ..functions.columns import count_rows, keep_at_or_above, lognormal_cv, with_key
 from ..functions.stats import group_quantiles
 
 REPLICATE_KEYS = [S.ASSAY_ID, S.BLOCK, S.ASSAY_TYPE, S.PLATE_ID, S.SUBSAMPLE_ID]
@@ -90,7 +90,7 @@ def replicate_intra_cv(
     value = keep_at_or_above(npx, lod) if drop_below_lod else F.col(npx)
     keys_in = [S.SAMPLE_ID, S.ASSAY_ID, S.BLOCK, S.ASSAY_TYPE, S.PLATE_ID]
     rows = df.select(*keys_in, value.alias("_x"))
-    m = mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID)
+    m = with_key(mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID), S.SAMPLE_ID)
     return (
         rows.join(m, S.SAMPLE_ID, "inner")
         .groupBy(*REPLICATE_KEYS)
@@ -110,7 +110,7 @@ def replicate_intra_cv_both(df: DataFrame, mapping: DataFrame, npx: str = S.NPX,
     keys_in = [S.SAMPLE_ID, S.ASSAY_ID, S.BLOCK, S.ASSAY_TYPE, S.PLATE_ID]
     rows = df.select(*keys_in, F.col(npx).alias("_x"), keep_at_or_above(npx, lod).alias("_y"))
     return (
-        rows.join(mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID), S.SAMPLE_ID, "inner")
+        rows.join(with_key(mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID), S.SAMPLE_ID), S.SAMPLE_ID, "inner")
         .groupBy(*REPLICATE_KEYS)
         .agg(
             F.count("_x").alias("_n_values"),
@@ -135,7 +135,7 @@ def replicate_inter_cv(
     under its LOD, or without a LOD, is left out first."""
     value = keep_at_or_above(npx, lod) if drop_below_lod else F.col(npx)
     keys_in = [S.SAMPLE_ID, S.ASSAY_ID, S.BLOCK, S.ASSAY_TYPE, S.PLATE_ID]
-    rows = df.select(*keys_in, value.alias("_x")).join(mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID), S.SAMPLE_ID, "inner")
+    rows = df.select(*keys_in, value.alias("_x")).join(with_key(mapping.select(S.SAMPLE_ID, S.SUBSAMPLE_ID), S.SAMPLE_ID), S.SAMPLE_ID, "inner")
     plates = rows.groupBy(*REPLICATE_KEYS).agg(F.avg("_x").alias("_mean"))
     return (
         plates.groupBy(*[k for k in REPLICATE_KEYS if k != S.PLATE_ID])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.columns import with_key
 
 
 def project_counts(manifest: DataFrame, project: str = "project") -> DataFrame:
@@ -33,5 +34,8 @@ def full_sample_sheet(
 
 
 def restrict_samples(df: DataFrame, sheet: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose sample is in ``sheet`` (a left-semi join; ``df`` rows are never repeated)."""
-    return df.join(sheet.select(S.SAMPLE_ID), S.SAMPLE_ID, "left_semi")
+    """Rows of ``df`` whose sample is in ``sheet`` (a left-semi join; ``df`` rows are never repeated).
+
+    A sheet read from files reaches the scan of a large ``df`` as a runtime Bloom filter.
+    """
+    return df.join(with_key(sheet.select(S.SAMPLE_ID), S.SAMPLE_ID), S.SAMPLE_ID, "left_semi")

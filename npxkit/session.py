@@ -22,6 +22,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        # Sample sheets of some million rows may restrict the measurements' scan by a Bloom filter.
+        .config("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+        .config("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "256m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

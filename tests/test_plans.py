@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from npxkit.operators import cv, manifest
 
 
 def plan(df) -> str:
@@ -52,3 +53,34 @@ def test_qc_matrix_reads_the_table_once(spark, name):
     p = plan(E.queries()[name](spark, SF001))
     assert p.count("FileScan parquet") == 1, p
     assert "Join" not in p and shuffles(p) == 2, p
+
+
+def test_a_sheet_reaches_the_scan_as_a_bloom_filter(spark, tmp_path):
+    """Measurements of samples outside the sheet are dropped before the shuffle, also with a whole sheet."""
+    rows = [(f"S{i % 90}", f"OID{i % 7}", "B", "assay", "P1", float(i)) for i in range(3000)] + [(None, "OID1", "B", "assay", "P1", 1.0)]
+    kinds = "sample_id string, assay_id string, block string, assay_type string, plate_id string, npx double"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "npx"))
+    sheet = [(f"S{i}", f"U{i // 2}") for i in range(0, 20)] + [("", "U99"), (None, "U98")]
+    spark.createDataFrame(sheet, "sample_id string, subsample_id string").write.parquet(str(tmp_path / "sheet"))
+    npx, sheet_rows = spark.read.parquet(str(tmp_path / "npx")), spark.read.parquet(str(tmp_path / "sheet"))
+    forced = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    queries = (lambda: manifest.restrict_samples(npx, sheet_rows), lambda: cv.replicate_intra_cv(npx, sheet_rows))
+    plain = [sorted(map(tuple, q().collect())) for q in queries]
+    before = {k: spark.conf.get(k) for k in forced}
+    try:
+        for k, v in forced.items():
+            spark.conf.set(k, v)
+        for query, want in zip(queries, plain):
+            df = query()
+            p = df._jdf.queryExecution().optimizedPlan().toString()
+            side = [line for line in p.split("\n") if "might_contain" in line]
+            assert len(side) == 1 and "Filter" in side[0], p
+            assert sorted(map(tuple, df.collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(plain[0]) == sum(1 for r in rows if r[0] is not None and r[0] in {s for s, _ in sheet})
