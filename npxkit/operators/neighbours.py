@@ -7,10 +7,13 @@ it follows, for each cell of queries, a distance within which all their neighbou
 inequality through the pivots then tells how far from its pivot a sample of another cell must be to
 matter at all. Only such samples visit the cell.
 
-A cell's queries are cut into blocks of ``BLOCK``; a block's candidates stream past it, those of its own
-cell first, and the block keeps the k best of each query (a bounded heap). A candidate whose
-distances to the cell's pivot differ by more than the k-th best from all queries' is passed over.
-The join's only output is k rows per sample: no table of pairs exists.
+A cell's queries are cut into blocks of at most ``BLOCK`` (and ``BLOCK_VALUES`` numbers), so the rows that
+visit grow with the samples times the cells as long as a cell fits a block. A block's candidates stream
+past it, those of its own cell first, and it keeps the k best of each query (a bounded heap). Inside it queries
+are ordered by their distance to the cell's pivot and compared ``TILE`` at a time with ``TILE`` candidates by one
+matrix product. A candidate whose distance to the pivot differs by more than the k-th best from all of a
+tile's is passed over; exact distances are computed for pairs that the product leaves in reach, and only
+these are ordered. The join's only output is k rows per sample: no table of pairs exists.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from ..session import materialize
 from .matrix import drop_constant_assays, imputed_vectors
 
 PIVOTS = 64
-BLOCK = 512
+BLOCK = 1 << 14
+BLOCK_VALUES = 1 << 22
+TILE = 512
 _CELL = ["cell", "block", "turn"]
 _SLACK = 1e-9
 
@@ -86,27 +91,52 @@ def _nearest(k: int):
             names=[S.SAMPLE_ID, "rank", "neighbour_id", "distance"],
         )
 
-    def scan(t: pa.Table, names: np.ndarray, x: np.ndarray, away: np.ndarray, best: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y, label, reach = _matrix(t), np.array(t["sample_id"].to_pylist(), dtype=str), t["reach"].to_numpy()
+    def closest(near: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of many distances those that may be among a row's k least, ties included."""
+        if len(i) <= 4 * k * (i[-1] + 1):
+            return near, i, j
+        begin = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        wide = np.full((i[-1] + 1, np.diff(np.append(begin, len(i))).max()), np.inf)
+        wide[i, np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))] = near
+        if wide.shape[1] <= k:
+            return near, i, j
+        some = ~(near > np.partition(wide, k - 1, axis=1)[i, k - 1])
+        return near[some], i[some], j[some]
+
+    def scan(y: np.ndarray, side: np.ndarray, label: np.ndarray, reach: np.ndarray, names: np.ndarray, x: np.ndarray, own: np.ndarray, away: np.ndarray, best: np.ndarray, other: np.ndarray) -> None:
+        """A tile of queries, whose ``best`` and ``other`` are brought up to date, and one of candidates."""
+        bound = best[:, -1]
         # By the triangle inequality through the cell's pivot.
-        gap = np.abs(away[:, None] - reach[None, :]) - _SLACK * (away[:, None] + reach[None, :])
-        may = gap <= best[:, -1][:, None]
-        keep = may.any(axis=0)
-        y, label, may = y[keep], label[keep], may[:, keep]
-        if not len(y):
-            return best, other
-        sizes = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
-        rough = sizes - 2.0 * (x @ y.T)
-        i, j = np.nonzero(may & ~(rough > best[:, -1][:, None] ** 2 + _SLACK * sizes) & (names[:, None] != label[None, :]))
+        low, high = away.min(), away.max()
+        keep = ~(np.maximum(low - reach, reach - high) - _SLACK * (high + reach) > bound.max())
+        if not keep.any():
+            return
+        if not keep.all():
+            y, side, label = y[keep], side[keep], label[keep]
+        # One product: squared distances, less their rounding and the squared bound.
+        own[:, -2] = (1.0 - _SLACK) * own[:, -1] - bound**2
+        within = ~((own[:, :-1] @ side.T) > 0.0)
+        if not within.any():
+            return
+        i, j = np.nonzero(within)
+        unlike = names[i] != label[j]
+        i, j = i[unlike], j[unlike]
         if not len(i):
-            return best, other
-        near = np.full(may.shape, np.inf)
-        for begin in range(0, len(i), 4096):
-            a, b = i[begin : begin + 4096], j[begin : begin + 4096]
-            near[a, b] = _distances(x[a], y[b])
-        near, label = np.concatenate([best, near], axis=1), np.concatenate([other, np.broadcast_to(label, near.shape)], axis=1)
-        first = np.lexsort((label, near), axis=-1)[:, :k]
-        return np.take_along_axis(near, first, 1), np.take_along_axis(label, first, 1)
+            return
+        near = np.concatenate([_distances(x[i[at : at + 4096]], y[j[at : at + 4096]]) for at in range(0, len(i), 4096)])
+        some = ~(near > bound[i])
+        near, i, j = near[some], i[some], j[some]
+        if not len(i):
+            return
+        near, i, j = closest(near, i, j)
+        rows, first = np.unique(i, return_index=True)
+        row = np.concatenate([np.repeat(rows, k), i])
+        near, label = np.concatenate([best[rows].ravel(), near]), np.concatenate([other[rows].ravel(), label[j]])
+        order = np.lexsort((label, near, row))
+        # Each row has k older entries and those from ``first`` on.
+        begin = np.arange(len(rows)) * k + first
+        order = order[begin[:, None] + np.arange(k)]
+        best[rows], other[rows] = near[order], label[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple | None = None
@@ -133,11 +163,21 @@ def _nearest(k: int):
                     if not held:
                         continue
                     q, held = pa.concat_tables(held), []
-                    state = (np.array(q["sample_id"].to_pylist(), dtype=str), _matrix(q), q["reach"].to_numpy())
+                    order = np.argsort(q["reach"].to_numpy(), kind="stable")
+                    x = _matrix(q)[order]
+                    # The column before the last is each tile's to set.
+                    own = np.column_stack([-2.0 * x, np.ones(len(x)), np.zeros(len(x)), (x * x).sum(axis=1)])
+                    state = (np.array(q["sample_id"].to_pylist(), dtype=str)[order], x, own, q["reach"].to_numpy()[order])
                     best = np.full((len(q), k), np.inf)
                     other = np.full((len(q), k), "", dtype="U1")
-                for at in range(0, len(t), BLOCK):
-                    best, other = scan(t.slice(at, BLOCK), *state, best, other)
+                y, label, reach = _matrix(t), np.array(t["sample_id"].to_pylist(), dtype=str), t["reach"].to_numpy()
+                side = np.column_stack([y, (1.0 - _SLACK) * (y * y).sum(axis=1), np.ones(len(y))])
+                if label.dtype.itemsize > other.dtype.itemsize:
+                    other = other.astype(label.dtype)
+                for at in range(0, len(t), TILE):
+                    some = slice(at, at + TILE)
+                    for tile in (slice(b, b + TILE) for b in range(0, len(best), TILE)):
+                        scan(y[some], side[some], label[some], reach[some], *(c[tile] for c in state), best[tile], other[tile])
         if state is not None:
             yield flush(state[0], best, other)
 
@@ -163,7 +203,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, pivots: int = PIVOTS) -> Da
     spark = vectors.sparkSession
     routes = [(int(i), int(j), float(least[i, j])) for i, *_ in summary for j, *_ in summary]
     routes = F.broadcast(spark.createDataFrame(routes, "to int, cell int, least double"))  # pivots squared, at most
-    blocks = F.broadcast(cells.select(F.col("cell").alias("to"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    held = max(1, min(BLOCK, BLOCK_VALUES // max(centre.shape[1], 1)))
+    blocks = F.broadcast(cells.select(F.col("cell").alias("to"), F.ceil(F.col("n") / F.lit(held)).cast("int").alias("blocks")))
     own = placed.join(blocks, F.col("cell") == F.col("to"))
     asked = own.select("cell", F.pmod(F.xxhash64(S.SAMPLE_ID), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("turn"), F.col("away").alias("reach"), S.SAMPLE_ID, "features")
     visits = placed.join(routes, "cell").where(F.col("away") >= F.col("least")).join(blocks, "to")

@@ -70,3 +70,21 @@ def test_no_pairs_in_the_plan(spark):
     x = {f"S{i}": np.array([float(i)]) for i in range(5)}
     plan = neighbours.nearest_vectors(frame(spark, x), 2)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_cell_of_thousands_is_visited_once(spark, monkeypatch):
+    """Rows that reach the blocks: each sample as a query and as a visitor, not once more for every 512 queries."""
+
+    def counted(k):
+        def run(batches):
+            import pyarrow as pa
+
+            n = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array(["n"]), pa.array([n], pa.int32()), pa.array([""]), pa.array([0.0])], names=["sample_id", "rank", "neighbour_id", "distance"])
+
+        return run
+
+    monkeypatch.setattr(neighbours, "_nearest", counted)
+    x = {f"S{i:04d}": np.array([i % 7, i / 3]) for i in range(1600)}
+    rows = neighbours.nearest_vectors(frame(spark, x), 3, 1).collect()
+    assert sum(r["rank"] for r in rows) == 2 * 1600
