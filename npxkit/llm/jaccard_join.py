@@ -11,17 +11,21 @@ classes are joined through one representative. Two sets x, y of a class pair lin
   common order gives a right result; this one keeps frequent shingles out of the prefixes.
 * *Prefixes.* A pair that links shares a shingle of the larger set's probing prefix and the
   smaller set's (shorter) indexing prefix. Prefix shingles that only one document has are dropped.
-* *Hubs.* Only components are asked for, so a group of thousands of near copies need not be
-  compared pair by pair. In a few rounds the documents of a prefix shingle are compared with a few
-  hubs of it (drawn by hash, later those with most links), and linked documents are merged.
-* *All the rest.* Every pair that shares a prefix shingle and is not yet in one component is
-  generated, under the *length* filter; rows of one pair meet in one aggregation, so a pair is
+* *Crowds.* Only components are asked for, so a group of thousands of near copies need not be
+  compared pair by pair. In a few rounds each document goes, with its text, to the prefix shingle that
+  most documents share. The documents of a shingle are dealt into blocks of about ``CROWD_ROWS`` by hash,
+  ``HUBS`` of them to all its blocks. A block's sets are built and intersected in its task; it reports one
+  link per document to its component, so rows grow with the documents and not with the pairs, and the
+  block, whose pairs are all settled by that.
+  In later rounds a component that is known sends ``HUBS`` of its documents to a shingle.
+* *All the rest.* Every pair that shares a prefix shingle, is not yet in one component and was in no
+  common block is generated, under the *length* filter; rows of one pair meet in one aggregation, so a pair is
   verified once. *Positional filter*: the shingles matched so far, and what is left behind the
   last one, must be able to reach the required overlap. *Suffix filter*: token space is cut at
   fixed pivots, and the sizes of the parts differ by no more than the pair may differ.
 * *Verification.* The sets of the documents still in question are built again and intersected.
 
-Nothing is gathered by shingle; hubs are a fixed number for a shingle. Links between
+A task holds one block of a crowd at a time, bounded in documents and in shingles. Links between
 representatives are turned into components in distributed rounds.
 
 Nulls: a null text, and a text without words, has an empty set and links with nothing; a row
@@ -44,9 +48,12 @@ from .textbytes import Hasher, mix, ragged, slices, words
 
 HEAVY = 1 << 18
 HUBS = 16
-ROUNDS = 4
-FEW = 80  # pairs for each row that are compared without hubs
-GAIN = 0.95  # a round of hubs that leaves more of the pairs than this is the last
+CROWD = 16  # documents that share a shingle, from which on they meet in a round
+CROWD_ROWS = 2048
+CROWD_SHINGLES = 1 << 21
+ROUNDS = 3
+FEW = 1  # pairs for each row that are compared without a round
+GAIN = 0.8  # a round that leaves more of the pairs than this is the last
 _PARTS = 32
 _FILTER_BITS = 20
 _U = np.uint64
@@ -109,6 +116,11 @@ def _places(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(h[at] == x, place[at], 0)
 
 
+def _sums(x: np.ndarray) -> tuple[int, int]:
+    y = mix(x ^ _U(0x5851F42D4C957F2D))
+    return int(y.sum(dtype=_U).view(np.int64)), int(mix(y).sum(dtype=_U).view(np.int64))
+
+
 def _describe(k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]):
     """Per document: size, hashes of the set, sizes of its parts, and its probing prefix."""
 
@@ -125,8 +137,7 @@ def _describe(k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]):
                         continue
                     order = np.argsort(_places(x, heavy), kind="stable")
                     prefixes.append(x[order[: take[i]]])
-                    y = mix(x ^ _U(0x5851F42D4C957F2D))
-                    s1[i], s2[i] = y.sum(dtype=_U).view(np.int64), mix(y).sum(dtype=_U).view(np.int64)
+                    s1[i], s2[i] = _sums(x)
                     # Pivots on other bits than those that order the prefix.
                     parts[i] = np.minimum(np.bincount((x & _U(_PARTS - 1)).astype(np.int64), minlength=_PARTS), 32767)
                 at = np.zeros(len(n) + 1, dtype=np.int32)
@@ -213,40 +224,111 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield carried
 
 
-def _hub_pairs(percent: int):
-    """Pairs (x, y) of each row of a partition sorted by ``h`` and priority with the first rows of its
-    hash, where components differ and sizes allow a link; x < y."""
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a block's sets, from the shingles that several of them have."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    owner, column = owner[several], (np.cumsum(times > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for at in range(0, int((times > 1).sum()), 1024):
+        some = slice(*np.searchsorted(column, [at, at + 1024]))
+        holds = np.zeros((len(sets), 1024), dtype=np.float32)
+        holds[owner[some], column[some] - at] = 1.0
+        out += holds @ holds.T
+    return out
+
+
+def _merged(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Place of the first set of each set's component, by the links among them."""
+    n, both = np.array([len(x) for x in sets]), _overlaps(sets)
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(sets))
+    while True:
+        low = np.minimum(np.where(linked, label[None, :], len(sets)).min(axis=1), label)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _crowd_links(k: int, percent: int):
+    """Of each block of a partition sorted by ``h`` and ``block``: links (x, y) of connected documents, one for a
+    document, and rows (x, null, met) that name the documents whose sets were all compared. Rows whose text has another set than the one asked for are other sets of a repeated id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hubs = None, []
+        here, docs, sets, held, chunk = None, [], [], 0, 0
+        kind = None
+
+        def flush() -> pa.RecordBatch:
+            label = _merged(sets, percent) if len(sets) > 1 else np.zeros(len(sets), int)
+            met = int(mix(mix(np.array([here[0]]).view(_U) + _U(here[1])) + _U(chunk)).view(np.int64)[0])
+            out = [(d, docs[a], None) for d, a in zip(docs, label) if d != docs[a]] + [(d, None, met) for d in set(docs)]
+            x, y, z = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind), pa.array(z, pa.int64())], names=["x", "y", "met"])
+
         for batch in batches:
-            out = set()
-            for h, doc, n, component in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "n", "component"))):
-                if h != last:
-                    last, hubs = h, []
-                for other, size, theirs in hubs:
-                    if theirs != component and 100 * min(n, size) >= percent * max(n, size):
-                        out.add((min(doc, other), max(doc, other)))
-                if len(hubs) < HUBS:
-                    hubs.append((doc, n, component))
-            x, y = zip(*sorted(out)) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field("doc").type), pa.array(y, batch.schema.field("doc").type)], names=["x", "y"])
+            kind = batch.schema.field("doc").type
+            for rows, buf, off in slices(batch, "text"):
+                columns = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("h", "block", "doc", "s1"))
+                for h, block, doc, s1, x in zip(*columns, shingle_sets(buf, off, k)):
+                    if not len(x) or _sums(x)[0] != s1:
+                        continue
+                    if (h, block) != here:
+                        if len(sets) > 1:
+                            yield flush()
+                        here, docs, sets, held, chunk = (h, block), [], [], 0, 0
+                    elif len(sets) >= 2 * CROWD_ROWS or held + len(x) > CROWD_SHINGLES:
+                        yield flush()  # its first documents meet the next ones too
+                        docs, sets, chunk = docs[:HUBS], sets[:HUBS], chunk + 1
+                        held = sum(map(len, sets))
+                        if held > CROWD_SHINGLES // 2:
+                            docs, sets, held = docs[:1], sets[:1], len(sets[0])
+                    docs.append(doc)
+                    sets.append(x)
+                    held += len(x)
+        if len(sets) > 1:
+            yield flush()
 
     return run
 
 
-def _with_hubs(members: DataFrame, found: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of documents with hubs of an eighth of the shingles; near copies share many.
-    After the first turn the hubs are those with most links to earlier hubs, which have far more."""
-    degree = found.select(F.col("x").alias("_d")).unionAll(found.select("y")).groupBy("_d").count()
-    rows = members.where(F.pmod("h", F.lit(8)) == turn % 8).join(degree, F.col("doc") == F.col("_d"), "left")
-    central = F.when(F.col("count") > HUBS * turn, 0).otherwise(F.coalesce("count", F.lit(0)))
-    rows = rows.select(
-        "h", "doc", "n", "component", (-central).alias("degree"), F.xxhash64("doc", F.lit(turn)).alias("draw")
-    )
-    rows = rows.repartition("h").sortWithinPartitions("h", "degree", "draw")
-    kind = members.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_hub_pairs(percent), f"x {kind}, y {kind}").distinct()
+def _met_in_crowds(named: DataFrame, chosen: DataFrame, plain: DataFrame, turn: int, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``_crowd_links`` reports of documents of different components that share a frequent prefix shingle,
+    and the tables written on the way."""
+    parts = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("own"))
+    crowds = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    asked = named.join(crowds, "h").groupBy("doc", "component").agg(F.max(F.struct("parts", "h")).getField("h").alias("h"))
+    asked = materialize(asked)
+    sizes = asked.groupBy("h", "component").agg(F.count(F.lit(1)).alias("own"))
+    sent = asked.join(sizes, ["h", "component"]).where(F.pmod(F.xxhash64("doc", F.lit(turn)), F.col("own")) < HUBS).select("h", "doc")
+    total = sent.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sent = sent.join(total, "h").select("h", "doc", "n", F.ceil(F.col("n") / F.lit(CROWD_ROWS)).cast("int").alias("blocks"))
+    own = F.array(F.pmod(F.xxhash64("doc", F.lit(-1 - turn)), F.col("blocks")).cast("int"))
+    hub = F.pmod(F.xxhash64("doc", F.lit(ROUNDS + turn)), F.col("n")) < HUBS
+    block = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("block")
+    routes = materialize(sent.select("doc", "h", block).join(chosen.select(F.col("doc_id").alias("doc"), "s1"), "doc"))
+    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << _FILTER_BITS)).alias("slot")
+    wanted = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    wanted[routes.select(slot).distinct().toArrow()["slot"].to_numpy()] = True
+    texts = plain.withColumnRenamed("doc_id", "doc")
+    kind = texts.schema["doc"].dataType.simpleString()
+    texts = texts.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(1 << _FILTER_BITS))).mapInArrow(_marked(wanted), f"doc {kind}, text string")
+    rows = texts.join(routes, "doc").repartition("h", "block").sortWithinPartitions("h", "block")
+    return rows.mapInArrow(_crowd_links(words, percent), f"x {kind}, y {kind}, met bigint"), [asked, routes]
+
+
+def _marked(wanted: np.ndarray):
+    """Texts of the documents whose id's hash is marked in ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = wanted[batch.column(batch.schema.get_field_index("slot")).to_numpy(zero_copy_only=False)]
+            yield batch.filter(pa.array(marked)).select(["doc", "text"])
+
+    return run
 
 
 def _spread(found: DataFrame, steps: int = 3) -> DataFrame:
@@ -262,11 +344,16 @@ def _spread(found: DataFrame, steps: int = 3) -> DataFrame:
     return label
 
 
-def _cross_pairs(members: DataFrame) -> float:
-    """Pairs of different components that share a shingle, counted once for each shingle."""
-    parts = members.groupBy("h", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    groups = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("squares")), F.lit(0.0)) / 2).first()[0]
+def _cross_pairs(named: DataFrame) -> float:
+    """Pairs of different components that share a shingle and were in no block together, counted once for
+    each shingle."""
+    named = named.withColumn("met", F.coalesce("met", F.xxhash64("doc")))
+    sums = None
+    for sign, keys in ((1, []), (-1, ["component"]), (-1, ["met"]), (1, ["component", "met"])):
+        n = F.count(F.lit(1)).cast("double")
+        part = named.groupBy("h", *keys).agg((n * n * F.lit(sign)).alias("n"))
+        sums = part.select("n") if sums is None else sums.unionAll(part.select("n"))
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0.0)) / 2).first()[0]
 
 
 def _possible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
@@ -283,16 +370,17 @@ def _needed(percent: int) -> Column:
 
 
 def candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of different components among ``members`` (h, doc, n, pos, component) that pass
-    the length and positional filters; y is the smaller set."""
+    """Pairs (x, y) of different components and blocks among ``members`` (h, doc, n, pos, component, met)
+    that pass the length and positional filters; y is the smaller set."""
     mixed = members.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
     left = materialize(members.join(materialize(mixed), "h", "left_semi"))
-    probe = left.select("h", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"))
+    probe = left.select("h", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"), F.col("met").alias("xm"))
     small = left.where(F.col("pos") < _index_length(F.col("n"), percent))
-    small = small.select("h", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"))
+    small = small.select("h", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"), F.col("met").alias("ym"))
     smaller = (F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("y") < F.col("x")))
     in_reach = F.col("yn") * 100 >= F.col("xn") * percent
-    met = probe.join(small, (probe.h == small.h) & smaller & in_reach & (F.col("xc") != F.col("yc")))
+    unmet = F.coalesce(F.col("xm") != F.col("ym"), F.lit(True))
+    met = probe.join(small, (probe.h == small.h) & smaller & in_reach & (F.col("xc") != F.col("yc")) & unmet)
     met = met.groupBy("x", "y", "xn", "yn").agg(F.count(F.lit(1)).alias("same"), F.max("xp").alias("xp"), F.max("yp").alias("yp"))
     behind = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
     return met.where(F.col("same") + behind >= _needed(percent)).select("x", "y").distinct()
@@ -331,20 +419,34 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
         return good, [pairs, need, bags]
 
     found = none
-    named = members.withColumn("component", F.col("doc"))
     total = members.count()
+    often = members.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= CROWD).select("h")
+    crowded = materialize(members.select("h", "doc").join(often, "h"))
+    label = plain.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
+    blocks = plain.sparkSession.createDataFrame([], f"doc {kind}, met bigint")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        rows = rows.join(blocks, "doc", "left").join(label, F.col("doc") == F.col("node"), "left")
+        return rows.withColumn("component", F.coalesce("label", "doc")).drop("node", "label")
+
+    named = crowded.withColumn("component", F.col("doc")).withColumn("met", F.lit(None).cast("bigint"))
     before = None
     for turn in range(ROUNDS):
         left = _cross_pairs(named)
         if left <= FEW * total or before is not None and left > GAIN * before:
             break
         before = left
-        good, done = verified(_with_hubs(named, found, turn, percent))
-        more = materialize(found.unionAll(good).distinct())
-        again = members.join(_spread(more), F.col("doc") == F.col("node"), "left")
-        again = materialize(again.select("h", "doc", "n", "pos", F.coalesce("label", "doc").alias("component")))
-        discard(found, named, *done)
+        told, done = _met_in_crowds(named, chosen, plain, turn, words, percent)
+        told = materialize(told)
+        if not turn:  # all documents of the crowds are in a block then
+            blocks = materialize(told.where("met is not null").groupBy(F.col("x").alias("doc")).agg(F.min("met").alias("met")))
+        more = materialize(found.unionAll(told.where("met is null").select("x", "y")).distinct())
+        label = materialize(_spread(more))
+        again = materialize(labelled(crowded))
+        discard(found, named, told, *done)
         found, named = more, again
+    discard(named)
+    named = materialize(labelled(members))
     good, done = verified(candidates(named, percent))
     last = materialize(found.unionAll(good).distinct())
     discard(found, named, *done)

@@ -41,3 +41,38 @@ def test_frequent_shingles_lose_no_links(spark):
     texts = [f"{shared} tail{i} a{i} b{i}" for i in range(30)] + [f"{shared} " + " ".join(f"q{i}{j}" for j in range(40)) for i in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(jj.query(docs).collect(), docs.collect(), 4, 85)
+
+
+def near_copies(n):
+    """A crowd whose texts have two to seven words of their own: some link, some with nothing."""
+    base = [f"c{i}" for i in range(90)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for j in range(2 + i % 6):
+            words[(i * 7 + j * 13) % 90] = f"x{i}y{j}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_crowds_in_small_blocks_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(jj, "CROWD_ROWS", 16)
+    monkeypatch.setattr(jj, "CROWD_SHINGLES", 900)
+    monkeypatch.setattr(jj, "HUBS", 3)
+    docs = spark.createDataFrame(list(enumerate(near_copies(90))), "doc_id long, text string")
+    check(jj.query(docs).collect(), docs.collect(), 4, 85)
+
+
+def test_pairs_of_a_crowd_are_not_generated(spark, monkeypatch):
+    """Near copies that link and such that do not are settled in blocks: no pair is left to the join."""
+    left, plain = [], jj.candidates
+
+    def counted(members, percent):
+        out = plain(members, percent)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "candidates", counted)
+    docs = spark.createDataFrame(list(enumerate(near_copies(200))), "doc_id long, text string")
+    check(jj.query(docs).collect(), docs.collect(), 4, 85)
+    assert left == [0]
