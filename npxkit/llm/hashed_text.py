@@ -76,16 +76,29 @@ def one_text_each(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
 
 def gathered(rows: DataFrame, label: str, lists: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Labels, row lengths and the flat lists of a bounded table, ordered by label and key. Rows equal in
-    both have equal lists, so sums of floats do not depend on the order in which rows arrive."""
+    both have equal lists, so sums of floats do not depend on the order in which rows arrive. The arrays
+    are NumPy's own: Arrow's copies, one list at a time, go back to the system."""
     t = rows.toArrow()
-    t = t.take(pa.array(np.lexsort((t["key"].to_numpy(), t[label].to_numpy())))).combine_chunks()
-    flat = [pa.concat_arrays([c.flatten() for c in t[name].chunks] or [pa.array([], t.schema.field(name).type.value_type)]) for name in lists]
-    lengths = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in t[lists[0]].chunks] or [np.zeros(0, np.int64)])
-    return t[label].to_numpy(), lengths, *(f.to_numpy(zero_copy_only=False) for f in flat)
+    order = pa.array(np.lexsort((t["key"].to_numpy(), t[label].to_numpy())))
+    labels, flat = t[label].to_numpy()[order.to_numpy()], []
+    t = t.select(lists)
+    for name in lists:
+        one = t[name].combine_chunks()
+        t = t.drop_columns(name)
+        one = one.take(order)
+        lengths = np.array(one.value_lengths().to_numpy(zero_copy_only=False))
+        flat.append(np.array(one.flatten().to_numpy(zero_copy_only=False)))
+        del one
+    del t, order
+    pa.default_memory_pool().release_unused()
+    return labels, lengths, *flat
 
 
 class Sparse:
-    """Rows of (feature, value), for products in both directions: flat arrays and the rows' lengths."""
+    """Rows of (feature, value), for products in both directions: flat arrays and the rows' lengths. Products
+    are summed in order, a block of entries at a time, so that they need little memory besides."""
+
+    BLOCK = 1 << 18
 
     def __init__(self, lengths: np.ndarray, features: np.ndarray, values: np.ndarray, width: int):
         self.width = width
@@ -94,11 +107,18 @@ class Sparse:
         self.cols = features
         self.vals = values
 
+    def _summed(self, to: np.ndarray, at: np.ndarray, factor: np.ndarray, height: int) -> np.ndarray:
+        out = np.zeros(height)
+        for a in range(0, len(to), self.BLOCK):
+            b = slice(a, a + self.BLOCK)
+            np.add.at(out, to[b].astype(np.intp), self.vals[b] * factor[at[b]])
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights=self.vals * w[self.cols], minlength=self.height)
+        return self._summed(self.rows, self.cols, w, self.height)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, weights=self.vals * g[self.rows], minlength=self.width)
+        return self._summed(self.cols, self.rows, g, self.width)
 
 
 def descend(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:

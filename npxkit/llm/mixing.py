@@ -92,7 +92,8 @@ def mix(docs: DataFrame, seed: int = 0, max_repeat: int = MAX_REPEAT) -> DataFra
     name = F.concat(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), F.lit(f"|{seed}"))
     start = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0 * OFFSETS)
     plan = plan.withColumn("_rate", rate).withColumn("_start", start)
-    plan = plan.withColumnRenamed("source", "_source")
+    # One row per source, written: the jobs below read it instead of planning and computing it again.
+    plan = materialize(plan.withColumnRenamed("source", "_source"))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_at", F.col("_rank") - F.col("_first"))
 
     def offset(k: int) -> Column:
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, seed: int = 0, max_repeat: int = MAX_REPEAT) -> DataFra
     taken = [F.sum(_crossed(F.col("_at"), F.col("_rate"), offset(k)) * F.col("size")).alias(f"t{k}") for k in range(OFFSETS)]
     tried = placed.groupBy("_source").agg(F.max("target").alias("_goal"), *taken)
     gap = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("_goal")).alias("gap"), F.lit(k).alias("k")) for k in range(OFFSETS)])
-    best = tried.select(F.col("_source").alias("_best_of"), F.array_min(gap)["k"].alias("_k"))
+    best = materialize(tried.select(F.col("_source").alias("_best_of"), F.array_min(gap)["k"].alias("_k")))
     out = placed.join(best, F.col("source").eqNullSafe(F.col("_best_of")))
     chosen = F.col("_start") + F.col("_k").cast("double") / F.lit(float(OFFSETS))
     out = out.withColumn("copies", _crossed(F.col("_at"), F.col("_rate"), chosen))

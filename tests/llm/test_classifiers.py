@@ -1,10 +1,13 @@
 """Held-out accuracy of the two classifiers, and their odd cases."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import none, odd  # noqa: F401
 from npxkit.llm import quality, toxicity
-from npxkit.llm.hashed_text import Sparse, grams, one_text_each
+from npxkit.llm.hashed_text import Sparse, gathered, grams, one_text_each
 
 SF = "/root/testdata/sf0.1"
 
@@ -105,3 +108,32 @@ def test_grams_stay_in_their_document():
     buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
     ((doc, _),) = grams(buf, off, (3,))
     assert np.bincount(doc, minlength=4).tolist() == [5, 1, 0, 0]
+
+
+def test_products_need_little_memory_besides_the_rows():
+    rng = np.random.default_rng(5)
+    lengths, width = rng.integers(0, 1000, 4000), 500
+    x = Sparse(lengths, rng.integers(0, width, lengths.sum()).astype(np.int32), rng.random(lengths.sum()).astype(np.float32), width)
+    w, g = rng.normal(size=width), rng.normal(size=len(lengths))
+    forth = np.bincount(x.rows, weights=x.vals * w[x.cols], minlength=len(lengths))
+    back = np.bincount(x.cols, weights=x.vals * g[x.rows], minlength=width)
+    tracemalloc.start()
+    try:
+        got = x.dot(w), x.back(g)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(got[0], forth) and np.array_equal(got[1], back)
+    assert most < 8 * lengths.sum()  # one array of doubles for all entries would be as much
+
+
+def test_gathered_rows_leave_nothing_with_arrow(spark):
+    rows = [(n % 3, (n * 7919) % 1009, [n, n + 1][: n % 3], [n / 4, 0.5][: n % 3]) for n in range(1000)]
+    frame = spark.createDataFrame(rows, "label int, key long, buckets array<int>, vals array<float>")
+    before = pa.total_allocated_bytes()
+    label, lengths, buckets, vals = gathered(frame.repartition(3), "label", ("buckets", "vals"))
+    assert pa.total_allocated_bytes() == before
+    rows.sort(key=lambda r: r[:2])
+    assert label.tolist() == [r[0] for r in rows] and lengths.tolist() == [len(r[2]) for r in rows]
+    assert buckets.tolist() == [b for r in rows for b in r[2]] and vals.tolist() == [v for r in rows for v in r[3]]
+    assert [len(a) for a in gathered(frame.where("key < 0"), "label", ("buckets", "vals"))] == [0] * 4

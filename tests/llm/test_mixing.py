@@ -80,3 +80,10 @@ def test_crossings_add_up():
     rate, offset = 0.37, 0.81
     copies = [math.floor((i + 1) * rate + offset) - math.floor(i * rate + offset) for i in range(1000)]
     assert abs(sum(copies) - 370) <= 1
+
+
+def test_sources_are_planned_once(small):
+    # The windows over sources, and the trial of the offsets, were part of every later plan.
+    plan = mixing.mixed_documents(small)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.lstrip(" :+-").startswith("Window ") for x in plan.splitlines()) == 1
+    assert "md5" not in plan
