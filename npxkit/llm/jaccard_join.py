@@ -12,20 +12,23 @@ classes are joined through one representative. Two sets x, y of a class pair lin
 * *Prefixes.* A pair that links shares a shingle of the larger set's probing prefix and the
   smaller set's (shorter) indexing prefix. Prefix shingles that only one document has are dropped.
 * *Crowds.* Only components are asked for, so a group of thousands of near copies need not be
-  compared pair by pair. In a few rounds each document goes, with its text, to the prefix shingle that
+  compared pair by pair. Each document goes, with its text, to the prefix shingle that
   most documents share. The documents of a shingle are dealt into blocks of about ``CROWD_ROWS`` by hash,
   ``HUBS`` of them to all its blocks. A block's sets are built and intersected in its task; it reports one
   link per document to its component, so rows grow with the documents and not with the pairs, and the
   block, whose pairs are all settled by that.
-  In later rounds a component that is known sends ``HUBS`` of its documents to a shingle.
-* *All the rest.* Every pair that shares a prefix shingle, is not yet in one component and was in no
+* *Meetings.* Where many pairs of different blocks and components are left, two blocks that share a crowd's shingle
+  meet: their documents that have it, and others of unlike components there, are sent to one task, which compares each
+  of one side with each of the other. A document is sent once for each block that it faces, and a meeting
+  reports a link or two for it. All pairs that share a crowd's shingle are settled then.
+* *All the rest.* Every pair that shares a prefix shingle (a crowd's only without meetings), is not yet in one component and was in no
   common block is generated, under the *length* filter; rows of one pair meet in one aggregation, so a pair is
   verified once. *Positional filter*: the shingles matched so far, and what is left behind the
   last one, must be able to reach the required overlap. *Suffix filter*: token space is cut at
   fixed pivots, and the sizes of the parts differ by no more than the pair may differ.
 * *Verification.* The sets of the documents still in question are built again and intersected.
 
-A task holds one block of a crowd at a time, bounded in documents and in shingles. Links between
+A task holds one block of a crowd at a time, or one and a part of another, bounded in documents and in shingles. Links between
 representatives are turned into components in distributed rounds.
 
 Nulls: a null text, and a text without words, has an empty set and links with nothing; a row
@@ -48,12 +51,11 @@ from .textbytes import Hasher, mix, ragged, slices, words
 
 HEAVY = 1 << 18
 HUBS = 16
-CROWD = 16  # documents that share a shingle, from which on they meet in a round
+CROWD = 16  # documents that share a shingle, from which on they are a crowd
 CROWD_ROWS = 2048
 CROWD_SHINGLES = 1 << 21
-ROUNDS = 3
-FEW = 1  # pairs for each row that are compared without a round
-GAIN = 0.8  # a round that leaves more of the pairs than this is the last
+FACING = 1024  # documents of a meeting's other side that are compared at a time
+FEW = 1  # pairs for each row that are compared without blocks, or without meetings
 _PARTS = 32
 _FILTER_BITS = 20
 _U = np.uint64
@@ -224,20 +226,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield carried
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a block's sets, from the shingles that several of them have."""
+def _overlaps(sets: list[np.ndarray], split: int = 0) -> np.ndarray:
+    """Sizes of all intersections of a block's sets, from the shingles that several of them have; with ``split``,
+    of the first ``split`` sets with the others."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = times[column] > 1
     owner, column = owner[several], (np.cumsum(times > 1) - 1)[column[several]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    out = np.zeros((split or len(sets), len(sets) - split), dtype=np.float64)
     for at in range(0, int((times > 1).sum()), 1024):
         some = slice(*np.searchsorted(column, [at, at + 1024]))
         holds = np.zeros((len(sets), 1024), dtype=np.float32)
         holds[owner[some], column[some] - at] = 1.0
-        out += holds @ holds.T
+        out += holds[: split or None] @ holds[split:].T
     return out
 
 
@@ -295,31 +298,114 @@ def _crowd_links(k: int, percent: int):
     return run
 
 
-def _met_in_crowds(named: DataFrame, chosen: DataFrame, plain: DataFrame, turn: int, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """What ``_crowd_links`` reports of documents of different components that share a frequent prefix shingle,
-    and the tables written on the way."""
-    parts = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("own"))
-    crowds = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    asked = named.join(crowds, "h").groupBy("doc", "component").agg(F.max(F.struct("parts", "h")).getField("h").alias("h"))
-    asked = materialize(asked)
-    sizes = asked.groupBy("h", "component").agg(F.count(F.lit(1)).alias("own"))
-    sent = asked.join(sizes, ["h", "component"]).where(F.pmod(F.xxhash64("doc", F.lit(turn)), F.col("own")) < HUBS).select("h", "doc")
-    total = sent.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sent = sent.join(total, "h").select("h", "doc", "n", F.ceil(F.col("n") / F.lit(CROWD_ROWS)).cast("int").alias("blocks"))
-    own = F.array(F.pmod(F.xxhash64("doc", F.lit(-1 - turn)), F.col("blocks")).cast("int"))
-    hub = F.pmod(F.xxhash64("doc", F.lit(ROUNDS + turn)), F.col("n")) < HUBS
-    block = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("block")
-    routes = materialize(sent.select("doc", "h", block).join(chosen.select(F.col("doc_id").alias("doc"), "s1"), "doc"))
+def _facing_links(k: int, percent: int):
+    """Of each meeting of a partition sorted by ``a``, ``b`` and ``side``: links (x, y) that connect what the links between
+    its sides, of unlike components, connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, kind = None, None
+        near: list[tuple] = []  # (document, component, set) of side 0
+        far: list[tuple] = []  # of side 1, up to FACING
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            docs, parts, sets = zip(*near, *far)
+            n, both = np.array([len(x) for x in sets]), _overlaps(list(sets), len(near))
+            part = np.unique(np.array(parts), return_inverse=True)[1]
+            a, b = slice(len(near)), slice(len(near), None)
+            linked = 100 * both >= percent * (n[a, None] + n[None, b] - both)
+            label, across = _connected(linked & (part[a, None] != part[None, b]))
+            out = [(docs[i], docs[j]) for i, j in enumerate(label) if i != j]
+            out += [(docs[len(near) + i], docs[j]) for i, j in enumerate(across) if j < len(near)]
+            x, y = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], names=["x", "y"])
+
+        for batch in batches:
+            kind = batch.schema.field("doc").type
+            for rows, buf, off in slices(batch, "text"):
+                columns = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "side", "doc", "component", "s1"))
+                for a, b, side, doc, part, s1, x in zip(*columns, shingle_sets(buf, off, k)):
+                    if not len(x) or _sums(x)[0] != s1:
+                        continue
+                    if (a, b) != here or len(far) >= FACING or held > CROWD_SHINGLES:
+                        if near and far:
+                            yield flush()
+                        far, held = [], 0
+                    if (a, b) != here:
+                        here, near = (a, b), []
+                    if side:
+                        far.append((doc, part, x))
+                        held += len(x)
+                    else:
+                        near.append((doc, part, x))
+        if near and far:
+            yield flush()
+
+    return run
+
+
+def _connected(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of the component of each row and of each column (or the number of rows) by the links of rows with columns."""
+    n = len(linked)
+    label = np.arange(n)
+    while True:
+        across = np.where(linked, label[:, None], n).min(axis=0)
+        low = np.minimum(np.where(linked, across[None, :], n).min(axis=1), label)
+        low = low[low]
+        if (low == label).all():
+            return label, across
+        label = low
+
+
+def _sent(routes: DataFrame, plain: DataFrame) -> DataFrame:
+    """The routes with the texts of their documents. A bitmap of the documents' hashes, of fixed size, goes to the scan."""
     slot = F.pmod(F.xxhash64("doc"), F.lit(1 << _FILTER_BITS)).alias("slot")
     wanted = np.zeros(1 << _FILTER_BITS, dtype=bool)
     wanted[routes.select(slot).distinct().toArrow()["slot"].to_numpy()] = True
     texts = plain.withColumnRenamed("doc_id", "doc")
     kind = texts.schema["doc"].dataType.simpleString()
     texts = texts.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(1 << _FILTER_BITS))).mapInArrow(_marked(wanted), f"doc {kind}, text string")
-    rows = texts.join(routes, "doc").repartition("h", "block").sortWithinPartitions("h", "block")
+    return texts.join(routes, "doc")
+
+
+def _met_in_crowds(crowded: DataFrame, chosen: DataFrame, plain: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``_crowd_links`` reports of documents that share a frequent prefix shingle, and the tables written on
+    the way."""
+    crowds = crowded.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    asked = crowded.join(crowds, "h").groupBy("doc").agg(F.max(F.struct("parts", "h")).getField("h").alias("h"))
+    asked = materialize(asked)
+    total = asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sent = asked.join(total, "h").select("h", "doc", "n", F.ceil(F.col("n") / F.lit(CROWD_ROWS)).cast("int").alias("blocks"))
+    own = F.array(F.pmod(F.xxhash64("doc", F.lit(-1)), F.col("blocks")).cast("int"))
+    hub = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("n")) < HUBS
+    block = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("block")
+    routes = materialize(sent.select("doc", "h", block).join(chosen.select(F.col("doc_id").alias("doc"), "s1"), "doc"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    rows = _sent(routes, plain).repartition("h", "block").sortWithinPartitions("h", "block")
     return rows.mapInArrow(_crowd_links(words, percent), f"x {kind}, y {kind}, met bigint"), [asked, routes]
 
 
+def _met_across(named: DataFrame, chosen: DataFrame, plain: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between documents of different blocks and components that share a shingle of ``named`` (h, doc,
+    component, met), and the tables written on the way. A document that was in no block is one of its own."""
+    named = named.withColumn("met", F.coalesce("met", F.xxhash64("doc")))
+    groups = materialize(named.groupBy("h", "met").agg(F.min("component").alias("low"), F.max("component").alias("high")))
+    one, other = (groups.select("h", F.col("met").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high")) for c in "ab")
+    unlike = (F.col("a_low") != F.col("a_high")) | (F.col("b_low") != F.col("b_high")) | (F.col("a_low") != F.col("b_low"))
+    meetings = materialize(one.join(other, "h").where((F.col("a") < F.col("b")) & unlike))
+
+    def going(side: int, own: str, faced: str) -> DataFrame:
+        rows = named.join(meetings.withColumn("met", F.col(own)), ["h", "met"])
+        rows = rows.where((F.col(f"{faced}_low") != F.col("component")) | (F.col(f"{faced}_high") != F.col("component")))
+        return rows.select("a", "b", F.lit(side).alias("side"), "doc", "component")
+
+    both = going(0, "a", "b").unionAll(going(1, "b", "a")).distinct()
+    routes = materialize(both.join(chosen.select(F.col("doc_id").alias("doc"), "s1"), "doc"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    rows = _sent(routes, plain).repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    return rows.mapInArrow(_facing_links(words, percent), f"x {kind}, y {kind}"), [groups, meetings, routes]
+
+
 def _marked(wanted: np.ndarray):
     """Texts of the documents whose id's hash is marked in ``wanted``."""
 
@@ -430,23 +516,22 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
         return rows.withColumn("component", F.coalesce("label", "doc")).drop("node", "label")
 
     named = crowded.withColumn("component", F.col("doc")).withColumn("met", F.lit(None).cast("bigint"))
-    before = None
-    for turn in range(ROUNDS):
-        left = _cross_pairs(named)
-        if left <= FEW * total or before is not None and left > GAIN * before:
-            break
-        before = left
-        told, done = _met_in_crowds(named, chosen, plain, turn, words, percent)
+    rest = members
+    if _cross_pairs(named) > FEW * total:
+        told, done = _met_in_crowds(crowded, chosen, plain, words, percent)
         told = materialize(told)
-        if not turn:  # all documents of the crowds are in a block then
-            blocks = materialize(told.where("met is not null").groupBy(F.col("x").alias("doc")).agg(F.min("met").alias("met")))
-        more = materialize(found.unionAll(told.where("met is null").select("x", "y")).distinct())
-        label = materialize(_spread(more))
-        again = materialize(labelled(crowded))
-        discard(found, named, told, *done)
-        found, named = more, again
+        blocks = materialize(told.where("met is not null").groupBy(F.col("x").alias("doc")).agg(F.min("met").alias("met")))
+        found = materialize(told.where("met is null").select("x", "y").distinct())
+        label = materialize(_spread(found))
+        discard(told, *done)
+        named = materialize(labelled(crowded))
+        if _cross_pairs(named) > FEW * total:
+            across, done = _met_across(named, chosen, plain, words, percent)
+            more = materialize(found.unionAll(across).distinct())
+            discard(found, *done)
+            found, rest = more, members.join(often, "h", "left_anti")
     discard(named)
-    named = materialize(labelled(members))
+    named = materialize(labelled(rest))
     good, done = verified(candidates(named, percent))
     last = materialize(found.unionAll(good).distinct())
     discard(found, named, *done)

@@ -1,5 +1,5 @@
 import pytest
-from brute import jaccard_components, shingles
+from brute import components, jaccard_components, shingles
 from llm_fixtures import none, odd, small  # noqa: F401
 from npxkit.llm import jaccard_join as jj
 
@@ -76,3 +76,38 @@ def test_pairs_of_a_crowd_are_not_generated(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(near_copies(200))), "doc_id long, text string")
     check(jj.query(docs).collect(), docs.collect(), 4, 85)
     assert left == [0]
+
+
+def in_many_blocks(monkeypatch):
+    """Blocks of a few documents; the largest number of rows of a shingle that is left to the join goes to the list."""
+    most, plain = [], jj.candidates
+
+    def watched(members, percent):
+        most.append(members.groupBy("h").count().agg({"count": "max"}).first()[0] or 0)
+        return plain(members, percent)
+
+    monkeypatch.setattr(jj, "candidates", watched)
+    monkeypatch.setattr(jj, "CROWD_ROWS", 16)
+    monkeypatch.setattr(jj, "HUBS", 2)
+    monkeypatch.setattr(jj, "FACING", 7, raising=False)
+    return most
+
+
+def test_blocks_of_a_crowd_meet_instead_of_their_pairs(spark, monkeypatch):
+    """Documents of unlike blocks that link with nothing made a row for each pair and shingle in the join."""
+    most = in_many_blocks(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(near_copies(200))), "doc_id long, text string")
+    check(jj.query(docs).collect(), docs.collect(), 4, 85)
+    assert len(most) == 1 and most[0] < jj.CROWD
+
+
+def test_meetings_take_all_texts_of_a_repeated_id(spark, monkeypatch):
+    most = in_many_blocks(monkeypatch)
+    texts = near_copies(120)
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, None)]
+    sets = [(i, shingles(t, 4)) for i, t in rows if i is not None]
+    links = [(a, b) for n, (a, x) in enumerate(sets) for b, y in sets[n + 1 :] if 100 * len(x & y) >= 85 * len(x | y)]
+    found = jj.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = components({i for i, _ in sets}, links)
+    assert len(found) == len(rows) and most[0] < jj.CROWD
+    assert all(r.component_id == expected[r.doc_id] for r in found if r.doc_id is not None)
