@@ -17,16 +17,20 @@ classes are joined through one representative. Two sets x, y of a class pair lin
   ``HUBS`` of them to all its blocks. A block's sets are built and intersected in its task; it reports one
   link per document to its component, so rows grow with the documents and not with the pairs, and the
   block, whose pairs are all settled by that.
+* *Marks.* A set marks the bits that an odd number of its shingles fall on, of ``MARKS``. Two sets' marks differ in no
+  more bits than the sets differ in shingles. A crowd's rows meet with their marks and without texts, and rows with
+  no possible partner are dropped: frequent shingles bring unlike documents together.
 * *Meetings.* Where many pairs of different blocks and components are left, two blocks that share a crowd's shingle
-  meet: their documents that have it, and others of unlike components there, are sent to one task, which compares each
+  meet: their documents that have a possible partner there, by their marks, are sent to one task, which compares each
   of one side with each of the other. A document is sent once for each block that it faces, and a meeting
   reports a link or two for it. All pairs that share a crowd's shingle are settled then.
 * *All the rest.* Every pair that shares a prefix shingle (a crowd's only without meetings), is not yet in one component and was in no
   common block is generated, under the *length* filter; rows of one pair meet in one aggregation, so a pair is
   verified once. *Positional filter*: the shingles matched so far, and what is left behind the
-  last one, must be able to reach the required overlap. *Suffix filter*: token space is cut at
-  fixed pivots, and the sizes of the parts differ by no more than the pair may differ.
-* *Verification.* The sets of the documents still in question are built again and intersected.
+  last one, must be able to reach the required overlap. *Suffix filter*: marks differ by no more
+  than the pair may differ.
+* *Verification.* The texts of the documents still in question meet in groups of linked pairs, once for each group, and
+  their sets are intersected there.
 
 A task holds one block of a crowd at a time, or one and a part of another, bounded in documents and in shingles. Links between
 representatives are turned into components in distributed rounds.
@@ -56,8 +60,11 @@ CROWD_ROWS = 2048
 CROWD_SHINGLES = 1 << 21
 FACING = 1024  # documents of a meeting's other side that are compared at a time
 FEW = 1  # pairs for each row that are compared without blocks, or without meetings
-_PARTS = 32
-_FILTER_BITS = 20
+MARKS = 1024  # bits
+MARKED_ROWS = 4096  # of a crowd that meet with their marks at a time
+GROUP_DOCS = 512  # documents of a group of pairs
+_WORDS = MARKS // 64
+_FILTER_BITS = 22
 _U = np.uint64
 
 
@@ -124,7 +131,7 @@ def _sums(x: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]):
-    """Per document: size, hashes of the set, sizes of its parts, and its probing prefix."""
+    """Per document: size, hashes of the set, its marks, and its probing prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,74 +140,86 @@ def _describe(k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]):
                 n = np.array([len(x) for x in sets], dtype=np.int32)
                 take = np.where(n > 0, n - (percent * n.astype(np.int64) + 99) // 100 + 1, 0)
                 prefixes, s1, s2 = [], np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                parts = np.zeros((len(n), _PARTS), dtype=np.int16)
+                marks = np.zeros((len(n), _WORDS), dtype=np.int64)
                 for i, x in enumerate(sets):
                     if not len(x):
                         continue
                     order = np.argsort(_places(x, heavy), kind="stable")
                     prefixes.append(x[order[: take[i]]])
                     s1[i], s2[i] = _sums(x)
-                    # Pivots on other bits than those that order the prefix.
-                    parts[i] = np.minimum(np.bincount((x & _U(_PARTS - 1)).astype(np.int64), minlength=_PARTS), 32767)
+                    # Bits other than those that order the prefix.
+                    odd = np.bincount((x & _U(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+                    marks[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 at = np.zeros(len(n) + 1, dtype=np.int32)
                 np.cumsum(take, out=at[1:])
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, _U)
-                spread = np.arange(len(n) + 1, dtype=np.int32) * _PARTS
+                spread = np.arange(len(n) + 1, dtype=np.int32) * _WORDS
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc_id"),
                         pa.array(n),
                         pa.array(s1),
                         pa.array(s2),
-                        pa.ListArray.from_arrays(pa.array(spread), pa.array(parts.ravel())),
+                        pa.ListArray.from_arrays(pa.array(spread), pa.array(marks.ravel())),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64))),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "parts", "prefix"],
+                    names=["doc_id", "n", "s1", "s2", "marks", "prefix"],
                 )
 
     return run
 
 
-def _rebuild(k: int, wanted: np.ndarray):
-    """Sets of the documents whose id's hash is marked in ``wanted``."""
+def _linked(k: int, percent: int):
+    """Links (x, y) of each group of a partition sorted by ``g``, ``i`` and ``j``, of the pairs that its rows name: a
+    document with its text and others. An id that has several sets links by any of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marked = wanted[batch.column(batch.schema.get_field_index("slot")).to_numpy(zero_copy_only=False)]
-            for rows, buf, off in slices(batch.filter(pa.array(marked)), "text"):
-                packed = [x.tobytes() for x in shingle_sets(buf, off, k)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "bag"])
-
-    return run
-
+        here, kind = None, None
+        sets: dict[object, list[np.ndarray]] = {}
+        asked: dict[object, set] = {}
 
-def _bags(plain: DataFrame, need: DataFrame, words: int) -> DataFrame:
-    """(doc_id, bag) of the needed ids. A bitmap of their hashes, of fixed size, goes to the scan, so
-    that other texts are neither cut nor shuffled; the join then leaves the needed ones."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
-    wanted = np.zeros(1 << _FILTER_BITS, dtype=bool)
-    wanted[need.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    bags = plain.withColumn("slot", slot).mapInArrow(_rebuild(words, wanted), f"doc_id {kind}, bag binary")
-    return bags.join(need, "doc_id", "left_semi").distinct()
+        def reach(x: np.ndarray, y: np.ndarray) -> bool:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * both >= percent * (len(x) + len(y) - both)
 
+        def flush() -> pa.RecordBatch:
+            out = [(x, y) for x, others in asked.items() for y in others if any(reach(p, q) for p in sets[x] for q in sets.get(y, ()))]
+            x, y = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], names=["x", "y"])
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("x_bag", "y_bag"))
-            good = []
-            for i, (p, q) in enumerate(zip(a, b)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (p, q))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(i)
-            kept = batch.select(["x", "y"]).take(pa.array(good, pa.int64()))
-            yield kept
+            kind = batch.schema.field("doc").type
+            for rows, buf, off in slices(batch, "text"):
+                columns = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("g", "i", "j", "doc", "others"))
+                for g, i, j, doc, others, x in zip(*columns, shingle_sets(buf, off, k)):
+                    if (g, i, j) != here:
+                        if asked:
+                            yield flush()
+                        here, sets, asked = (g, i, j), {}, {}
+                    known = sets.setdefault(doc, [])
+                    if not any(np.array_equal(x, y) for y in known):
+                        known.append(x)
+                    if others:
+                        asked.setdefault(doc, set()).update(others)
+        if asked:
+            yield flush()
 
     return run
 
 
+def _grouped(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Where the documents of pairs (x, y) go: rows (g, i, j, doc, others), each pair named by one, and the tables
+    written on the way. Pairs that hang together share a group; large ones are cut by both sides."""
+    label = materialize(_spread(pairs))
+    cut = label.groupBy(F.col("label").alias("g")).agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_DOCS)).cast("int").alias("cut"))
+    told = pairs.join(label.select(F.col("node").alias("x"), F.col("label").alias("g")), "x").join(cut, "g")
+    told = told.withColumns({c: F.pmod(F.xxhash64(d, F.lit(2)), F.col("cut")).cast("int") for c, d in (("i", "x"), ("j", "y"))})
+    key = ["g", "i", "j"]
+    ends = told.select(*key, F.col("x").alias("doc"), F.col("y").alias("other"))
+    ends = ends.unionAll(told.select(*key, F.col("y").alias("doc"), F.lit(None).cast(pairs.schema["y"].dataType).alias("other")))
+    return materialize(ends.groupBy(*key, "doc").agg(F.collect_set("other").alias("others"))), [label]
+
+
 def _index_length(n: Column, percent: int) -> Column:
     """Of the smaller set, a share of 2t / (1 + t) must match: its indexing prefix is shorter."""
     return n - F.ceil(n * (2 * percent) / F.lit(100 + percent)).cast("int") + 1
@@ -385,25 +404,98 @@ def _met_in_crowds(crowded: DataFrame, chosen: DataFrame, plain: DataFrame, word
     return rows.mapInArrow(_crowd_links(words, percent), f"x {kind}, y {kind}, met bigint"), [asked, routes]
 
 
-def _met_across(named: DataFrame, chosen: DataFrame, plain: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Links between documents of different blocks and components that share a shingle of ``named`` (h, doc,
-    component, met), and the tables written on the way. A document that was in no block is one of its own."""
-    named = named.withColumn("met", F.coalesce("met", F.xxhash64("doc")))
-    groups = materialize(named.groupBy("h", "met").agg(F.min("component").alias("low"), F.max("component").alias("high")))
-    one, other = (groups.select("h", F.col("met").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high")) for c in "ab")
-    unlike = (F.col("a_low") != F.col("a_high")) | (F.col("b_low") != F.col("b_high")) | (F.col("a_low") != F.col("b_low"))
-    meetings = materialize(one.join(other, "h").where((F.col("a") < F.col("b")) & unlike))
+def _likely(percent: int, across: bool):
+    """Of each two blocks of rows of a shingle, in a partition sorted by ``h``, ``low`` and ``high``, those that the marks and
+    sizes leave a partner of another component and block: rows (h, doc, n), or with ``across`` rows (doc, component,
+    met, facing), one for each block that a document faces."""
+
+    def scan(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        n = t["n"].to_numpy().astype(np.int64)
+        t = t.take(pa.array(order := np.argsort(n, kind="stable"))).combine_chunks()
+        n = n[order]
+        marks = t["marks"].combine_chunks().flatten().to_numpy().view(_U).reshape(-1, _WORDS)
+        part, met = (np.unique(t[c].to_numpy(), return_inverse=True)[1] for c in ("component", "met"))
+        side, same = t["side"].to_numpy(), t["low"][0].as_py() == t["high"][0].as_py()
+        live, pairs, at = np.zeros(len(n), dtype=bool), [], np.arange(len(n))
+        for begin in range(0, len(n), 128):
+            a = slice(begin, begin + 128)
+            b = slice(begin, int(np.searchsorted(n, n[a][-1] * 100 // percent, "right")))
+            size = n[a, None] + n[None, b]
+            spare = size + 2 * (-size * percent // (100 + percent))
+            fits = (at[a, None] < at[None, b]) & (n[a, None] * 100 >= n[None, b] * percent)
+            fits &= (part[a, None] != part[None, b]) & (met[a, None] != met[None, b])
+            if not same:
+                fits &= side[a, None] != side[None, b]
+            apart = np.zeros(size.shape, dtype=np.int16)
+            for w in range(_WORDS // 4):  # most unlike pairs differ by more in these
+                apart += np.bitwise_count(marks[a, None, w] ^ marks[None, b, w])
+            x, y = np.nonzero(fits & (apart <= spare))
+            apart, spare = apart[x, y], spare[x, y]
+            x, y = x + begin, y + begin
+            for w in range(_WORDS // 4, _WORDS):
+                apart += np.bitwise_count(marks[x, w] ^ marks[y, w])
+            x, y = x[apart <= spare], y[apart <= spare]
+            live[x] = live[y] = True
+            if across:
+                pairs.append(np.unique(np.concatenate([x * len(n) + met[y], y * len(n) + met[x]])))
+        if not across:
+            return t.select(["h", "doc", "n"]).filter(pa.array(live)).combine_chunks().to_batches() or []
+        row, faced = np.divmod(np.unique(np.concatenate(pairs)), len(n))
+        value = np.unique(t["met"].to_numpy())
+        found = t.select(["doc", "component", "met"]).take(pa.array(row)).append_column("facing", pa.array(value[faced]))
+        return found.combine_chunks().to_batches()
 
-    def going(side: int, own: str, faced: str) -> DataFrame:
-        rows = named.join(meetings.withColumn("met", F.col(own)), ["h", "met"])
-        rows = rows.where((F.col(f"{faced}_low") != F.col("component")) | (F.col(f"{faced}_high") != F.col("component")))
-        return rows.select("a", "b", F.lit(side).alias("side"), "doc", "component")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "low", "high")]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(new), [batch.num_rows]])
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                here = tuple(k[begin] for k in keys)
+                if parts and here != last:
+                    yield from scan(parts)
+                    parts = []
+                last = here
+                parts.append(batch.slice(begin, end - begin))
+        if parts:
+            yield from scan(parts)
 
-    both = going(0, "a", "b").unionAll(going(1, "b", "a")).distinct()
+    return run
+
+
+def _with_partners(named: DataFrame, known: DataFrame, percent: int, across: bool = False) -> DataFrame:
+    """What ``_likely`` reports of crowds' rows ``named`` (h, doc, n, component, met): no pairs, and a row
+    at most for each block that a row faces. Marks travel, texts don't."""
+    named = named.withColumn("met", F.coalesce("met", F.xxhash64("doc")))
+    sizes = named.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(MARKED_ROWS)).cast("int").alias("blocks"))
+    rows = named.join(sizes, "h").join(known.select(F.col("doc_id").alias("doc"), "n", "marks"), ["doc", "n"])
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "side", "doc", "n", "component", "met", "marks")
+    rows = rows.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+    kind = named.schema["doc"].dataType.simpleString()
+    schema = f"doc {kind}, component {kind}, met bigint, facing bigint" if across else f"h bigint, doc {kind}, n int"
+    return rows.mapInArrow(_likely(percent, across), schema).distinct()
+
+
+def _met_across(named: DataFrame, known: DataFrame, chosen: DataFrame, plain: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between documents of different blocks and components that share a shingle of ``named`` (h, doc, n,
+    component, met), and the tables written on the way. A document that was in no block is one of its own."""
+    faced = _with_partners(named, known, percent, across=True)
+    both = faced.select(
+        F.least("met", "facing").alias("a"), F.greatest("met", "facing").alias("b"), (F.col("met") > F.col("facing")).cast("int").alias("side"), "doc", "component"
+    )
     routes = materialize(both.join(chosen.select(F.col("doc_id").alias("doc"), "s1"), "doc"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     rows = _sent(routes, plain).repartition("a", "b").sortWithinPartitions("a", "b", "side")
-    return rows.mapInArrow(_facing_links(words, percent), f"x {kind}, y {kind}"), [groups, meetings, routes]
+    return rows.mapInArrow(_facing_links(words, percent), f"x {kind}, y {kind}"), [routes]
 
 
 def _marked(wanted: np.ndarray):
@@ -443,11 +535,11 @@ def _cross_pairs(named: DataFrame) -> float:
 
 
 def _possible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: pairs (x, y) whose sets' parts differ by no more than the pair may."""
-    size = described.select("doc_id", "n", "parts")
-    pairs = pairs.join(size.select(F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("parts").alias("xparts")), "x")
-    pairs = pairs.join(size.select(F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("parts").alias("yparts")), "y")
-    apart = F.aggregate(F.zip_with("xparts", "yparts", lambda a, b: F.abs(a - b).cast("int")), F.lit(0), lambda s, d: s + d)
+    """The suffix filter: pairs (x, y) whose sets' marks differ by no more than the pair may."""
+    size = described.select("doc_id", "n", "marks")
+    pairs = pairs.join(size.select(F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("marks").alias("xmarks")), "x")
+    pairs = pairs.join(size.select(F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("marks").alias("ymarks")), "y")
+    apart = F.aggregate(F.zip_with("xmarks", "ymarks", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
     return pairs.where(apart <= F.col("xn") + F.col("yn") - 2 * _needed(percent)).select("x", "y").distinct()
 
 
@@ -478,36 +570,44 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     heavy = _heavy(plain.select("text"), words)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n int, s1 bigint, s2 bigint, parts array<smallint>, prefix array<bigint>"
+    schema = f"doc_id {kind}, n int, s1 bigint, s2 bigint, marks array<bigint>, prefix array<bigint>"
     described = materialize(plain.mapInArrow(_describe(words, percent, heavy), schema))
     key = ["n", "s1", "s2"]
     first = described.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     first = materialize(first)
-    rows = described.select("doc_id", *key).join(first, key, "left").select("doc_id", "n", "rep")
-    chosen = described.where("n > 0").join(first, key).where("doc_id = rep").dropDuplicates(key)
+    # The id is a key of the join, and named again it needs no second shuffle of the prefixes.
+    prefixed = described.where("n > 0").join(first, key).where("doc_id = rep").dropDuplicates([*key, "doc_id"])
 
-    members = chosen.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("doc"), "n").select("h", "doc", "n", "pos")
+    members = prefixed.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("doc"), "n").select("h", "doc", "n", "pos")
     members = members.repartition("h").sortWithinPartitions("h")
     members = materialize(members.mapInArrow(_shared, f"h bigint, doc {kind}, n int, pos int"))
     asked = members.select(F.col("doc").alias("doc_id")).distinct()
-    known = materialize(described.select("doc_id", "n", "parts").join(asked, "doc_id", "left_semi").distinct())
+    known = materialize(described.select("doc_id", "n", "marks").join(asked, "doc_id", "left_semi").distinct())
+    # From here on without the prefixes, which are the larger part.
+    sized = materialize(described.select("doc_id", *key))
+    discard(described)
+    rows = sized.join(first, key, "left").select("doc_id", "n", "rep")
+    chosen = sized.where("n > 0").join(first, key).where("doc_id = rep").dropDuplicates([*key, "doc_id"])
     none = plain.sparkSession.createDataFrame([], f"x {kind}, y {kind}")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """The pairs that link, and the tables written on the way."""
         pairs = materialize(_possible(pairs, known, percent))
-        need = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
-        need = materialize(need)
-        bags = materialize(_bags(plain, need, words))
-        both = pairs.join(bags.select(F.col("doc_id").alias("x"), F.col("bag").alias("x_bag")), "x")
-        both = both.join(bags.select(F.col("doc_id").alias("y"), F.col("bag").alias("y_bag")), "y")
-        good = both.select("x", "y", "x_bag", "y_bag").mapInArrow(_verify(percent), f"x {kind}, y {kind}").distinct()
-        return good, [pairs, need, bags]
+        routes, done = _grouped(pairs)
+        texts = _sent(routes, plain).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        return texts.mapInArrow(_linked(words, percent), f"x {kind}, y {kind}").distinct(), [pairs, routes, *done]
 
     found = none
     total = members.count()
     often = members.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= CROWD).select("h")
-    crowded = materialize(members.select("h", "doc").join(often, "h"))
+    often = materialize(often)
+
+    def alone(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("component", F.col("doc")).withColumn("met", F.lit(None).cast("bigint"))
+
+    met = alone(members.select("h", "doc", "n").join(often, "h"))
+    crowded = materialize(_with_partners(met, known, percent))
+    rare = members.join(often, "h", "left_anti")
     label = plain.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
     blocks = plain.sparkSession.createDataFrame([], f"doc {kind}, met bigint")
 
@@ -515,10 +615,10 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
         rows = rows.join(blocks, "doc", "left").join(label, F.col("doc") == F.col("node"), "left")
         return rows.withColumn("component", F.coalesce("label", "doc")).drop("node", "label")
 
-    named = crowded.withColumn("component", F.col("doc")).withColumn("met", F.lit(None).cast("bigint"))
-    rest = members
-    if _cross_pairs(named) > FEW * total:
-        told, done = _met_in_crowds(crowded, chosen, plain, words, percent)
+    named = alone(crowded)
+    rest = rare.unionAll(members.join(crowded, ["h", "doc", "n"], "left_semi").select(*members.columns))
+    if _cross_pairs(met) > FEW * total:
+        told, done = _met_in_crowds(crowded.select("h", "doc"), chosen, plain, words, percent)
         told = materialize(told)
         blocks = materialize(told.where("met is not null").groupBy(F.col("x").alias("doc")).agg(F.min("met").alias("met")))
         found = materialize(told.where("met is null").select("x", "y").distinct())
@@ -526,15 +626,15 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
         discard(told, *done)
         named = materialize(labelled(crowded))
         if _cross_pairs(named) > FEW * total:
-            across, done = _met_across(named, chosen, plain, words, percent)
+            across, done = _met_across(named, known, chosen, plain, words, percent)
             more = materialize(found.unionAll(across).distinct())
             discard(found, *done)
-            found, rest = more, members.join(often, "h", "left_anti")
+            found, rest = more, rare
     discard(named)
     named = materialize(labelled(rest))
     good, done = verified(candidates(named, percent))
     last = materialize(found.unionAll(good).distinct())
-    discard(found, named, *done)
+    discard(found, named, members, known, often, crowded, label, blocks, *done)
     found = last
     return rows, components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
 

@@ -111,3 +111,30 @@ def test_meetings_take_all_texts_of_a_repeated_id(spark, monkeypatch):
     expected = components({i for i, _ in sets}, links)
     assert len(found) == len(rows) and most[0] < jj.CROWD
     assert all(r.component_id == expected[r.doc_id] for r in found if r.doc_id is not None)
+
+
+def test_unlike_documents_of_a_crowd_send_no_texts(spark, monkeypatch):
+    """Documents of two lines each share every line with many others and link with few: texts went to all blocks that they faced."""
+    sent, plain = [], jj._sent
+
+    def counted(routes, texts):
+        sent.append(routes.count())
+        return plain(routes, texts)
+
+    in_many_blocks(monkeypatch)
+    monkeypatch.setattr(jj, "_sent", counted)
+    lines = [" ".join(f"l{i}w{j}" for j in range(12)) for i in range(14)]
+    texts = [f"{a} {b}" for a in lines for b in lines if a != b] + [f"{lines[0]} {lines[1]} x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(jj.query(docs).collect(), docs.collect(), 4, 85)
+    assert sum(sent) < 20
+
+
+def test_marks_keep_all_that_link(spark, monkeypatch):
+    """Blocks of a few rows, cut groups of pairs: links of every size are found."""
+    monkeypatch.setattr(jj, "MARKED_ROWS", 8)
+    monkeypatch.setattr(jj, "GROUP_DOCS", 4)
+    monkeypatch.setattr(jj, "FEW", 1000)
+    texts = near_copies(60) + [" ".join(f"w{i}" for i in range(n)) for n in range(20, 70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(jj.query(docs).collect(), docs.collect(), 4, 85)
