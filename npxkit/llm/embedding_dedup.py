@@ -1,21 +1,22 @@
-"""Near-duplicate vectors by spherical k-means cells and blocked cosine products.
+"""Near-duplicate vectors by blocked cosine products, with spherical k-means cells inside the blocks.
 
 Vectors with equal labels link when their cosine is at least ``threshold`` in double precision.
 Equal vectors of a label form a class and are compared through one representative.
 
-* Centroids are fitted on a sample of at most ``2 * SAMPLE`` vectors drawn by hash; there are
-  ``CELL_ROWS`` vectors to a cell but at most ``MAX_CELLS`` cells, so their table is bounded.
-* Every vector is assigned to its nearest centroid's cell. It also visits each cell whose
+* The vectors of a label and length are cut into blocks by hash, of ``BLOCK`` rows (fewer of long ones), and
+  any two blocks meet in a task. A task never holds more than two blocks, however many rows a label has.
+* Blocks meet in rounds: in one, a vector is sent about once, and the shuffle files of a round go when its
+  links are written. So disk is bounded by a few copies of the vectors, not by the number of meetings.
+* In a task, vectors are put into the cells of centroids fitted on a sample of at most ``2 * SAMPLE`` vectors
+  drawn by hash, at most ``MAX_CELLS``. A vector is compared with a cell when it is its own or the cell's
   bisecting plane is closer than the largest distance of two linked vectors: a linked vector of
-  that cell cannot lie further beyond the plane. So no link is lost, whatever the centroids are
-  (recall 1 against brute force); a visit is made only in the lower-numbered of two cells, so
-  each pair is compared once.
-* Cells are cut into blocks of ``BLOCK`` rows by hash and pairs of blocks are multiplied; a
-  task never holds more than two blocks, however many rows a cell or a label has.
+  that cell cannot lie further beyond the plane. Then only pairs are left whose parts in ``AXES``
+  directions are that close. So no link is lost, whatever the centroids are (recall 1 against brute force).
 
-A block returns link counts per vector and a spanning forest of its links, not the pairs;
+A task returns link counts per vector and a spanning forest of its links, not the pairs;
 components are joined in distributed rounds. One vector per component, that of the smallest
-id, is kept.
+id, is kept. The work is quadratic in the vectors of a label: cells and directions make a pair cheap, they don't
+make pairs few.
 
 A vector that is null, zero, or holds null or non-finite components, and a vector with a null
 label, links with nothing. Vectors of different lengths never link. Repeated rows, and different
@@ -26,21 +27,23 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, materialize
+from .base import components, discard, materialize, release
 
-SAMPLE = 32768
+SAMPLE = 8192
 CELL_ROWS = 128
-MAX_CELLS = 4096
+MAX_CELLS = 512
 MAX_LENGTHS = 4
-BLOCK = 1024
+BLOCK = 1 << 17  # vectors of 64 components
+AXES = 16
 ROUNDS = 8
-_BLOCK_KEY = ["label", "dim", "cell", "low", "high"]
+_BLOCK_KEY = ["label", "dim", "low", "high"]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -86,83 +89,99 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _assign(book: dict[int, np.ndarray], threshold: float):
-    """Rows (cell, home, row): a vector in its own cell, and visiting cells it may have links in."""
-    reach = np.sqrt(2.0 - 2.0 * threshold) + 1e-9
-
-    def placed(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        c = book.get(dim)
-        rows = np.arange(batch.num_rows)
-        if c is None or len(c) == 1:
-            return rows, np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
-        x = _unit(_matrix(batch.column(batch.schema.get_field_index("embedding")), dim))
-        apart = np.sqrt(np.maximum(2.0 - 2.0 * (c @ c.T), 1e-18))
-        out = []
-        for begin in range(0, len(x), 512):
-            near = x[begin : begin + 512] @ c.T
-            home = near.argmax(axis=1)
-            top = near[np.arange(len(near)), home]
-            visits = (top[:, None] - near) <= reach * apart[home] + 1e-12
-            visits &= np.arange(len(c))[None, :] < home[:, None]
-            r, cell = np.nonzero(visits)
-            out.append((np.concatenate([np.arange(len(near)), r]) + begin, np.concatenate([home, cell]), np.arange(len(near) + len(r)) < len(near)))
-        return tuple(np.concatenate(p) for p in zip(*out))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(batch.schema.get_field_index("dim")).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                for begin in range(0, part.num_rows, 2048):
-                    some = part.slice(begin, 2048)
-                    row, cell, home = placed(some, int(dim))
-                    picked = some.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays(
-                        [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=[*some.schema.names, "cell", "home"]
-                    )
-
-    return run
-
-
-def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links (member, first member) of the components of a symmetric matrix."""
-    todo = linked.any(axis=1)
-    while todo.any():
-        root = int(np.argmax(todo))
-        inside = np.zeros(len(todo), dtype=bool)
-        inside[root] = True
-        edge = inside.copy()
-        while edge.any():
-            edge = linked[edge].any(axis=0) & ~inside
-            inside |= edge
-        for m in np.flatnonzero(inside):
-            if m != root:
-                yield int(m), root
-        todo &= ~inside
-
-
-def _compare(threshold: float):
-    """Links of the blocks of a partition sorted by block; a block may go on in the next batch."""
+class _Cells:
+    """The cells of some unit vectors, their parts in a few directions, and which cells each may have links in."""
+
+    def __init__(self, x: np.ndarray, c: np.ndarray, axes: np.ndarray, reach: float):
+        self.x = x
+        near = x.astype(np.float32) @ c.astype(np.float32).T
+        self.home = near.argmax(axis=1)
+        apart = np.sqrt(np.maximum(2.0 - 2.0 * (c @ c.T), 0.0)).astype(np.float32) * np.float32(reach)
+        np.subtract(near[np.arange(len(x)), self.home][:, None], near, out=near)
+        self.visits = np.ascontiguousarray((near <= apart[self.home] + np.float32(1e-4)).T)
+        part = (x @ axes).astype(np.float32)
+        half = (part * part).sum(axis=1, keepdims=True) / 2
+        one = np.ones_like(half)
+        self.left, self.right = np.hstack([part, -half, one]), np.hstack([part, one, -half])
+
+
+def _links(a: _Cells, b: _Cells, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of linked vectors of two sets, each once and both ways if they are the ``same``; some at a time."""
+    least = np.float32(threshold - 1.0 - 1e-4)  # minus half the square of the largest distance
+    order = np.argsort(a.home, kind="stable")
+    ends = np.searchsorted(a.home[order], np.arange(len(a.visits) + 1))
+    for cell in range(len(a.visits)):
+        inside = order[ends[cell] : ends[cell + 1]]
+        others = np.flatnonzero(b.visits[cell]) if len(inside) else inside
+        for p in range(0, len(others), 4096):
+            some = others[p : p + 4096]
+            right = b.right[some].T
+            for q in range(0, len(inside), 256):
+                rows = inside[q : q + 256]
+                close = (a.left[rows] @ right).ravel()
+                if close.max() < least:
+                    continue
+                i, j = np.divmod(np.flatnonzero(close >= least), len(some))
+                if 8 * len(i) > len(rows) * len(some):
+                    i, j = np.nonzero(a.x[rows] @ b.x[some].T >= threshold)
+                elif len(i):
+                    good = np.einsum("ij,ij->i", a.x[rows[i]], b.x[some[j]]) >= threshold
+                    i, j = i[good], j[good]
+                i, j = rows[i], some[j]
+                if same:
+                    i, j = i[i != j], j[i != j]
+                if len(i):
+                    yield i, j
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Put linked places under one root. ``root`` holds a place that is its own root, or one on the way to it."""
+
+    def top(p: np.ndarray) -> np.ndarray:
+        while (root[p] != p).any():
+            p = root[p]
+        return p
+
+    i, j = top(i), top(j)
+    while (i != j).any():
+        pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)])[:, i != j], axis=1)
+        np.minimum.at(root, pairs[1], pairs[0])
+        i, j = top(pairs[0]), top(pairs[1])
+        # A place takes the smallest of its links; the others are looked at again.
+
+
+def _compare(book: dict[int, np.ndarray], threshold: float):
+    """Links of the pairs of blocks of a partition sorted by them; a pair may go on in the next batch."""
+    reach = float(np.sqrt(2.0 - 2.0 * threshold)) + 1e-9
 
     def scan(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
-        x = _unit(_matrix(t["embedding"].combine_chunks() if t["embedding"].num_chunks != 1 else t["embedding"].chunk(0), t["dim"][0].as_py()))
-        home, rep, m = (t[c].to_numpy() for c in ("home", "rep", "m"))
-        side, same = t["side"].to_numpy(), t["same"][0].as_py()
-        near = x @ x.T >= threshold
-        near &= home[:, None] | home[None, :]  # two visitors meet in a cell of their own
-        if not same:
-            near &= side[:, None] != side[None, :]
-        np.fill_diagonal(near, False)
-        counts = near @ m.astype(np.float64)
-        rows = np.flatnonzero(counts)
-        links = list(_forest(near)) if len(rows) else []
-        a, b = (np.array([rep[p[i]] for p in links], dtype=np.int64) for i in (0, 1))
+        dim, same = t["dim"][0].as_py(), t["low"][0].as_py() == t["high"][0].as_py()
+        x = _unit(_matrix(t["embedding"].combine_chunks() if t["embedding"].num_chunks != 1 else t["embedding"].chunk(0), dim))
+        rep, m, side = (t[c].to_numpy() for c in ("rep", "m", "side"))
+        c = book.get(dim)
+        c = x[:1] if c is None else c
+        axes = np.linalg.qr(np.random.default_rng(0).normal(size=(dim, min(AXES, dim))))[0]
+        first = np.arange(len(x)) if same else np.flatnonzero(side == t["low"][0].as_py())
+        second = first if same else np.flatnonzero(side != t["low"][0].as_py())
+        counts, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        if len(first) and len(second):
+            a = _Cells(x[first], c, axes, reach)
+            b = a if same else _Cells(x[second], c, axes, reach)
+            for i, j in _links(a, b, threshold, same):
+                i, j = first[i], second[j]
+                counts += np.bincount(i, weights=m[j], minlength=len(x)).astype(np.int64)
+                if not same:
+                    counts += np.bincount(j, weights=m[i], minlength=len(x)).astype(np.int64)
+                _join(root, i, j)
+        while (root[root] != root).any():
+            root = root[root]
+        rows, under = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(x)))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([rep[rows], a]), pa.int64()),
-                pa.array(np.concatenate([counts[rows].astype(np.int64), np.zeros(len(a), np.int64)])),
-                pa.array(np.concatenate([rep[rows], b]), pa.int64()),
+                pa.array(np.concatenate([rep[rows], rep[under]]), pa.int64()),
+                pa.array(np.concatenate([counts[rows], np.zeros(len(under), np.int64)])),
+                pa.array(np.concatenate([rep[rows], rep[root[under]]]), pa.int64()),
             ],
             names=["rep", "links", "other"],
         )
@@ -205,41 +224,54 @@ def _numbered(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """One row per vector: number of vectors linked to it, its component, whether it is kept."""
-    spark: SparkSession = vectors.sparkSession
     rows, reps = _numbered(vectors)
     reps = materialize(reps)  # classes are known by their number from here on
+    release(vectors.sparkSession)
     n = reps.count()
     book = fit(reps, n)
-    bare = reps.drop("low")
-    kind = {f.name: f.dataType.simpleString() for f in bare.schema.fields}
-    schema = ", ".join(f"{c} {kind[c]}" for c in bare.columns) + ", cell int, home boolean"
-    placed = materialize(bare.mapInArrow(_assign(book, threshold), schema))
-
-    cell = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"))
-    sizes = sizes.select(*cell, F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    cut = placed.join(sizes, cell).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A row goes to the pair of its block with each block, itself included.
-    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("side", "with"), F.greatest("side", "with")
-    cut = cut.withColumns({"same": low == high, "low": low, "high": high})
-    cut = cut.select(*_BLOCK_KEY, "side", "same", "home", "rep", "m", "embedding")
-    cut = cut.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    found = materialize(cut.mapInArrow(_compare(threshold), "rep long, links long, other long"))
-
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+
+    group = ["label", "dim"]
+    held = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(64 * BLOCK) / F.col("dim"))))
+    sizes = reps.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).select(*group, F.ceil(F.col("rows") / held).cast("int").alias("blocks"))
+    sizes = materialize(sizes)
+    most = sizes.agg(F.max("blocks")).first()[0] or 0
+    cut = reps.drop("low").join(sizes, group).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def turn(k: Column) -> Column:
+        """The round in which a row's block meets block ``k``: half as many pairs of blocks as blocks in each."""
+        low, high = F.least("side", k), F.greatest("side", k)
+        number = F.floor(high * (high + 1) / 2) + low
+        return F.floor(number / F.ceil(F.col("blocks") / 2))
+
+    found = []
+    for r in range(most + (most + 1) % 2 if most else 0):
+        # A row goes to the pair of its block with each block of this round, itself included.
+        here = cut.withColumn("with", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: turn(k) == r)))
+        here = here.select("label", "dim", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "side", "rep", "m", "embedding")
+        here = here.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+        found.append(materialize(here.mapInArrow(_compare(book, threshold), "rep long, links long, other long")))
+        release(vectors.sparkSession)
+    none = vectors.sparkSession.createDataFrame([], "rep long, links long, other long")
+    links = reduce(DataFrame.unionAll, found, none)
+
+    counts = materialize(links.groupBy("rep").agg(F.sum("links").alias("links")))
+    joined = components(links.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     joined = materialize(joined.join(reps.select(F.col("rep").alias("node"), "low"), "node"))
     names = joined.groupBy("component").agg(F.min("low").alias("name"))
     joined = joined.join(names, "component").select("node", "name")
-    classes = reps.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    classes = classes.select(
-        F.col("label").alias("_l"),
-        F.col("embedding").alias("_e"),
-        (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
-        F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("name")).alias("component"),
+    classes = reps.select("rep", "low", "m").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    # Vectors meet their class by one shuffle of each; all that is known of a class comes after it, by its number.
+    classes = materialize(
+        classes.select(
+            F.col("rep").alias("_rep"),
+            (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
+            F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("name")).alias("component"),
+        )
     )
-    out = rows.join(classes, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
+    discard(*found, counts)
+    own = reps.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), "rep")
+    out = rows.join(own, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left").select("vec_id", "rep")
+    out = out.join(classes, F.col("rep") == F.col("_rep"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id",

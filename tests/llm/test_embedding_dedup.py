@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from brute import components
 from npxkit.llm import embedding_dedup as ed
 
@@ -92,3 +93,33 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 2, 5), (None, 2, 5), (5, 2, 5), (None, 1, None), (None, 1, None), (9, 0, 9), (9, 1, 3), (3, 1, 3)], key=str)
+
+
+def test_vectors_are_sent_about_once_a_round(spark, monkeypatch):
+    """Vectors went to each cell that they might have links in: many copies of each at once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=64)], 0) for i in range(400)]
+    for i in range(0, 400, 40):
+        rows[i + 1] = (i + 1, [v + 1e-3 for v in rows[i][1]], 0)
+    copies, compare, write = [], ed._compare, ed.materialize
+
+    def counting(*given):
+        def run(batches):
+            held = list(batches)
+            n = sum(b.num_rows for b in held)
+            yield pa.RecordBatch.from_pydict({"rep": pa.array([-1], pa.int64()), "links": pa.array([n], pa.int64()), "other": pa.array([-1], pa.int64())})
+            yield from compare(*given)(iter(held))
+
+        return run
+
+    def kept(df):
+        out = write(df)
+        if "other" in df.columns:
+            copies.append(out.where("rep = -1").agg({"links": "sum"}).first()[0])
+        return out
+
+    monkeypatch.setattr(ed, "CELL_ROWS", 4)
+    monkeypatch.setattr(ed, "_compare", counting)
+    monkeypatch.setattr(ed, "materialize", kept)
+    check(ed.near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)), rows)
+    assert copies and max(copies) <= 450
