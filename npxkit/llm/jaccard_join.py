@@ -551,7 +551,9 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of different components and blocks among ``members`` (h, doc, n, pos, component, met)
     that pass the length and positional filters; y is the smaller set."""
     mixed = members.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
-    left = materialize(members.join(materialize(mixed), "h", "left_semi"))
+    mixed = materialize(mixed)
+    left = materialize(members.join(mixed, "h", "left_semi"))
+    discard(mixed)
     probe = left.select("h", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"), F.col("met").alias("xm"))
     small = left.where(F.col("pos") < _index_length(F.col("n"), percent))
     small = small.select("h", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"), F.col("met").alias("ym"))
@@ -561,7 +563,9 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     met = probe.join(small, (probe.h == small.h) & smaller & in_reach & (F.col("xc") != F.col("yc")) & unmet)
     met = met.groupBy("x", "y", "xn", "yn").agg(F.count(F.lit(1)).alias("same"), F.max("xp").alias("xp"), F.max("yp").alias("yp"))
     behind = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
-    return met.where(F.col("same") + behind >= _needed(percent)).select("x", "y").distinct()
+    out = met.where(F.col("same") + behind >= _needed(percent)).select("x", "y").distinct()
+    out._reads = left  # to be discarded when the pairs are written
+    return out
 
 
 def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -592,7 +596,8 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """The pairs that link, and the tables written on the way."""
-        pairs = materialize(_possible(pairs, known, percent))
+        asked, pairs = pairs, materialize(_possible(pairs, known, percent))
+        discard(asked._reads)
         routes, done = _grouped(pairs)
         texts = _sent(routes, plain).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
         return texts.mapInArrow(_linked(words, percent), f"x {kind}, y {kind}").distinct(), [pairs, routes, *done]

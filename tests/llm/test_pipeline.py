@@ -1,12 +1,14 @@
 """The pipeline's stages against plain versions, each on its predecessor's rows."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 from brute import jaccard_components, repeated
 from llm_fixtures import none, odd, small  # noqa: F401
 from npxkit.llm import mixing, quality
 from npxkit.llm.base import materialize, table
+from npxkit.session import ensure_checkpoint_dir
 
 import corpus_pipeline as cp
 
@@ -93,3 +95,16 @@ def test_stages_take_odd_rows(spark, odd, none):
 
 def test_run_returns_the_last_stage(spark):
     assert cp.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_near_duplicates_leave_no_prefixes_on_disk(spark):
+    """Tables of finished steps, the prefixes' above all, stayed written while the later stages ran."""
+    top = Path(ensure_checkpoint_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(top.glob("llm-*"))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], f"x{i}", *base[31:]])) for i in range(20)] + [(i, f"alone {i} at a place {i * i} of its own") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = cp.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(20, 40)]
+    columns = {c for d in set(top.glob("llm-*")) - before for c in spark.read.parquet(str(d)).columns}
+    assert "_row" in columns and not columns & {"prefix", "pos", "h"}
